@@ -6,32 +6,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed_values import FENCE_PATTERN, TRAILING_COMMA_PATTERN
+from .text import let
 
 
 def _valid(text: Column) -> Column:
-    return F.when(F.try_parse_json(text).isNotNull(), text)
+    return F.when((text != "") & F.try_parse_json(text).isNotNull(), text)
 
 
 def repaired(text: Column) -> Column:
     """JSON text found in an agent's answer, or null. Never an empty object in its place."""
     bare = F.trim(F.regexp_replace(F.trim(text), "(?m)" + FENCE_PATTERN, ""))
-    obj = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    arr = F.regexp_extract(bare, r"(?s)\[.*\]", 0)
-    commas = F.regexp_replace(bare, TRAILING_COMMA_PATTERN, "$1")
-    whole = bare != ""
-    return F.coalesce(
-        F.when(whole, _valid(bare)),
-        F.when(obj != "", _valid(obj)),
-        F.when(arr != "", _valid(arr)),
-        F.when(whole, _valid(commas)),
+    return let(
+        bare,
+        lambda b: F.coalesce(
+            _valid(b),
+            let(F.regexp_extract(b, r"(?s)\{.*\}", 0), _valid),
+            let(F.regexp_extract(b, r"(?s)\[.*\]", 0), _valid),
+            let(F.regexp_replace(b, TRAILING_COMMA_PATTERN, "$1"), _valid),
+        ),
     )
 
 
 def as_object(json: Column) -> Column:
     """The one object of a payload: itself, or the only element of a one-element list."""
-    one = F.from_json(json, "array<string>")
+
+    def only(items: Column) -> Column:
+        return F.when((F.size(items) == 1) & F.get(items, F.lit(0)).startswith("{"), F.get(items, F.lit(0)))
+
     return F.when(json.rlike(r"^\s*\{"), json).when(
-        json.rlike(r"^\s*\[") & (F.size(one) == 1) & one[0].startswith("{"), one[0]
+        json.rlike(r"^\s*\["), let(F.from_json(json, "array<string>"), only)
     )
 
 

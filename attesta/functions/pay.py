@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed_values import CURRENCY_SYMBOLS, MONEY_PATTERN, MULTIPLIERS, UNIT_SYNONYMS
-from .text import safe_double
+from .text import let, safe_double
 
 PAY_TYPE = (
     "struct<pay_min:double,pay_max:double,pay_currency:string,pay_unit:string,"
@@ -39,21 +39,22 @@ def _pay(low: Column, high: Column, currency: Column, unit: Column, raw: Column,
 def prose_pay(text: Column, strict: bool = False) -> Column:
     """First money amount or range in a text; null when there is none worth trusting.
 
-    The long text is searched once. Its parts are then read from the short match.
-    ``strict`` gives the low end the high end's K or M, and takes K or M without a
-    unit only when both ends are given.
+    The text is searched once and its match split into parts once. ``strict`` gives the
+    low end the high end's K or M, and takes K or M without a unit only when both ends
+    are given.
     """
     found = F.regexp_extract(F.coalesce(text, F.lit("")), MONEY_PATTERN, 0)
+    parts = F.split(F.regexp_replace(found, MONEY_PATTERN, "$1\x01$2\x01$3\x01$4\x01$5\x01$6\x01$0"), "\x01")
+    return let(parts, lambda p: F.when(F.size(p) == 7, _read_parts(p, strict)))
 
-    def part(i: int) -> Column:
-        return F.regexp_extract(found, MONEY_PATTERN, i)
 
-    low, high = safe_double(part(2)), safe_double(part(4))
-    low_factor = _choose(F.lower(part(3)), MULTIPLIERS, F.lit(1))
-    high_factor = F.when(part(5) == "", low_factor).otherwise(_choose(F.lower(part(5)), MULTIPLIERS, F.lit(1)))
+def _read_parts(p: Column, strict: bool) -> Column:
+    low, high = safe_double(p[1]), safe_double(p[3])
+    low_factor = _choose(F.lower(p[2]), MULTIPLIERS, F.lit(1))
+    high_factor = F.when(p[4] == "", low_factor).otherwise(_choose(F.lower(p[4]), MULTIPLIERS, F.lit(1)))
     if strict:
-        low_factor = F.when(high.isNotNull() & (part(3) == ""), high_factor).otherwise(low_factor)
-    word = F.lower(part(6))
+        low_factor = F.when(high.isNotNull() & (p[2] == ""), high_factor).otherwise(low_factor)
+    word = F.lower(p[5])
     unit = (
         F.when(word.contains("h"), "hour")
         .when(word.contains("yr") | word.contains("year") | word.contains("annual"), "year")
@@ -62,12 +63,11 @@ def prose_pay(text: Column, strict: bool = False) -> Column:
         .when(low_factor > 1, "year")
         .otherwise("")
     )
-    low_pay = low * low_factor
-    refused = (found == "") | low.isNull() | ((unit == "") & (low_pay < 100))
+    refused = low.isNull() | ((unit == "") & (low * low_factor < 100))
     if strict:
         refused = refused | ((low_factor > 1) & (word == "") & high.isNull())
-    currency = _choose(part(1), CURRENCY_SYMBOLS, F.upper(part(1)))
-    return F.when(~refused, _pay(low_pay, high * high_factor, currency, unit, F.trim(found), "parsed"))
+    currency = _choose(p[0], CURRENCY_SYMBOLS, F.upper(p[0]))
+    return F.when(~refused, _pay(low * low_factor, high * high_factor, currency, unit, F.trim(p[6]), "parsed"))
 
 
 def numeric_pay(value: Column, currency: Column | str = "USD", unit: str = "hour") -> Column:

@@ -21,6 +21,11 @@ def is_blank(col: Column, dtype: T.DataType | None = None) -> Column:
     return col.isNull()
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def field_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
@@ -95,13 +100,18 @@ def entity_slug(name: Column) -> Column:
     """
     text = F.regexp_replace(F.lower(fold_accents(F.coalesce(name, F.lit("")))), "[^a-z0-9\\s]", " ")
     words = F.filter(F.split(text, "\\s+"), lambda w: w != "")
-    kept = F.filter(words, lambda w: ~w.isin(*ENTITY_STOPWORDS))
-    return (
-        F.when(F.size(kept) > 0, F.array_join(kept, "-"))
-        .when(F.size(words) > 0, F.array_join(words, "-"))
-        .when(F.trim(F.coalesce(name, F.lit(""))) == "", "unknown")
-        .otherwise(F.concat(F.lit("x-"), F.substring(F.sha1(F.trim(name)), 1, 12)))
-    )
+
+    def chosen(every: Column) -> Column:
+        kept = F.filter(every, lambda w: ~w.isin(*ENTITY_STOPWORDS))
+        hashed = F.concat(F.lit("x-"), F.substring(F.sha1(F.trim(name)), 1, 12))
+        return (
+            F.when(F.size(kept) > 0, F.array_join(kept, "-"))
+            .when(F.size(every) > 0, F.array_join(every, "-"))
+            .when(F.trim(F.coalesce(name, F.lit(""))) == "", "unknown")
+            .otherwise(hashed)
+        )
+
+    return let(words, chosen)
 
 
 def entity_key(name: Column, kind: Column) -> Column:

@@ -22,7 +22,10 @@ INLINE_SOURCES = 10_000
 
 def parse_agent_output(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
     """Rows with a JSON object in ``payload``, and the rows no repair could read."""
-    parsed = df.withColumn("payload", loose_json.as_object(loose_json.repaired(F.col(col))))
+    parsed = df.withColumn("_json", loose_json.repaired(F.col(col))).withColumn(
+        "payload", loose_json.as_object(F.col("_json"))
+    )
+    parsed = parsed.drop("_json")
     return (
         parsed.filter(F.col("payload").isNotNull()),
         parsed.filter(F.col("payload").isNull()).drop("payload"),
@@ -77,20 +80,29 @@ def substantive(df: DataFrame) -> list[str]:
     return [c for c in df.columns if not c.startswith("_")]
 
 
-def dedupe_key(df: DataFrame, fields: Sequence[str]) -> Column:
-    """Identity of a finding: the first of ``fields`` that still says something once normalised.
+def with_dedupe_key(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Adds ``_key``: the first of ``fields`` that still says something once normalised.
 
     Long keys are replaced by their digest, so that the key stays cheap to shuffle. A
-    finding with no usable field gets the digest of all its fields; none is lost.
+    finding with no usable field gets the digest of all its fields; none is lost. Each
+    normal form is a column of its own and thus computed once.
     """
-    options = []
-    for name in fields:
-        if name in df.columns:
-            form = url_normal(F.col(name)) if name in fixed.URL_KEY_FIELDS else text_normal(F.col(name))
-            options.append(F.when(form != "", form))
+    used = [f for f in fields if f in df.columns]
+    forms = {
+        f"_form{i}": url_normal(F.col(f)) if f in fixed.URL_KEY_FIELDS else text_normal(F.col(f))
+        for i, f in enumerate(used)
+    }
     whole = F.to_json(F.struct(*substantive(df)))
-    key = F.coalesce(*options, F.concat(F.lit("sha1:"), F.sha1(whole)))
-    return F.when(F.length(key) > KEY_CHARS, F.concat(F.lit("sha256:"), F.sha2(key, 256))).otherwise(key)
+    first = F.coalesce(
+        *[F.when(F.col(c) != "", F.col(c)) for c in forms], F.concat(F.lit("sha1:"), F.sha1(whole))
+    )
+    digest = F.concat(F.lit("sha256:"), F.sha2("_first", 256))
+    return (
+        df.withColumns(forms)
+        .withColumn("_first", first)
+        .withColumn("_key", F.when(F.length("_first") > KEY_CHARS, digest).otherwise(F.col("_first")))
+        .drop("_first", *forms)
+    )
 
 
 def confidence_score(col: Column) -> Column:
@@ -110,7 +122,8 @@ def filled_fields(df: DataFrame, fields: Sequence[str]) -> Column:
 def finding_sources(findings: DataFrame, dedupe_fields: Sequence[str] = fixed.DEDUPE_FIELDS) -> DataFrame:
     """Who reported what: one row per key and agent, with sightings and first arrival."""
     return (
-        findings.select(dedupe_key(findings, dedupe_fields).alias("_key"), "_agent", "_ord")
+        with_dedupe_key(findings, dedupe_fields)
+        .select("_key", "_agent", "_ord")
         .filter(~is_blank(F.col("_agent")))
         .groupBy("_key", "_agent")
         .agg(F.count("*").alias("sightings"), F.min("_ord").alias("first_ord"))
@@ -131,7 +144,7 @@ def merge_findings(
     ``inline_sources`` agents; the table of ``finding_sources`` has them all.
     """
     fields = substantive(findings)
-    ranked = findings.withColumn("_key", dedupe_key(findings, dedupe_fields)).withColumn(
+    ranked = with_dedupe_key(findings, dedupe_fields).withColumn(
         "_rank",
         F.struct(
             (-confidence_score(F.col("confidence"))).alias("confidence"),

@@ -148,10 +148,9 @@ def page_links(pages: DataFrame, id_col: str = "page_id", navigation: bool = Fal
     ``navigation`` is set; scripts and styles never count.
     """
     tags = ("script", "style") if navigation else fixed.DROP_TAGS
-    pattern = F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)')""")
-    html = _without_tags(F.col("html"), tags)
-    double, single = F.regexp_extract_all(html, pattern, F.lit(1)), F.regexp_extract_all(html, pattern, F.lit(2))
-    hrefs = F.zip_with(double, single, lambda a, b: F.trim(F.concat(a, b)))
+    pattern = F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*')""")
+    quoted = F.regexp_extract_all(_without_tags(F.col("html"), tags), pattern, F.lit(1))
+    hrefs = F.transform(quoted, lambda q: F.trim(F.substring(q, F.lit(2), F.length(q) - 2)))
     wanted = F.filter(hrefs, lambda h: (h != "") & ~h.rlike("^(?:javascript:|mailto:|tel:|#)"))
     absolute = F.transform(wanted, lambda h: resolve(F.col("url"), F.regexp_replace(h, "&amp;", "&")))
     links = F.array_distinct(F.filter(absolute, lambda u: u.rlike("(?i)^https?:")))

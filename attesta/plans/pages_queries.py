@@ -38,7 +38,8 @@ def _tidy(x: str) -> str:
     """Markdown of the plain markup the given pages use."""
     for tag, text in (("h1", "# "), ("/h1", ""), ("p", ""), ("/p", ""), ("div class=\"ad\"", ""), ("/div", ""), ("article", ""), ("/article", "")):
         x = f"replace({x}, '<{tag}>', chr(10) || chr(10) || '{text}')"
-    x = f"replace(replace(replace(replace({x}, '<br>', chr(10)), '<b>', ''), '</b>', ''), '&amp;', '&')"
+    for markup, text in (("<br>", "\n"), ("<b>", ""), ("</b>", ""), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#x27;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{markup}', '{text}')"
     x = f"regexp_replace(regexp_replace({x}, '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g')"
     return f"regexp_replace(regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 
