@@ -14,7 +14,7 @@ from ..functions.urls import authority, url_normal
 from .ordered import first_rows
 
 KEY_CHARS = 120
-INLINE_SOURCES = 10_000
+INLINE_SOURCES = 1_000
 
 
 # agent output ------------------------------------------------------------------
@@ -85,8 +85,11 @@ def with_dedupe_key(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
     Long keys are replaced by their digest, so that the key stays cheap to shuffle. A
     finding with no usable field gets the digest of all its fields; none is lost. Each
-    normal form is a column of its own and thus computed once.
+    normal form is a column of its own and thus computed once. A table that already
+    stores its ``_key`` is taken as it is.
     """
+    if "_key" in df.columns:
+        return df
     used = [f for f in fields if f in df.columns]
     forms = {
         f"_form{i}": url_normal(F.col(f)) if f in fixed.URL_KEY_FIELDS else text_normal(F.col(f))
@@ -100,7 +103,7 @@ def with_dedupe_key(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return (
         df.withColumns(forms)
         .withColumn("_first", first)
-        .withColumn("_key", F.when(F.length("_first") > KEY_CHARS, digest).otherwise(F.col("_first")))
+        .withColumn("_key", F.coalesce(F.when(F.length("_first") > KEY_CHARS, digest), "_first", F.lit("")))
         .drop("_first", *forms)
     )
 
