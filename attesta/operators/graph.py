@@ -251,7 +251,7 @@ def prose_edges(relations: DataFrame, types: DataFrame, run_id: str) -> DataFram
         ~is_blank(F.col("source")) & ~is_blank(F.col("target")) & ~is_blank(F.trim("predicate"))
         & (F.lower("source") != F.lower("target"))
     )
-    known = types.select("name", F.coalesce("type", F.lit("thing")).alias("_type")).dropDuplicates(["name"])
+    known = types.groupBy("name").agg(F.coalesce(F.min("type"), F.lit("thing")).alias("_type"))
     with_source = kept.join(known.withColumnsRenamed({"name": "source", "_type": "source_kind"}), "source", "left")
     with_both = with_source.join(known.withColumnsRenamed({"name": "target", "_type": "target_kind"}), "target", "left")
     return with_both.withColumns(
