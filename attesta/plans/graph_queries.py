@@ -27,53 +27,60 @@ def query(name: str, check: str | None = None):
 # observations: suppliers supply parts, customers and suppliers sit in nations, nations in regions
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = t.table(spark, sf_dir, "lineitem")
-    suppliers = t.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    nations = t.table(spark, sf_dir, "nation")
-    regions = t.table(spark, sf_dir, "region")
-    customers = t.table(spark, sf_dir, "customer")
-    start = F.lit("1995-01-01").cast("timestamp")
-    confidence = F.when(F.col("l_returnflag") == "A", "high").when(F.col("l_returnflag") == "N", "medium").otherwise("low")
+def _row(source, source_kind, predicate, target, target_kind, conf, run, agent, url, snippet, at, order):
+    names = "source source_kind predicate target target_kind confidence run_id agent source_url snippet captured_at ord".split()
+    values = (source, F.lit(source_kind), F.lit(predicate), target, F.lit(target_kind), conf, run, agent, url, snippet, at, order.cast("long"))
+    return [v.alias(n) for v, n in zip(values, names)]
+
 
-    def row(source, source_kind, predicate, target, target_kind, conf, run, agent, url, snippet, at, order):
-        names = "source source_kind predicate target target_kind confidence run_id agent source_url snippet captured_at ord".split()
-        values = (source, F.lit(source_kind), F.lit(predicate), target, F.lit(target_kind), conf, run, agent, url, snippet, at, order.cast("long"))
-        return [v.alias(n) for v, n in zip(values, names)]
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
 
-    supplied = lines.join(suppliers, lines.l_suppkey == suppliers.s_suppkey).select(
-        row(
+
+def supply_observations(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """Order lines, landed or arriving, as observations of who supplies what."""
+    suppliers = _suppliers(spark, sf_dir)
+    confidence = F.when(F.col("l_returnflag") == "A", "high").when(F.col("l_returnflag") == "N", "medium").otherwise("low")
+    return lines.join(suppliers, lines.l_suppkey == suppliers.s_suppkey).select(
+        _row(
             F.col("s_name"), "company", "Supplies Part", F.concat(F.lit("Part "), "l_partkey"), "product", confidence,
             F.concat(F.lit("run-"), F.year("l_shipdate")), F.concat(F.lit("agent-"), "l_linenumber"),
             F.concat(F.lit("https://orders.example/"), "l_orderkey"), F.concat_ws(" ", "l_returnflag", "l_linestatus"),
             F.col("l_shipdate").cast("timestamp"), F.col("l_orderkey") * 10 + F.col("l_linenumber"),
         )
     )
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = t.table(spark, sf_dir, "nation")
+    regions = t.table(spark, sf_dir, "region")
+    customers = t.table(spark, sf_dir, "customer")
+    suppliers = _suppliers(spark, sf_dir)
+    start = F.lit("1995-01-01").cast("timestamp")
+    none = F.lit(None).cast("string")
+    registry = (F.lit("high"), F.lit("run-0"), F.lit("registry"))
     located = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        row(
-            F.col("c_name"), "company", "located in", F.col("n_name"), "place", F.lit("high"), F.lit("run-0"), F.lit("registry"),
+        _row(
+            F.col("c_name"), "company", "located in", F.col("n_name"), "place", *registry,
             F.concat(F.lit("https://registry.example/c/"), "c_custkey"), F.col("c_mktsegment"), start, F.col("c_custkey"),
         )
     )
     based = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        row(
-            F.col("s_name"), "company", "located in", F.col("n_name"), "place", F.lit("high"), F.lit("run-0"), F.lit("registry"),
-            F.concat(F.lit("https://registry.example/s/"), "s_suppkey"), F.lit(None).cast("string"), start, F.col("s_suppkey"),
+        _row(
+            F.col("s_name"), "company", "located in", F.col("n_name"), "place", *registry,
+            F.concat(F.lit("https://registry.example/s/"), "s_suppkey"), none, start, F.col("s_suppkey"),
         )
     )
     part_of = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        row(
+        _row(
             F.col("n_name"), "place", "part of", F.col("r_name"), "place", F.lit("high"), F.lit("run-0"), F.lit("atlas"),
-            F.lit("https://atlas.example"), F.lit(None).cast("string"), start, F.col("n_nationkey"),
+            F.lit("https://atlas.example"), none, start, F.col("n_nationkey"),
         )
     )
+    supplied = supply_observations(spark, sf_dir, t.table(spark, sf_dir, "lineitem"))
     return supplied.unionByName(located).unionByName(based).unionByName(part_of)
 
 
-def _key(name: str, kind: str) -> str:
-    return f"'{kind}:' || regexp_replace(lower({name}), '[^a-z0-9]+', '-', 'g')"
-
-
 _OBS = f"""
 obs AS (
   SELECT *, source_kind || ':' || regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g') AS source_key,
