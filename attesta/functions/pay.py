@@ -49,21 +49,30 @@ def prose_pay(text: Column, strict: bool = False) -> Column:
 
 
 def _read_parts(p: Column, strict: bool) -> Column:
-    low, high = safe_double(p[1]), safe_double(p[3])
-    low_factor = _choose(F.lower(p[2]), MULTIPLIERS, F.lit(1))
-    high_factor = F.when(p[4] == "", low_factor).otherwise(_choose(F.lower(p[4]), MULTIPLIERS, F.lit(1)))
+    low_suffix, high_suffix = F.lower(p[2]), F.lower(p[4])
+    facts = F.struct(
+        safe_double(p[1]).alias("low"),
+        safe_double(p[3]).alias("high"),
+        F.lower(p[5]).alias("word"),
+        _choose(low_suffix, MULTIPLIERS, F.lit(1)).alias("low_factor"),
+        _choose(high_suffix, MULTIPLIERS, F.lit(1)).alias("high_factor"),
+    )
+    return let(facts, lambda f: _priced(p, f, strict))
+
+
+def _priced(p: Column, f: Column, strict: bool) -> Column:
+    word, low, high, low_factor = f["word"], f["low"], f["high"], f["low_factor"]
+    high_factor = F.when(p[4] == "", low_factor).otherwise(f["high_factor"])
     if strict:
         low_factor = F.when(high.isNotNull() & (p[2] == ""), high_factor).otherwise(low_factor)
-    word = F.lower(p[5])
     unit = (
-        F.when(word.contains("h"), "hour")
+        F.when(word == "", F.when(low_factor > 1, "year").otherwise(""))
+        .when(word.contains("h"), "hour")
         .when(word.contains("yr") | word.contains("year") | word.contains("annual"), "year")
         .when(word.contains("task"), "task")
-        .when(word.contains("day"), "day")
-        .when(low_factor > 1, "year")
-        .otherwise("")
+        .otherwise("day")
     )
-    refused = low.isNull() | ((unit == "") & (low * low_factor < 100))
+    refused = low.isNull() | ((word == "") & (low_factor == 1) & (low < 100))
     if strict:
         refused = refused | ((low_factor > 1) & (word == "") & high.isNull())
     currency = _choose(p[0], CURRENCY_SYMBOLS, F.upper(p[0]))

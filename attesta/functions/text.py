@@ -90,7 +90,7 @@ def _accent_table() -> tuple[str, str]:
 
 def fold_accents(col: Column) -> Column:
     no_marks = F.regexp_replace(col, "\\p{M}+", "")
-    return F.translate(no_marks, *_accent_table())
+    return F.when(col.rlike("[^\\x00-\\x7f]"), F.translate(no_marks, *_accent_table())).otherwise(col)
 
 
 def entity_slug(name: Column) -> Column:
@@ -127,4 +127,4 @@ def predicate_name(col: Column) -> Column:
 
 def safe_double(col: Column) -> Column:
     """Number from text with currency sign and thousands marks; null when it is none."""
-    return F.regexp_replace(col.cast("string"), "[$,]", "").try_cast("double")
+    return F.translate(col.cast("string"), "$,", "").try_cast("double")

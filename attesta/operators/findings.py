@@ -280,7 +280,7 @@ def _citations(findings: DataFrame, key: str, fields: Sequence[str]) -> DataFram
         if field_type(findings, name).typeName() == "array":
             part = F.transform(
                 F.col(name),
-                lambda u, i, name=name, rank=rank: F.struct(
+                lambda u, i: F.struct(  # noqa: B023
                     F.concat(F.lit(name + "["), i.cast("string"), F.lit("]")).alias("field"),
                     F.lit(rank).alias("rank"),
                     u.alias("url"),
@@ -340,7 +340,7 @@ def coverage_gaps(units: DataFrame) -> DataFrame:
 
 
 def run_stats(planned: DataFrame, units: DataFrame, raw: DataFrame, merged: DataFrame) -> DataFrame:
-    """The run's counters, one row: each input is read once and reduced to a row of counts."""
+    """The run's counters: each input is reduced to a row of counts, and the rows laid over each other."""
     resumed = planned.join(units.filter(is_blank(F.col("error"))), "unit_key", "left_semi")
     failed = ~is_blank(F.col("error"))
     parts = [
@@ -359,10 +359,10 @@ def run_stats(planned: DataFrame, units: DataFrame, raw: DataFrame, merged: Data
             F.count_if(is_dead(F.col("_url_status"))).alias("urls_dead"),
         ),
     ]
-    out = parts[0].withColumn("_one", F.lit(1))
+    rows = parts[0]
     for part in parts[1:]:
-        out = out.join(part.withColumn("_one", F.lit(1)), "_one")
-    return out.drop("_one")
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 def sections(

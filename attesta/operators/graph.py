@@ -30,22 +30,14 @@ def add_keys(observations: DataFrame) -> DataFrame:
 
 
 def build_relations(observations: DataFrame) -> DataFrame:
-    """One edge per source, predicate and target; its weight is how often it was seen.
-
-    Identical spellings are counted first, so that names are normalised once each.
-    """
-    spelled = observations.groupBy("source", "source_kind", "predicate", "target", "target_kind").agg(
-        F.count("*").alias("_n"),
-        F.max(F.struct("captured_at", "ord", "confidence")).alias("_last"),
-        F.min("captured_at").alias("_first"),
-    )
+    """One edge per source, predicate and target; its weight is how often it was seen."""
     return (
-        add_keys(spelled)
+        add_keys(observations)
         .groupBy("source_key", "relation", "target_key")
         .agg(
-            F.sum("_n").alias("weight"),
-            F.max("_last").alias("_last"),
-            F.min("_first").alias("first_seen"),
+            F.count("*").alias("weight"),
+            F.max(F.struct("captured_at", "ord", "confidence")).alias("_last"),
+            F.min("captured_at").alias("first_seen"),
         )
         .select(
             "source_key",
@@ -86,7 +78,7 @@ def build_entities(mentions: DataFrame) -> DataFrame:
     """Mentions ``name, kind, seen_at, ord, direct`` to one entity per canonical key.
 
     The longest spelling is its display name. Mentions of its own and as the end of an
-    edge are counted apart.
+    edge are counted apart. Equal spellings are counted before they are normalised.
     """
     spelled = (
         mentions.filter(~is_blank(F.trim("name")))
@@ -276,17 +268,14 @@ def search_entities(entities: DataFrame, aliases: DataFrame, query: str, limit:
     """Entities whose names hold every word of the query; failing any, those that contain it."""
     words = sorted({w for w in query.lower().split() if w})
     names = entities.select("entity_key", F.col("name").alias("alias")).unionByName(aliases)
-    tokens = names.select("entity_key", F.explode(F.split(F.lower("alias"), "[^\\p{L}\\p{N}]+")).alias("word"))
-    by_word = (
-        tokens.filter(F.col("word").isin(*words))
-        .groupBy("entity_key")
-        .agg(F.count_distinct("word").alias("_n"))
-        .filter(F.col("_n") == len(words))
-        .select("entity_key")
-    )
-    by_part = names.filter(F.contains(F.lower("alias"), F.lit(query.lower()))).select("entity_key").distinct()
-    fallback = by_part.filter(~by_word.exists())
-    hits = by_word.unionByName(fallback)
+    tokens = F.split(F.lower("alias"), "[^\\p{L}\\p{N}]+")
+    every = F.lit(bool(words))
+    for word in words:
+        every = every & F.max(F.array_contains("_tokens", word))
+    part = F.max(F.contains(F.lower("alias"), F.lit(query.lower())))
+    matched = names.withColumn("_tokens", tokens).groupBy("entity_key").agg(every.alias("_every"), part.alias("_part"))
+    by_word = matched.filter("_every")
+    hits = matched.filter(F.col("_every") | (F.col("_part") & ~by_word.exists()))
     found = entities.join(hits, "entity_key", "left_semi")
     return found.orderBy(F.col("mentions").desc(), F.col("entity_key")).limit(limit)
 
@@ -309,18 +298,27 @@ def neighbors(relations: DataFrame, start: str, depth: int = 1, limit: int | Non
     hop is written out to cut the plan.
     """
     spark = relations.sparkSession
-    frontier = spark.createDataFrame([(start,)], "node string")
+    frontier = spark.range(1).select(F.lit(start).alias("node"))
     seen = frontier
     found = None
     ends = [F.col("source_key"), F.col("target_key")]
     order = [F.col("weight").desc(), F.col("source_key"), F.col("predicate"), F.col("target_key")]
     for hop in range(1, max(1, depth) + 1):
-        near = F.broadcast(frontier) if limit is not None else frontier
-        forward = relations.join(near, ends[0] == F.col("node"), "left_semi")
-        backward = relations.join(near, ends[1] == F.col("node"), "left_semi")
-        touched = forward.unionByName(backward).dropDuplicates(["source_key", "predicate", "target_key"])
-        if limit is not None:
-            touched = touched.orderBy(*order).limit(limit)
+        if limit is None:
+            forward = relations.join(frontier, ends[0] == F.col("node"), "left_semi")
+            backward = relations.join(frontier, ends[1] == F.col("node"), "left_semi")
+            touched = forward.unionByName(backward).dropDuplicates(["source_key", "predicate", "target_key"])
+        else:
+            out = frontier.select(F.col("node").alias("source_key"), F.lit(True).alias("_out"))
+            back = frontier.select(F.col("node").alias("target_key"), F.lit(True).alias("_in"))
+            touched = (
+                relations.join(F.broadcast(out), "source_key", "left")
+                .join(F.broadcast(back), "target_key", "left")
+                .filter(F.coalesce("_out", "_in"))
+                .select(*relations.columns)
+                .orderBy(*order)
+                .limit(limit)
+            )
         touched = touched.withColumn("hop", F.lit(hop))
         if depth > 1:
             touched = cut_lineage(touched)

@@ -77,7 +77,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("https://atlas.example"), none, start, F.col("n_nationkey"),
         )
     )
-    supplied = supply_observations(spark, sf_dir, t.table(spark, sf_dir, "lineitem"))
+    supplied = supply_observations(spark, sf_dir, t.spread(t.table(spark, sf_dir, "lineitem")))
     return supplied.unionByName(located).unionByName(based).unionByName(part_of)
 
 

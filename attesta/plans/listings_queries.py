@@ -48,7 +48,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("about $"), rate))
     )
     roles = F.array(*[F.lit(r) for r in ("Data Annotator", "Search Quality Rater", "Account Executive")])
-    orders = t.table(spark, sf_dir, "orders")
+    orders = t.spread(t.table(spark, sf_dir, "orders"))
     customers = t.table(spark, sf_dir, "customer")
     nations = t.table(spark, sf_dir, "nation")
     return (

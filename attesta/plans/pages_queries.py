@@ -31,7 +31,7 @@ def query(name: str, check: str | None = None):
 
 def extracted(spark, sf_dir):
     ship_package(spark)
-    return page_text.extract_pages(t.table(spark, sf_dir, "pages"))
+    return page_text.extract_pages(t.spread(t.table(spark, sf_dir, "pages")))
 
 
 def _tidy(x: str) -> str:
@@ -82,7 +82,7 @@ FROM pages""",
 )
 def page_metadata(spark, sf_dir):
     ship_package(spark)
-    return page_text.page_metadata(t.table(spark, sf_dir, "pages"))
+    return page_text.page_metadata(t.spread(t.table(spark, sf_dir, "pages")))
 
 
 @query(

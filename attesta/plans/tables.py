@@ -15,12 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table too small to be split, over all cores, before work that is costly per row.
+
+    A table of at least as many scan tasks as cores, as any large one has, is left as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # findings -------------------------------------------------------------------------
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A finding per document: its whole text is the claim, a page its source."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     labels = table(spark, sf_dir, "labels")
     pages = table(spark, sf_dir, "pages")
     cited = F.col("doc_id") % pages.select(F.count("*")).scalar()
@@ -148,7 +157,7 @@ live AS (
 
 def agent_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation turn as an agent's answer, wrapped the way agents wrap JSON."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"))
     items = F.to_json(
         F.array(
             F.struct(F.col("text").alias("name"), F.col("role").alias("category")),

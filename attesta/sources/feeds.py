@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fixed
 from ..functions.pay import no_pay, numeric_pay, prose_pay, stated_pay
 from ..functions.text import strip_markup
-from .reference import dim_platforms
+from .reference import PLATFORM_COLUMNS
 
 LISTING_COLUMNS = (
     "platform", "company", "title", "url", "location", "department", "employment_type", "posted_at",
@@ -30,18 +30,29 @@ def _given(*cols: Column) -> Column:
     return F.coalesce(*[F.when(~c.isin("", "0"), c) for c in cols])
 
 
-def _excerpt(text: Column) -> Column:
-    return F.substring(strip_markup(text), 1, fixed.EXCERPT_CHARS)
+def _plain(jobs: DataFrame, field: str) -> DataFrame:
+    """Adds ``_text``: the description without markup, whole; pay and excerpt are read from it."""
+    return jobs.withColumn("_text", strip_markup(F.col(f"job.{field}")))
+
+
+def _excerpt() -> Column:
+    return F.substring("_text", 1, fixed.EXCERPT_CHARS)
+
+
+def platform_fact(fact: str) -> Column:
+    """What the fixed platform table says of a row's platform; eighteen entries need no join."""
+    at = PLATFORM_COLUMNS.index(fact)
+    pairs = [F.lit(x) for row in fixed.PLATFORMS for x in (row[0], row[at])]
+    return F.try_element_at(F.create_map(*pairs), F.col("platform"))
 
 
 def _listings(jobs: DataFrame, pay: Column | None = None, gig: Column | None = None, **fields: Column) -> DataFrame:
     """Listing columns from job rows ``platform, job``; what a feed lacks is empty text."""
-    platforms = dim_platforms(jobs.sparkSession).select("platform", "company", "worker_gigs")
-    rows = jobs.join(F.broadcast(platforms), "platform", "left").withColumn("_pay", no_pay() if pay is None else pay)
+    rows = jobs.withColumn("_pay", no_pay() if pay is None else pay)
     out = {name: F.coalesce(fields.get(name, F.lit("")), F.lit("")) for name in LISTING_COLUMNS}
     out["platform"] = F.col("platform")
-    out["company"] = F.coalesce("company", F.lit(""))
-    out["worker_gig"] = F.coalesce("worker_gigs", F.lit(False)) if gig is None else gig
+    out["company"] = F.coalesce(platform_fact("company"), F.lit(""))
+    out["worker_gig"] = F.coalesce(platform_fact("worker_gigs"), F.lit(False)) if gig is None else gig
     for name in fixed_pay_columns():
         value = F.col(f"_pay.{name}")
         out[name] = value if name in _PAY_NUMBERS else F.coalesce(value, F.lit(""))
@@ -70,11 +81,11 @@ def listings_greenhouse(raw: DataFrame) -> DataFrame:
         "location:struct<name:string>,departments:array<struct<name:string>>,"
         "metadata:array<struct<name:string,value:string>>>>>"
     )
-    jobs = _jobs(raw, _parsed(schema)["jobs"])
+    jobs = _plain(_jobs(raw, _parsed(schema)["jobs"]), "content")
     types = F.filter("job.metadata", lambda m: m["name"] == "Employment Type")
     return _listings(
         jobs,
-        prose_pay(strip_markup(F.col("job.content"))),
+        prose_pay(F.col("_text")),
         title=F.col("job.title"),
         url=F.col("job.absolute_url"),
         location=F.col("job.location.name"),
@@ -82,7 +93,7 @@ def listings_greenhouse(raw: DataFrame) -> DataFrame:
         employment_type=F.try_element_at(types, F.lit(-1))["value"],
         posted_at=_day(F.col("job.updated_at")),
         external_id=F.col("job.id"),
-        description_excerpt=_excerpt(F.col("job.content")),
+        description_excerpt=_excerpt(),
     )
 
 
@@ -92,14 +103,14 @@ def listings_lever(raw: DataFrame) -> DataFrame:
         "categories:struct<location:string,team:string,department:string,commitment:string,allLocations:array<string>>,"
         "salaryRange:struct<min:double,max:double,currency:string,interval:string>>>"
     )
-    jobs = _jobs(raw, _parsed(schema))
+    jobs = _plain(_jobs(raw, _parsed(schema)), "descriptionPlain")
     salary = F.col("job.salaryRange")
     stated = stated_pay(salary["min"], salary["max"], salary["currency"], salary["interval"], F.to_json(salary))
     created = F.col("job.createdAt")
     millis = F.timestamp_millis(created.try_cast("bigint"))
     return _listings(
         jobs,
-        F.coalesce(stated, prose_pay(strip_markup(F.col("job.descriptionPlain")))),
+        F.coalesce(stated, prose_pay(F.col("_text"))),
         title=F.col("job.text"),
         url=F.col("job.hostedUrl"),
         location=F.col("job.categories.location"),
@@ -108,7 +119,7 @@ def listings_lever(raw: DataFrame) -> DataFrame:
         posted_at=F.when(created.rlike(r"^\d{11,}$"), F.date_format(millis, "yyyy-MM-dd")).otherwise(_day(created)),
         external_id=F.col("job.id"),
         remote=F.get("job.categories.allLocations", F.lit(0)),
-        description_excerpt=_excerpt(F.col("job.descriptionPlain")),
+        description_excerpt=_excerpt(),
     )
 
 
@@ -118,7 +129,7 @@ def listings_ashby(raw: DataFrame) -> DataFrame:
         "employmentType:string,publishedAt:string,isRemote:boolean,descriptionPlain:string,"
         "compensation:struct<compensationTierSummary:string>>>>"
     )
-    jobs = _jobs(raw, _parsed(schema)["jobs"])
+    jobs = _plain(_jobs(raw, _parsed(schema)["jobs"]), "descriptionPlain")
     summary = F.col("job.compensation.compensationTierSummary")
     found = prose_pay(summary)
     return _listings(
@@ -132,7 +143,7 @@ def listings_ashby(raw: DataFrame) -> DataFrame:
         posted_at=_day(F.col("job.publishedAt")),
         external_id=F.col("job.id"),
         remote=F.when(F.col("job.isRemote"), "remote"),
-        description_excerpt=_excerpt(F.col("job.descriptionPlain")),
+        description_excerpt=_excerpt(),
     )
 
 
@@ -145,13 +156,12 @@ def _embedded_list(key: str, item: str) -> Column:
 def listings_join(raw: DataFrame) -> DataFrame:
     item = "struct<id:string,title:string,url:string,location:string,employmentType:string>"
     jobs = _jobs(raw, _embedded_list("jobs", item)).filter(F.coalesce("job.title", F.lit("")) != "")
-    boards = F.broadcast(dim_platforms(raw.sparkSession).select("platform", "token"))
     place = F.col("job.location")
     city = F.get_json_object(place, "$.city")
     return _listings(
-        jobs.join(boards, "platform", "left"),
+        jobs,
         title=F.col("job.title"),
-        url=F.coalesce(_given(F.col("job.url")), F.concat(F.lit("https://join.com/companies/"), "token")),
+        url=F.coalesce(_given(F.col("job.url")), F.concat(F.lit("https://join.com/companies/"), platform_fact("token"))),
         location=F.when(place.startswith("{"), city).otherwise(place),
         employment_type=F.col("job.employmentType"),
         external_id=F.col("job.id"),
@@ -167,14 +177,14 @@ def listings_outlier(raw: DataFrame) -> DataFrame:
     items = F.when(F.size(feed["jobs"]) > 0, feed["jobs"]).otherwise(feed["data"])
     rate = _given(F.col("job.payRate"), F.col("job.hourlyRate"), F.col("job.rate"))
     return _listings(
-        _jobs(raw, items),
+        _plain(_jobs(raw, items), "description"),
         F.coalesce(prose_pay(rate), numeric_pay(rate)),
         F.lit(True),
         title=_given(F.col("job.title"), F.col("job.name")),
         url=F.coalesce("job.url", F.lit("https://app.outlier.ai/en/expert/opportunities")),
         location=F.coalesce(_given(F.col("job.location")), F.lit("remote")),
         external_id=F.col("job.id"),
-        description_excerpt=_excerpt(F.col("job.description")),
+        description_excerpt=_excerpt(),
     )
 
 
@@ -184,14 +194,14 @@ def listings_mercor(raw: DataFrame) -> DataFrame:
     rate = _given(F.col("job.hourlyRate"), F.col("job.payRate"), F.col("job.rate"))
     number = _given(F.col("job.id"))
     return _listings(
-        _jobs(raw, items).filter(F.coalesce("job.title", F.lit("")) != ""),
+        _plain(_jobs(raw, items).filter(F.coalesce("job.title", F.lit("")) != ""), "description"),
         numeric_pay(rate),
         F.lit(True),
         title=F.col("job.title"),
         url=F.concat(F.lit("https://work.mercor.com/jobs/"), number),
         location=F.coalesce(_given(F.col("job.location")), F.lit("remote")),
         external_id=F.col("job.id"),
-        description_excerpt=_excerpt(F.col("job.description")),
+        description_excerpt=_excerpt(),
     )
 
 
@@ -204,14 +214,14 @@ def listings_micro1(raw: DataFrame) -> DataFrame:
     items = F.when(F.size(feed["data"]["jobs"]) > 0, feed["data"]["jobs"]).otherwise(feed["jobs"])
     rate = _given(F.col("job.hourly_rate"), F.col("job.rate"), F.col("job.salary"))
     return _listings(
-        _jobs(raw, items),
+        _plain(_jobs(raw, items), "description"),
         F.coalesce(numeric_pay(rate, F.coalesce("job.currency", F.lit("USD"))), prose_pay(F.col("job.description"))),
         F.lit(True),
         title=_given(F.col("job.title"), F.col("job.job_title")),
         url=F.coalesce(_given(F.col("job.url")), F.lit("https://micro1.ai/jobs")),
         location=F.coalesce(_given(F.col("job.location")), F.lit("remote")),
         external_id=F.coalesce(_given(F.col("job.id")), F.col("job._id")),
-        description_excerpt=_excerpt(F.col("job.description")),
+        description_excerpt=_excerpt(),
     )
 
 
@@ -222,7 +232,7 @@ def listings_imerit(raw: DataFrame) -> DataFrame:
     )
     rate = F.col("job.pay_rate")
     return _listings(
-        _jobs(raw, _parsed(f"struct<jobs:array<{item}>>")["jobs"]),
+        _plain(_jobs(raw, _parsed(f"struct<jobs:array<{item}>>")["jobs"]), "description"),
         F.coalesce(numeric_pay(rate, F.coalesce(_given(F.col("job.currency")), F.lit("local"))), prose_pay(rate)),
         F.lit(True),
         title=F.col("job.title"),
@@ -231,7 +241,7 @@ def listings_imerit(raw: DataFrame) -> DataFrame:
         employment_type=F.col("job.job_type"),
         posted_at=_day(F.col("job.posted_date")),
         external_id=F.col("job.id"),
-        description_excerpt=_excerpt(F.col("job.description")),
+        description_excerpt=_excerpt(),
     )
 
 

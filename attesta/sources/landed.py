@@ -23,7 +23,7 @@ _PAGE = (
 
 def _whole_files(spark: SparkSession, path: str) -> DataFrame:
     """A file is a row; small files are packed into tasks by size."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("value").alias("body"), F.col("_metadata.file_path").alias("file"))
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("body"), F.col("_metadata.file_path").alias("file"))
 
 
 def _split(files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fixed
 
 
+PLATFORM_COLUMNS = ("platform", "company", "access", "ats", "token", "worker_gigs", "has_pay")
+
+
 def dim_platforms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(fixed.PLATFORMS),
-        "platform string, company string, access string, ats string, token string, "
-        "worker_gigs boolean, has_pay boolean",
-    )
+    types = [f"{c} {'boolean' if c in ('worker_gigs', 'has_pay') else 'string'}" for c in PLATFORM_COLUMNS]
+    return spark.createDataFrame(list(fixed.PLATFORMS), ", ".join(types))
 
 
 def dim_prices(spark: SparkSession) -> DataFrame:

@@ -96,9 +96,8 @@ def flatten_jsonstat(raw: DataFrame) -> DataFrame:
         .withColumn("_sizes", sizes)
         .withColumn("_lists", F.transform("_ids", lists))
         .withColumn("_strides", F.transform("_sizes", stride))
-        .withColumn("_cells", F.transform(filled, cell))
     )
-    return staged.select(*_others(raw), F.inline("_cells"))
+    return staged.select(*_others(raw), F.inline(F.transform(filled, cell)))
 
 
 # SDMX-JSON -------------------------------------------------------------------------------
