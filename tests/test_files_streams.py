@@ -82,3 +82,12 @@ def test_keyed_table_keeps_newest_and_survives_a_repeated_batch(spark, tmp_path)
     for batch, value in ((0, 1), (1, 2), (1, 2)):
         tables.write_batch(spark.createDataFrame([("k", value)], "k string, v int"), batch, path)
     assert [tuple(r) for r in tables.newest(spark, path, ["k"]).collect()] == [("k", 2)]
+
+
+def test_reference_tables(spark, tmp_path):
+    from attesta.sources import reference
+
+    assert (reference.dim_platforms(spark).count(), reference.dim_reports(spark).count(), reference.dim_prices(spark).count()) == (18, 14, 11)
+    (tmp_path / "s.json").write_text('{"key":"a","auth":"none"}\n{"key":"b","auth":"key_free","env_var":"K"}\n{"key":"c","auth":"key_free","env_var":"L"}\n')
+    got = {r["key"]: r["status"] for r in reference.dim_sources(spark, str(tmp_path / "s.json"), ["K"]).collect()}
+    assert got == {"a": "ready", "b": "ready", "c": "needs L"}
