@@ -343,24 +343,26 @@ def provenance(observations: DataFrame, entity: str, limit: int = fixed.PROVENAN
 def graph_stats(entities: DataFrame, relations: DataFrame, observations: DataFrame, sources: DataFrame) -> DataFrame:
     """Sizes of the tables, entities by kind and the most frequent predicates, as rows."""
 
-    def one(df: DataFrame, name: str, value: Column) -> DataFrame:
-        return df.agg(value.alias("value")).select(F.lit("total").alias("statistic"), F.lit(name).alias("name"), "value")
-
-    def grouped(df: DataFrame, statistic: str, by: str) -> DataFrame:
-        counts = df.groupBy(F.col(by).alias("name")).agg(F.count("*").alias("value"))
-        return counts.select(F.lit(statistic).alias("statistic"), "name", "value")
-
-    top = grouped(relations, "predicate", "predicate").orderBy(F.col("value").desc(), "name").limit(fixed.TOP_PREDICATES)
-    parts = [
-        one(entities, "entities", F.count("*")),
-        one(relations, "relations", F.count("*")),
-        one(observations, "observations", F.count("*")),
-        one(observations, "runs", F.count_distinct("run_id")),
-        one(sources, "sources", F.count("*")),
-        grouped(entities, "kind", "kind"),
-        top,
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    by_kind = _with_total(entities, "kind", "kind", "entities")
+    by_predicate = _with_total(relations, "predicate", "predicate", "relations")
+    totals = by_predicate.filter(F.col("statistic") == "total")
+    top = by_predicate.filter(F.col("statistic") == "predicate").orderBy(F.col("value").desc(), "name").limit(fixed.TOP_PREDICATES)
+    log = observations.agg(F.count("*").alias("observations"), F.count_distinct("run_id").alias("runs"))
+    pages = sources.agg(F.count("*").alias("sources"))
+    return by_kind.unionByName(totals).unionByName(top).unionByName(_as_rows(log)).unionByName(_as_rows(pages))
+
+
+def _with_total(df: DataFrame, by: str, statistic: str, total: str) -> DataFrame:
+    """Rows per value of a column and in total, from one pass."""
+    counted = df.rollup(by).agg(F.count("*").alias("value"), F.grouping_id().alias("_level"))
+    is_total = F.col("_level") == 1
+    return counted.select(
+        F.when(is_total, "total").otherwise(statistic).alias("statistic"),
+        F.when(is_total, total).otherwise(F.col(by)).alias("name"),
+        "value",
+    )
+
+
+def _as_rows(totals: DataFrame) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit("total").alias("statistic"), F.lit(c).alias("name"), F.col(c).alias("value")) for c in totals.columns])
+    return totals.select(F.inline(pairs))

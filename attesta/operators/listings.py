@@ -77,9 +77,8 @@ def filter_listings(
 def pay_summary(listings: DataFrame, by_currency: bool = True) -> DataFrame:
     """Per company: listings, those with pay, and the upper median of hourly rates."""
     keys = ["company", "pay_currency"] if by_currency else ["company"]
-    counts = listings.groupBy(*keys).agg(F.count("*").alias("listings"), F.count_if(has_pay()).alias("with_pay"))
-    hourly = listings.filter(F.col("pay_unit") == "hour")
-    return counts.join(upper_median(hourly, keys, "pay_min", "median_hourly"), keys, "left")
+    hourly = F.when(F.col("pay_unit") == "hour", F.col("pay_min"))
+    return upper_median(listings, keys, hourly, "median_hourly", {"listings": F.lit(True), "with_pay": has_pay()})
 
 
 def listing_totals(listings: DataFrame) -> DataFrame:
@@ -94,13 +93,15 @@ def listing_totals(listings: DataFrame) -> DataFrame:
 def rate_spread(listings: DataFrame) -> DataFrame:
     """Lowest, middle and highest published rate per currency, unit and location."""
     keys = ["pay_currency", "pay_unit", "location"]
-    paid = listings.filter(F.col("pay_min").isNotNull())
-    ends = paid.groupBy(*keys).agg(
-        F.count("*").alias("listings"),
-        F.min("pay_min").alias("lowest"),
-        F.max(F.coalesce("pay_max", "pay_min")).alias("highest"),
+    return upper_median(
+        listings.filter(F.col("pay_min").isNotNull()),
+        keys,
+        F.col("pay_min"),
+        "median",
+        counts={"listings": F.lit(True)},
+        lows={"lowest": F.col("pay_min")},
+        highs={"highest": F.coalesce("pay_max", "pay_min")},
     )
-    return ends.join(upper_median(paid, keys, "pay_min", "median"), keys)
 
 
 def rank_listings(listings: DataFrame) -> DataFrame:

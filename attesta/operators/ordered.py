@@ -71,20 +71,37 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, rank
     return df.withColumn(rank, position).filter(F.col(rank) <= n)
 
 
-def upper_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+def upper_median(
+    df: DataFrame,
+    keys: list[str],
+    value: Column,
+    out: str,
+    counts: dict[str, Column] | None = None,
+    lows: dict[str, Column] | None = None,
+    highs: dict[str, Column] | None = None,
+) -> DataFrame:
     """The element at ``count div 2`` (from 0) of the sorted values of every group.
 
-    Equal values are counted before they meet, so a large group costs as many rows
-    as it has distinct values.
+    Rows of equal value are reduced to one before they meet, so a large group costs as
+    many rows as it has distinct values. Counts, minima and maxima of the group (dicts
+    of name to column) come from the same pass; a null value counts only there.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    ranked = counts.select(
-        *keys,
-        value,
-        F.sum("_n").over(upto).alias("_upto"),
-        F.sum("_n").over(whole).alias("_all"),
+    counts, lows, highs = counts or {}, lows or {}, highs or {}
+    equal = df.groupBy(*keys, value.alias("_value")).agg(
+        F.count("*").alias("_n"),
+        *[F.count_if(c).alias(n) for n, c in counts.items()],
+        *[F.min(c).alias(n) for n, c in lows.items()],
+        *[F.max(c).alias(n) for n, c in highs.items()],
+    )
+    known = F.when(F.col("_value").isNotNull(), F.col("_n")).otherwise(0)
+    upto = Window.partitionBy(*keys).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = equal.withColumn("_upto", F.sum(known).over(upto)).withColumn(
+        "_all", F.sum(known).over(Window.partitionBy(*keys))
     )
     middle = F.floor(F.col("_all") / 2) + 1
-    return ranked.groupBy(*keys).agg(F.min(F.when(F.col("_upto") >= middle, F.col(value))).alias(out))
+    return ranked.groupBy(*keys).agg(
+        *[F.sum(n).alias(n) for n in counts],
+        *[F.min(n).alias(n) for n in lows],
+        *[F.max(n).alias(n) for n in highs],
+        F.min(F.when(F.col("_upto") >= middle, F.col("_value"))).alias(out),
+    )

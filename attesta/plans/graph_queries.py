@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as ops
+from ..session import cut_lineage
 from . import findings_queries as fq
 from . import sql
 from . import tables as t
@@ -123,6 +124,12 @@ def entities(spark, sf_dir):
     return ops.build_entities(ops.end_mentions(observations(spark, sf_dir)))
 
 
+def _names(spark, sf_dir):
+    """Entities and aliases as the stored tables a search reads more than once."""
+    aliases = ops.build_aliases(ops.end_mentions(observations(spark, sf_dir)))
+    return cut_lineage(entities(spark, sf_dir)), cut_lineage(aliases)
+
+
 @query(
     "build_relations",
     sql.with_ctes(_OBS) + "SELECT source_key, predicate, target_key, weight, confidence, first_seen, last_seen FROM rel",
@@ -197,7 +204,7 @@ FROM (SELECT *, 1 AS hop FROM hop1 UNION ALL SELECT *, 2 FROM hop2) GROUP BY ALL
 ORDER BY hop, weight DESC, source_key, predicate, target_key LIMIT 200""",
 )
 def neighbors_2(spark, sf_dir):
-    return ops.neighbors(relations(spark, sf_dir), START, 2)
+    return ops.neighbors(cut_lineage(relations(spark, sf_dir)), START, 2)
 
 
 @query(
@@ -223,8 +230,7 @@ def entity_lookup(spark, sf_dir):
     sql.with_ctes(_OBS) + "SELECT entity_key, name, edge_mentions FROM ents WHERE regexp_matches(lower(name), '^supplier#') ORDER BY mentions DESC, entity_key LIMIT 25",
 )
 def entity_search(spark, sf_dir):
-    aliases = ops.build_aliases(ops.end_mentions(observations(spark, sf_dir)))
-    out = ops.search_entities(entities(spark, sf_dir), aliases, "Supplier")
+    out = ops.search_entities(*_names(spark, sf_dir), "Supplier")
     return out.select("entity_key", "name", "edge_mentions")
 
 
@@ -233,8 +239,7 @@ def entity_search(spark, sf_dir):
     sql.with_ctes(_OBS) + "SELECT entity_key, name, edge_mentions FROM ents WHERE contains(lower(name), 'pplier#00') ORDER BY mentions DESC, entity_key LIMIT 25",
 )
 def entity_search_part(spark, sf_dir):
-    aliases = ops.build_aliases(ops.end_mentions(observations(spark, sf_dir)))
-    out = ops.search_entities(entities(spark, sf_dir), aliases, "pplier#00")
+    out = ops.search_entities(*_names(spark, sf_dir), "pplier#00")
     return out.select("entity_key", "name", "edge_mentions")
 
 

@@ -143,7 +143,7 @@ def test_upper_median(spark):
     from attesta.operators.ordered import upper_median
 
     df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4)] + [("b", 7.0), ("b", 7.0), ("b", 1.0)], "k string, v double")
-    assert dict(rows(upper_median(df, ["k"], "v", "m"), "k", "m")) == {"a": 3.0, "b": 7.0}
+    assert dict(rows(upper_median(df, ["k"], F.col("v"), "m"), "k", "m")) == {"a": 3.0, "b": 7.0}
 
 
 def test_crossing_call(spark):
