@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..fixed_values import ENTITY_STOPWORDS
+from ..fixed_values import ENTITY_STOPWORDS, PREDICATE_CHARS
 
 
 def is_blank(col: Column, dtype: T.DataType | None = None) -> Column:
@@ -119,8 +119,6 @@ def entity_key(name: Column, kind: Column) -> Column:
 
 
 def predicate_name(col: Column) -> Column:
-    from ..fixed_values import PREDICATE_CHARS
-
     name = F.substring(F.regexp_replace(F.lower(F.trim(col)), "\\s+", "_"), 1, PREDICATE_CHARS)
     return F.when(F.coalesce(name, F.lit("")) == "", "related_to").otherwise(name)
 

@@ -280,7 +280,7 @@ def _citations(findings: DataFrame, key: str, fields: Sequence[str]) -> DataFram
         if field_type(findings, name).typeName() == "array":
             part = F.transform(
                 F.col(name),
-                lambda u, i: F.struct(  # noqa: B023
+                lambda u, i: F.struct(
                     F.concat(F.lit(name + "["), i.cast("string"), F.lit("]")).alias("field"),
                     F.lit(rank).alias("rank"),
                     u.alias("url"),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import cell_text, file_key, slug
-from ..functions.urls import authority, url_normal
+from ..functions.text import file_key, slug
+from ..functions.urls import authority, url_kind, url_normal
 from ..operators import findings as ops
 from ..operators import pages as page_ops
 from ..operators import shape, work
@@ -235,8 +235,6 @@ SELECT page_id, {sql.url_normal('url')} AS url_key, {sql.host('url')} AS host,
 FROM pages""",
 )
 def url_normalize(spark, sf_dir):
-    from ..functions.urls import url_kind
-
     return t.table(spark, sf_dir, "pages").select(
         "page_id", url_normal(F.col("url")).alias("url_key"), authority(F.col("url")).alias("host"), url_kind(F.col("url")).alias("kind")
     )

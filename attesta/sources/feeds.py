@@ -22,6 +22,7 @@ LISTING_COLUMNS = (
     "remote", "worker_gig", "external_id", "description_excerpt",
 )
 _PAY_NUMBERS = ("pay_min", "pay_max")
+_PAY_COLUMNS = tuple(c for c in LISTING_COLUMNS if c.startswith("pay_"))
 _EMBEDDED = r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>'
 
 
@@ -53,16 +54,12 @@ def _listings(jobs: DataFrame, pay: Column | None = None, gig: Column | None = N
     out["platform"] = F.col("platform")
     out["company"] = F.coalesce(platform_fact("company"), F.lit(""))
     out["worker_gig"] = F.coalesce(platform_fact("worker_gigs"), F.lit(False)) if gig is None else gig
-    for name in fixed_pay_columns():
+    for name in _PAY_COLUMNS:
         value = F.col(f"_pay.{name}")
         out[name] = value if name in _PAY_NUMBERS else F.coalesce(value, F.lit(""))
     return rows.select([col.alias(name) for name, col in out.items()])
 
 
-def fixed_pay_columns() -> tuple[str, ...]:
-    return tuple(c for c in LISTING_COLUMNS if c.startswith("pay_"))
-
-
 def _jobs(raw: DataFrame, items: Column) -> DataFrame:
     return raw.select("platform", F.explode(items).alias("job"))
 
