@@ -212,11 +212,11 @@ class TextEncoder:
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with a column of token ids, packed as little-endian 32-bit integers, in place of ``text``."""
-    model = docs.sparkSession.sparkContext.broadcast(Vocabulary.from_file(path))
+    model = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary.from_file(path)))
     kept = [c for c in docs.columns if c not in (text, ids)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(model.value)
+        encoder = TextEncoder(Vocabulary(**model.value))
         for batch in batches:
             made = pa.array(encoder.encode_all(batch.column("_text").to_pylist()), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], [*kept, ids])
@@ -227,12 +227,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """``encoded`` with a column of decoded text. Null ids give an empty text; an id outside the vocabulary is an error."""
-    model = encoded.sparkSession.sparkContext.broadcast(Vocabulary.from_file(path))
+    model = encoded.sparkSession.sparkContext.broadcast(vars(Vocabulary.from_file(path)))
     kept = [c for c in encoded.columns if c != text]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(**model.value)
         for batch in batches:
-            made = pa.array((model.value.decode(x or b"") for x in batch.column(ids).to_pylist()), pa.string())
+            made = pa.array((vocabulary.decode(x or b"") for x in batch.column(ids).to_pylist()), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*kept, text])
 
     rows = encoded.select(*(F.col(f"`{c}`") for c in kept))
