@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import itertools
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 #: Fixed value: how byte-level BPE cuts text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORDS_PER_BLOCK = 200_000
-CHARS_PER_BLOCK = 2_000_000
-CACHED_BYTES = 200 << 20
+CHARS_PER_BLOCK = 1_000_000
+CACHED_BYTES = 64 << 20
 UNMERGED = np.iinfo(np.int32).max
 
 
@@ -181,7 +181,7 @@ class TextEncoder:
             self._learn_words(set(block))
             yield b"".join(map(self.by_word.__getitem__, block))
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The packed ids of each text. Merge rounds take the new words of many texts at once."""
         block, size = [], 0
         for text in texts:
@@ -218,7 +218,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder(Vocabulary(**model.value))
         for batch in batches:
-            made = pa.array(encoder.encode_all(batch.column("_text").to_pylist()), pa.binary())
+            made = pa.array(encoder.encode_all(t.as_py() for t in batch.column("_text")), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], [*kept, ids])
 
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("_text"))
@@ -233,7 +233,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text")
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(**model.value)
         for batch in batches:
-            made = pa.array((vocabulary.decode(x or b"") for x in batch.column(ids).to_pylist()), pa.string())
+            made = pa.array((vocabulary.decode(x.as_py() or b"") for x in batch.column(ids)), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*kept, text])
 
     rows = encoded.select(*(F.col(f"`{c}`") for c in kept))
