@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, simhash
+from . import bpe, decontam, langid, quality, simhash
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    most = {c: F.max(c).cast("long").alias(c) for c in ("n_equal", "n_item")}
+    return found.groupBy("doc_id", "item_id").agg(*most.values())
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(_table(spark, sf_dir, "documents"))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -42,8 +48,8 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_quality, op7_bpe, op8_langid)}
+    return {f.__name__: f for f in (op2_simhash, op3_decontam, op4_quality, op7_bpe, op8_langid)}
 
 
 def checks() -> dict[str, str]:
-    return {"op4_quality": quality.SQL}
+    return {"op3_decontam": decontam.SQL, "op4_quality": quality.SQL}
