@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, quality, simhash
+from . import bpe, chat, decontam, langid, quality, simhash, urlfilter
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), rules).drop("url")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -47,9 +52,14 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").unionByName(chat.probe(spark))
+    return chat.read_back(chat.format_conversations(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_decontam, op4_quality, op7_bpe, op8_langid)}
+    return {f.__name__: f for f in (op1_urlfilter, op2_simhash, op3_decontam, op4_quality, op7_bpe, op8_langid, op10_chat)}
 
 
 def checks() -> dict[str, str]:
-    return {"op3_decontam": decontam.SQL, "op4_quality": quality.SQL}
+    return {"op1_urlfilter": urlfilter.SQL, "op3_decontam": decontam.SQL, "op4_quality": quality.SQL, "op10_chat": chat.SQL}
