@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, quality, simhash, urlfilter
+from . import bpe, chat, decontam, langid, quality, simhash, urlfilter, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -40,6 +40,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -58,7 +62,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_urlfilter, op2_simhash, op3_decontam, op4_quality, op7_bpe, op8_langid, op10_chat)}
+    return {f.__name__: f for f in (op1_urlfilter, op2_simhash, op3_decontam, op4_quality, op5_warc, op7_bpe, op8_langid, op10_chat)}
 
 
 def checks() -> dict[str, str]:
