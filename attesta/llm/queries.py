@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, quality, simhash, urlfilter, warc
+from . import bpe, chat, decontam, langid, quality, simhash, tokenfile, urlfilter, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -56,13 +56,17 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op9_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(_table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").unionByName(chat.probe(spark))
     return chat.read_back(chat.format_conversations(turns))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_urlfilter, op2_simhash, op3_decontam, op4_quality, op5_warc, op7_bpe, op8_langid, op10_chat)}
+    return {f.__name__: f for f in (op1_urlfilter, op2_simhash, op3_decontam, op4_quality, op5_warc, op7_bpe, op8_langid, op9_tokenfile, op10_chat)}
 
 
 def checks() -> dict[str, str]:
