@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, quality, simhash, tokenfile, urlfilter, warc
+from . import bpe, chat, decontam, htmltext, langid, quality, simhash, tokenfile, urlfilter, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -44,6 +44,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op6_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -66,7 +70,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_urlfilter, op2_simhash, op3_decontam, op4_quality, op5_warc, op7_bpe, op8_langid, op9_tokenfile, op10_chat)}
+    return {f.__name__: f for f in (op1_urlfilter, op2_simhash, op3_decontam, op4_quality, op5_warc, op6_htmltext, op7_bpe, op8_langid, op9_tokenfile, op10_chat)}
 
 
 def checks() -> dict[str, str]:
