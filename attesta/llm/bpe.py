@@ -218,11 +218,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder(Vocabulary(**model.value))
         for batch in batches:
-            made = pa.array(encoder.encode_all(t.as_py() for t in batch.column("_text")), pa.binary())
+            made = pa.array(encoder.encode_all(t.as_py() for t in batch.column("_attesta_text")), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], [*kept, ids])
 
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("_text"))
-    return rows.mapInArrow(task, rows.drop("_text").withColumn(ids, F.lit(b"")).schema)
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("_attesta_text"))
+    return rows.mapInArrow(task, rows.drop("_attesta_text").withColumn(ids, F.lit(b"")).schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:

@@ -63,34 +63,34 @@ def with_repeats(df: DataFrame, words_column: str, name: str) -> DataFrame:
     w = words_column
     window = ", ".join(f"{w}[i + {k}]" for k in range(WINDOW))
     hashes = f"CASE WHEN size({w}) < {WINDOW} THEN array() ELSE transform(sequence(0, size({w}) - {WINDOW}), i -> xxhash64({window})) END"
-    bits = "cast(ceil(log2(size(_hashes))) AS int)"
-    packed = f"transform(_hashes, (h, i) -> shiftleft(shiftright(h, {bits}), {bits}) + i)"
-    same = f"shiftright(p, {bits}) = shiftright(get(_packed, k {{}} 1), {bits})"
-    repeated = f"filter(_packed, (p, k) -> coalesce({same.format('-')}, false) OR coalesce({same.format('+')}, false))"
+    bits = "cast(ceil(log2(size(_attesta_hashes))) AS int)"
+    packed = f"transform(_attesta_hashes, (h, i) -> shiftleft(shiftright(h, {bits}), {bits}) + i)"
+    same = f"shiftright(p, {bits}) = shiftright(get(_attesta_packed, k {{}} 1), {bits})"
+    repeated = f"filter(_attesta_packed, (p, k) -> coalesce({same.format('-')}, false) OR coalesce({same.format('+')}, false))"
     places = f"transform({repeated}, p -> p - shiftleft(shiftright(p, {bits}), {bits}))"
-    covered = f"aggregate(transform(_places, (p, k) -> least({WINDOW}, coalesce(get(_places, k + 1) - p, {WINDOW}))), 0L, (a, x) -> a + x)"
-    any_twice = "size(array_distinct(_hashes)) < size(_hashes)"
+    covered = f"aggregate(transform(_attesta_places, (p, k) -> least({WINDOW}, coalesce(get(_attesta_places, k + 1) - p, {WINDOW}))), 0L, (a, x) -> a + x)"
+    any_twice = "size(array_distinct(_attesta_hashes)) < size(_attesta_hashes)"
     return (
-        df.withColumn("_hashes", F.expr(hashes))
-        .withColumn("_packed", F.expr(f"CASE WHEN {any_twice} THEN sort_array({packed}) END"))
-        .withColumn("_places", F.expr(f"sort_array({places})"))
-        .withColumn(name, F.expr(f"CASE WHEN _packed IS NULL THEN 0L ELSE {covered} END"))
-        .drop("_hashes", "_packed", "_places")
+        df.withColumn("_attesta_hashes", F.expr(hashes))
+        .withColumn("_attesta_packed", F.expr(f"CASE WHEN {any_twice} THEN sort_array({packed}) END"))
+        .withColumn("_attesta_places", F.expr(f"sort_array({places})"))
+        .withColumn(name, F.expr(f"CASE WHEN _attesta_packed IS NULL THEN 0L ELSE {covered} END"))
+        .drop("_attesta_hashes", "_attesta_packed", "_attesta_places")
     )
 
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    found = df.withColumn("_words", words(text)).withColumn("_lines", lines(text))
-    found = with_repeats(found, "_words", "n_repeat_words").withColumns(
+    found = df.withColumn("_attesta_words", words(text)).withColumn("_attesta_lines", lines(text))
+    found = with_repeats(found, "_attesta_words", "n_repeat_words").withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
+            "n_words": F.size("_attesta_words").cast("long"),
             "word_chars": word_chars(text),
             "n_symbols": count_of(SYMBOLS, text),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+            "n_dup_lines": (F.size("_attesta_lines") - F.size(F.array_distinct("_attesta_lines"))).cast("long"),
         }
     )
-    return found.withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")).drop("_words", "_lines")
+    return found.withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")).drop("_attesta_words", "_attesta_lines")
 
 
 def default_rules(text: str = "text") -> list[Rule]:
@@ -149,8 +149,8 @@ def kept(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns. The dear count of repeats comes last."""
     columns = docs.columns
     short = docs.where(F.size(words()) >= 10).where(verdict(ordered(docs, default_rules())))
-    found = with_repeats(short.withColumn("_words", words()), "_words", "_repeats")
-    return found.where("100 * _repeats <= 20 * size(_words)").select(*(F.col(f"`{c}`") for c in columns))
+    found = with_repeats(short.withColumn("_attesta_words", words()), "_attesta_words", "_attesta_repeats")
+    return found.where("100 * _attesta_repeats <= 20 * size(_attesta_words)").select(*(F.col(f"`{c}`") for c in columns))
 
 
 #: DuckDB SQL for the counts and the verdict.

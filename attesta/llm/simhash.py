@@ -195,8 +195,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     chosen = near_duplicates(docs, radius).groupBy("root").agg(first)
     # One row of each text and id in a class, so one entry; two classes never share a text.
-    chosen = chosen.select(F.col("first.text_hash").alias("_hash"), F.coalesce("first.doc_id", F.lit(0)).alias("_id"), F.col("first.no_id").alias("_none"))
-    keys = {"_hash": F.xxhash64("text"), "_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()}
+    chosen = chosen.select(F.col("first.text_hash").alias("_attesta_hash"), F.coalesce("first.doc_id", F.lit(0)).alias("_attesta_id"), F.col("first.no_id").alias("_attesta_none"))
+    keys = {"_attesta_hash": F.xxhash64("text"), "_attesta_id": F.coalesce("doc_id", F.lit(0)), "_attesta_none": F.col("doc_id").isNull()}
     rows = docs.withColumns(keys).join(chosen, list(keys), "left_semi")
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-    return rows.withColumn("_place", place).where("_place = 1").drop("_place", *keys)
+    return rows.withColumn("_attesta_place", place).where("_attesta_place = 1").drop("_attesta_place", *keys)

@@ -13,10 +13,11 @@ text's hash; repeated rows are written each.
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -37,40 +38,58 @@ WITH_CHECKSUMS = 0x80
 END_ID = 2
 FRAME_IDS = 1 << 16
 FILE_IDS = 1 << 24
-CACHED_CHUNKS = 200_000
+CACHED_CHUNKS = 400_000
 CHUNKS_PER_BLOCK = 100_000
+STOPS = b".,;:!?"
 NO_ID = -(2**63)
 
 
 class ChunkEncoder:
-    """Encodes texts with a tokenizer that drops white space, chunk by chunk between white space.
+    """Encodes texts with a tokenizer that drops white space and case, chunk by chunk between ASCII white space.
 
-    No token reaches over white space, so ids of equal chunks are equal and are looked up, up to a bound.
+    No token reaches over white space, so equal chunks have equal ids. They are kept in two generations: when the
+    newer one is full the older one goes, and chunks in use move up.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        # str.split also cuts at four control characters that are no white space to the tokenizer
-        self.not_space, self.space = re.compile(r"[\x1c-\x1f]"), re.compile(r"[^\S\x1c-\x1f]+")
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, text: str | None) -> Iterator[bytes]:
         """Packed ids of the text, in blocks of chunks."""
-        text = text or ""
-        chunks = text.split() if not self.not_space.search(text) else self.space.split(text)
+        data = (text or "").encode()
+        # A-Z only, which the tokenizer does as well; but lower case can turn marks into control tokens
+        chunks = data.split() if b"<|" in data else data.lower().split()
         for k in range(0, len(chunks), CHUNKS_PER_BLOCK):
             block = chunks[k : k + CHUNKS_PER_BLOCK]
-            self.learn(set(block))
+            self.learn(block)
             yield b"".join(map(self.known.__getitem__, block))
 
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > CACHED_CHUNKS:
-            self.known, new = {}, list(chunks)
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []
-        self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, found))
+    def learn(self, block: list[bytes]) -> None:
+        if len(self.known) > CACHED_CHUNKS:
+            self.known, self.older = {}, self.known
+        missing = {c for c in block if c not in self.known}
+        ends = {c: c.rstrip(STOPS) for c in missing}
+        # A word and the stops after it are tokens of their own, so the word alone is looked up.
+        ended = {c: w for c, w in ends.items() if len(w) < len(c) and w.decode().lower().isalpha()}
+        self._encode({ended.get(c, c) for c in missing} | {c[len(w) :] for c, w in ended.items()})
+        known = self.known
+        known.update((c, known[w] + known[c[len(w) :]]) for c, w in ended.items())
+
+    def _encode(self, chunks: set[bytes]) -> None:
+        known, older, new = self.known, self.older, []
+        for c in chunks:
+            if c in older:
+                known[c] = older[c]
+            elif c not in known:
+                new.append(c)
+        if new:
+            found = self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
+            known.update((c, pack(f"<{len(e.ids)}I", *e.ids)) for c, e in zip(new, found))
 
 
 class Writer:
@@ -156,8 +175,11 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> Data
     Files in the order of (part, file) hold the documents in the order of doc_id.
     """
 
+    memo = docs.sparkSession.sparkContext.broadcast({})  # a worker keeps its copy, and so its encoder, from task to task
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, number, end = ChunkEncoder(path), None, 0, np.array([end_id], "<u4").tobytes()
+        encoder = memo.value.get(path) or memo.value.setdefault(path, ChunkEncoder(path))
+        writer, number, end = None, 0, np.array([end_id], "<u4").tobytes()
 
         def closed(part: int) -> pa.RecordBatch:
             uri, ids, n = writer.close()
