@@ -5,25 +5,32 @@ from __future__ import annotations
 import re
 from datetime import date, timedelta
 
+#: The relative tokens, as a pattern and what its number takes off the day.
+#: "7d" names the first day of a window of seven days, so today is one of them.
+_OFFSETS = (
+    (r"(today)", lambda n: 0),
+    (r"(yesterday)", lambda n: 1),
+    (r"([0-9]+)d", lambda n: max(n - 1, 0)),
+    (r"([0-9]+)d(?:ays)?ago", lambda n: n),
+)
+
 
 def resolve_day(token: str, as_of: date) -> date:
-    """ISO day, ``today``, ``yesterday``, ``7d`` (first day of a week's window) or ``7dAgo``."""
+    """The day that an ISO date or a relative token means on the day ``as_of``."""
     text = str(token).strip().lower()
-    if text == "today":
-        return as_of
-    if text == "yesterday":
-        return as_of - timedelta(days=1)
-    if found := re.fullmatch(r"(\d+)d(ays)?ago", text):
-        return as_of - timedelta(days=int(found[1]))
-    if found := re.fullmatch(r"(\d+)d", text):
-        return as_of - timedelta(days=max(0, int(found[1]) - 1))
-    if re.fullmatch(r"\d{4}-\d{2}-\d{2}", text):
+    for pattern, days_back in _OFFSETS:
+        if found := re.fullmatch(pattern, text):
+            number = int(found[1]) if found[1].isdigit() else 0
+            return as_of - timedelta(days=days_back(number))
+    try:
         return date.fromisoformat(text)
-    raise ValueError(f"could not read date {token!r}: use YYYY-MM-DD, today, yesterday, 28d or 7dAgo")
+    except ValueError:
+        raise ValueError(f"{token!r} is no report day") from None
 
 
 def resolve_window(start: str, end: str, as_of: date) -> tuple[date, date]:
-    first, last = resolve_day(start, as_of), resolve_day(end, as_of)
-    if first > last:
-        raise ValueError(f"window starts after it ends: {first} > {last}")
-    return first, last
+    """Both ends of a window, in order."""
+    window = resolve_day(start, as_of), resolve_day(end, as_of)
+    if window != tuple(sorted(window)):
+        raise ValueError(f"{start!r} is after {end!r}")
+    return window

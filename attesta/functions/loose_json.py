@@ -10,7 +10,9 @@ from .text import let
 
 
 def _valid(text: Column) -> Column:
-    return F.when((text != "") & F.try_parse_json(text).isNotNull(), text)
+    """``text`` if it is one JSON value and nothing else: as a list's only element it still reads as one."""
+    alone = F.size(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")) == 1
+    return F.when((text != "") & F.try_parse_json(text).isNotNull() & alone, text)
 
 
 def repaired(text: Column) -> Column:

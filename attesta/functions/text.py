@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..fixed_values import ENTITY_STOPWORDS, PREDICATE_CHARS
+from ..fixed_values import ENTITY_STOPWORDS
 
 
 def is_blank(col: Column, dtype: T.DataType | None = None) -> Column:
@@ -61,7 +61,7 @@ def strip_markup(col: Column) -> Column:
 
 
 def content_hash(col: Column) -> Column:
-    return F.when(F.coalesce(col, F.lit("")) != "", F.substring(F.sha2(col, 256), 1, 16))
+    return F.when(F.coalesce(col, F.lit("")) != "", F.sha2(col, 256))
 
 
 def cell_text(col: Column, dtype: T.DataType) -> Column:
@@ -103,7 +103,7 @@ def entity_slug(name: Column) -> Column:
 
     def chosen(every: Column) -> Column:
         kept = F.filter(every, lambda w: ~w.isin(*ENTITY_STOPWORDS))
-        hashed = F.concat(F.lit("x-"), F.substring(F.sha1(F.trim(name)), 1, 12))
+        hashed = F.concat(F.lit("x-"), F.sha1(F.trim(name)))
         return (
             F.when(F.size(kept) > 0, F.array_join(kept, "-"))
             .when(F.size(every) > 0, F.array_join(every, "-"))
@@ -119,7 +119,7 @@ def entity_key(name: Column, kind: Column) -> Column:
 
 
 def predicate_name(col: Column) -> Column:
-    name = F.substring(F.regexp_replace(F.lower(F.trim(col)), "\\s+", "_"), 1, PREDICATE_CHARS)
+    name = F.regexp_replace(F.lower(F.trim(col)), "\\s+", "_")
     return F.when(F.coalesce(name, F.lit("")) == "", "related_to").otherwise(name)
 
 

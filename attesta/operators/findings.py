@@ -13,8 +13,6 @@ from ..functions.text import field_type, is_blank, text_normal
 from ..functions.urls import authority, url_normal
 from .ordered import first_rows
 
-KEY_CHARS = 120
-INLINE_SOURCES = 1_000
 
 
 # agent output ------------------------------------------------------------------
@@ -83,10 +81,10 @@ def substantive(df: DataFrame) -> list[str]:
 def with_dedupe_key(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Adds ``_key``: the first of ``fields`` that still says something once normalised.
 
-    Long keys are replaced by their digest, so that the key stays cheap to shuffle. A
-    finding with no usable field gets the digest of all its fields; none is lost. Each
-    normal form is a column of its own and thus computed once. A table that already
-    stores its ``_key`` is taken as it is.
+    The key is the digest of that form, so that it is cheap to shuffle. A finding with no
+    usable field gets the digest of all its fields; none is lost. Each normal form is a
+    column of its own and thus computed once. A table that already stores its ``_key`` is
+    taken as it is.
     """
     if "_key" in df.columns:
         return df
@@ -99,11 +97,10 @@ def with_dedupe_key(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     first = F.coalesce(
         *[F.when(F.col(c) != "", F.col(c)) for c in forms], F.concat(F.lit("sha1:"), F.sha1(whole))
     )
-    digest = F.concat(F.lit("sha256:"), F.sha2("_first", 256))
     return (
         df.withColumns(forms)
         .withColumn("_first", first)
-        .withColumn("_key", F.coalesce(F.when(F.length("_first") > KEY_CHARS, digest), "_first", F.lit("")))
+        .withColumn("_key", F.sha2("_first", 256))
         .drop("_first", *forms)
     )
 
@@ -136,15 +133,14 @@ def finding_sources(findings: DataFrame, dedupe_fields: Sequence[str] = fixed.DE
 def merge_findings(
     findings: DataFrame,
     dedupe_fields: Sequence[str] = fixed.DEDUPE_FIELDS,
-    inline_sources: int = INLINE_SOURCES,
 ) -> DataFrame:
     """One record per entity: the richest sighting wins, its blanks filled from the others.
 
     Rank is confidence, then filled fields, then arrival (``_ord``, unique). Each
-    column takes the best-ranked sighting that has a value, by an aggregate that
-    combines within the task, so a key seen billions of times shuffles one row per
-    task. ``_sources`` is listed in arrival order where a key has at most
-    ``inline_sources`` agents; the table of ``finding_sources`` has them all.
+    column takes the best-ranked sighting that has a value. The findings are read once: a
+    first aggregation by key and agent, which combines within the task, and a second by
+    key over its results. ``_first_agent`` reported the entity first; the table of
+    ``finding_sources`` has all agents.
     """
     fields = substantive(findings)
     ranked = with_dedupe_key(findings, dedupe_fields).withColumn(
@@ -156,27 +152,20 @@ def merge_findings(
         ),
     )
 
-    def best(name: str) -> Column:
-        return F.min_by(name, F.when(~is_blank(F.col(name), field_type(findings, name)), F.col("_rank"))).alias(name)
-
-    merged = ranked.groupBy("_key").agg(F.count("*").alias("_corroborations"), *[best(c) for c in fields])
-    pairs = finding_sources(findings, dedupe_fields)
-    counted = pairs.groupBy("_key").agg(
-        F.count("*").alias("_source_count"), F.min("first_ord").alias("_first_ord")
-    )
-    listed = (
-        first_rows(pairs, ["_key"], [F.col("first_ord"), F.col("_agent")], inline_sources)
-        .groupBy("_key")
-        .agg(F.sort_array(F.collect_list(F.struct("first_ord", "_agent"))).alias("_listed"))
+    ranks = {c: F.when(~is_blank(F.col(c), field_type(findings, c)), F.col("_rank")) for c in fields}
+    by_agent = ranked.groupBy("_key", "_agent").agg(
+        F.count("*").alias("_n"),
+        F.min("_ord").alias("_arrived"),
+        *[F.min_by(c, rank).alias(c) for c, rank in ranks.items()],
+        *[F.min(rank).alias(f"_rank_{c}") for c, rank in ranks.items()],
     )
-    few = F.coalesce(F.col("_source_count"), F.lit(0)) <= inline_sources
-    names = F.coalesce(F.col("_listed._agent"), F.array().cast("array<string>"))
-    return (
-        merged.join(counted, "_key", "left")
-        .join(listed, "_key", "left")
-        .withColumn("_sources", F.when(few, names))
-        .withColumn("_source_count", F.coalesce("_source_count", F.lit(0)))
-        .drop("_listed")
+    named = ~is_blank(F.col("_agent"))
+    return by_agent.groupBy("_key").agg(
+        F.sum("_n").alias("_corroborations"),
+        *[F.min_by(c, f"_rank_{c}").alias(c) for c in fields],
+        F.count_if(named).alias("_source_count"),
+        F.min(F.when(named, F.col("_arrived"))).alias("_first_ord"),
+        F.min_by("_agent", F.when(named, F.struct("_arrived", "_agent"))).alias("_first_agent"),
     )
 
 
@@ -224,11 +213,13 @@ def adjudicate(
     votes: DataFrame,
     key: str,
     lenses: int = len(fixed.VERIFIER_LENSES),
+    max_problems: int | None = None,
 ) -> DataFrame:
     """Verdict of the lenses; a dead primary URL outweighs them.
 
     ``votes`` has ``key, lens, lens_ord, supported, problems``; a failed vote has a null
-    ``supported``. ``findings`` may carry ``_url_status``.
+    ``supported``. ``findings`` may carry ``_url_status``. All problems stated are listed, or
+    the first ``max_problems``.
     """
     need = max(1, lenses // 2 + 1)
     live = votes.filter(F.col("supported").isNotNull())
@@ -236,10 +227,12 @@ def adjudicate(
         F.count_if("supported").alias("_yes"), F.count("*").alias("_live")
     )
     stated = live.select(key, "lens_ord", "lens", F.posexplode("problems").alias("_pos", "_problem"))
+    order = ["lens_ord", "lens", "_pos"]
+    if max_problems is not None:
+        stated = first_rows(stated, [key], [F.col(c) for c in order], max_problems)
     problems = (
-        first_rows(stated, [key], [F.col("lens_ord"), F.col("lens"), F.col("_pos")], fixed.MAX_PROBLEMS)
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("_rank", "_problem"))).alias("_stated"))
+        stated.groupBy(key)
+        .agg(F.sort_array(F.collect_list(F.struct(*order, "_problem"))).alias("_stated"))
         .select(key, F.col("_stated._problem").alias("_stated"))
     )
     judged = findings.join(tally, key, "left").join(problems, key, "left")

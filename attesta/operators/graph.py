@@ -198,13 +198,12 @@ def finding_edges(findings: DataFrame, topic: str, run_id: str) -> DataFrame:
         )
 
     name, kind, none = F.col("_name"), F.col("_kind"), F.lit(None).cast("string")
-    snippet = F.substring(F.coalesce(field("summary"), field("evidence")), 1, fixed.SNIPPET_CHARS)
+    snippet = F.coalesce(field("summary"), field("evidence"))
     edges = [edge(F.lit(topic), F.lit("topic"), "found", name, kind, snippet)]
     for field_name, predicate, target_kind in fixed.FIELD_EDGES:
         if field_name in have:
             value = field(field_name)
-            usable = ~is_blank(value) & (F.length(F.col(field_name)) < fixed.FIELD_EDGE_MAX_CHARS)
-            edges.append(F.when(usable, edge(name, kind, predicate, value, F.lit(target_kind), none)))
+            edges.append(F.when(~is_blank(value), edge(name, kind, predicate, value, F.lit(target_kind), none)))
     host = domain(F.col("_url"))
     edges.append(F.when(~is_blank(host), edge(name, kind, "documented_at", host, F.lit("domain"), none)))
     own = F.coalesce(field("confidence"), F.lit("medium"))
@@ -290,35 +289,22 @@ def top_edges(relations: DataFrame, predicate: str | None = None, limit: int = 1
     return rows.orderBy(F.col("weight").desc(), "source_key", "predicate", "target_key").limit(limit)
 
 
-def neighbors(relations: DataFrame, start: str, depth: int = 1, limit: int | None = fixed.NEIGHBOR_ROWS) -> DataFrame:
-    """Edges within ``depth`` hops of an entity key, the strongest ``limit`` per hop and in all.
+def neighbors(relations: DataFrame, start: str, depth: int = 1, limit: int | None = None) -> DataFrame:
+    """Edges within ``depth`` hops of an entity key: all of them, or the strongest ``limit`` of each hop.
 
-    With a limit a hop adds at most ``2 * limit`` nodes, so the frontier is broadcast and
-    the edges stay where they are. Without one nothing is broadcast by hand, and every
-    hop is written out to cut the plan.
+    Every hop is written out to cut the plan; which side of a join is broadcast is left to Spark.
     """
     spark = relations.sparkSession
     frontier = spark.range(1).select(F.lit(start).alias("node"))
     seen = frontier
     found = None
     ends = [F.col("source_key"), F.col("target_key")]
-    order = [F.col("weight").desc(), F.col("source_key"), F.col("predicate"), F.col("target_key")]
     for hop in range(1, max(1, depth) + 1):
-        if limit is None:
-            forward = relations.join(frontier, ends[0] == F.col("node"), "left_semi")
-            backward = relations.join(frontier, ends[1] == F.col("node"), "left_semi")
-            touched = forward.unionByName(backward).dropDuplicates(["source_key", "predicate", "target_key"])
-        else:
-            out = frontier.select(F.col("node").alias("source_key"), F.lit(True).alias("_out"))
-            back = frontier.select(F.col("node").alias("target_key"), F.lit(True).alias("_in"))
-            touched = (
-                relations.join(F.broadcast(out), "source_key", "left")
-                .join(F.broadcast(back), "target_key", "left")
-                .filter(F.coalesce("_out", "_in"))
-                .select(*relations.columns)
-                .orderBy(*order)
-                .limit(limit)
-            )
+        forward = relations.join(frontier, ends[0] == F.col("node"), "left_semi")
+        backward = relations.join(frontier, ends[1] == F.col("node"), "left_semi")
+        touched = forward.unionByName(backward).dropDuplicates(["source_key", "predicate", "target_key"])
+        if limit is not None:
+            touched = touched.orderBy(F.col("weight").desc(), "source_key", "predicate", "target_key").limit(limit)
         touched = touched.withColumn("hop", F.lit(hop))
         if depth > 1:
             touched = cut_lineage(touched)
@@ -327,10 +313,9 @@ def neighbors(relations: DataFrame, start: str, depth: int = 1, limit: int | Non
             nodes = touched.select(F.explode(F.array(*ends)).alias("node")).distinct()
             frontier = nodes.join(seen, "node", "left_anti")
             seen = seen.unionByName(frontier)
-    edges = found.groupBy("source_key", "predicate", "target_key").agg(
+    return found.groupBy("source_key", "predicate", "target_key").agg(
         F.first("weight").alias("weight"), F.first("confidence").alias("confidence"), F.min("hop").alias("hop")
     )
-    return edges if limit is None else edges.orderBy(F.col("hop"), *order).limit(limit)
 
 
 def provenance(observations: DataFrame, entity: str, limit: int = fixed.PROVENANCE_ROWS) -> DataFrame:
@@ -346,7 +331,7 @@ def graph_stats(entities: DataFrame, relations: DataFrame, observations: DataFra
     by_kind = _with_total(entities, "kind", "kind", "entities")
     by_predicate = _with_total(relations, "predicate", "predicate", "relations")
     totals = by_predicate.filter(F.col("statistic") == "total")
-    top = by_predicate.filter(F.col("statistic") == "predicate").orderBy(F.col("value").desc(), "name").limit(fixed.TOP_PREDICATES)
+    top = by_predicate.filter(F.col("statistic") == "predicate")
     log = observations.agg(F.count("*").alias("observations"), F.count_distinct("run_id").alias("runs"))
     pages = sources.agg(F.count("*").alias("sources"))
     return by_kind.unionByName(totals).unionByName(top).unionByName(_as_rows(log)).unionByName(_as_rows(pages))

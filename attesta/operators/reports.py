@@ -98,7 +98,7 @@ def report(
     dims: Sequence[str],
     metrics: Sequence[str],
     order_by: str | None = None,
-    limit: int | None = fixed.REPORT_ROWS,
+    limit: int | None = None,
     keep_not_set: bool = False,
     registry: dict[str, Column] | None = None,
 ) -> DataFrame:
@@ -123,7 +123,7 @@ def drop_all_not_set(rows: DataFrame, dims: Sequence[str]) -> DataFrame:
     return rows.filter(~F.coalesce(unknown, F.lit(False)))
 
 
-def run_recipe(name: str, facts: DataFrame, limit: int = fixed.REPORT_ROWS, **options) -> DataFrame:
+def run_recipe(name: str, facts: DataFrame, limit: int | None = None, **options) -> DataFrame:
     """A named report; event reports take event rows, the others session rows."""
     dims, metrics, order_by = fixed.REPORT_RECIPES[name]
     registry = event_metrics() if "eventName" in dims else session_metrics()

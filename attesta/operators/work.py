@@ -49,8 +49,9 @@ def pending_units(plan: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def run_progress(units: DataFrame) -> DataFrame:
-    """Units done and money spent per run, from its checkpoints alone."""
-    return units.groupBy("run_id").agg(
+    """Units done and money spent per run, from the last checkpoint of each of its units."""
+    last = first_rows(units, ["run_id", "unit_key"], [F.col("saved_at").desc(), F.col("seq").desc()], 1)
+    return last.groupBy("run_id").agg(
         F.count("*").alias("done"),
         F.count_if(is_blank(F.col("error"))).alias("succeeded"),
         F.round(F.coalesce(F.sum(F.col("cost_usd").cast(MONEY)), F.lit(0)).cast("double"), 4).alias("cost_usd"),
@@ -79,8 +80,8 @@ def estimate(plan: DataFrame, verify: bool) -> DataFrame:
 def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Calls with their cost; a model without a price takes the fallback price.
 
-    The price table has a fixed, small number of rows, hence the broadcast. Money is
-    decimal, so that sums do not depend on their order.
+    Spark broadcasts the price table where its size allows. Money is decimal, so that sums
+    do not depend on their order.
     """
     fallback_in, fallback_out = fixed.FALLBACK_PRICE
     rate_in = F.coalesce(F.col("price_in"), F.lit(fallback_in).cast("decimal(10,2)"))
@@ -89,7 +90,7 @@ def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
         "decimal(18,0)"
     ) * rate_out
     return (
-        calls.join(F.broadcast(prices), "model", "left")
+        calls.join(prices, "model", "left")
         .withColumn("cost_usd", (micro / F.lit(1_000_000).cast("decimal(8,0)")).cast(MONEY))
         .drop("price_in", "price_out")
     )

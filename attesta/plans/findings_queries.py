@@ -32,7 +32,7 @@ def query(name: str, check: str | None = None):
 
 _KEYED = f"""
 keyed AS (
-  SELECT *, CASE WHEN length(k0) > 120 THEN 'sha256:' || sha256(k0) ELSE k0 END AS k
+  SELECT *, sha256(k0) AS k
   FROM (SELECT *, coalesce(nullif({sql.normal('name')}, ''), nullif({sql.url_normal('url')}, '')) AS k0 FROM findings)
 )"""
 _MERGED = """
@@ -43,7 +43,7 @@ ranked AS (
   FROM keyed
 ),
 agents AS (SELECT k, agent, min(ord) AS first_ord, count(*) AS sightings FROM keyed GROUP BY ALL),
-sources AS (SELECT k, string_agg(agent, '; ' ORDER BY first_ord) AS sources, count(*) AS source_count FROM agents GROUP BY k),
+sources AS (SELECT k, arg_min(agent, first_ord) AS first_agent, count(*) AS source_count FROM agents GROUP BY k),
 merged AS (
   SELECT k, count(*) AS corroborations, first(name ORDER BY rk) FILTER (WHERE name <> '') AS name,
          first(url ORDER BY rk) AS url, first(confidence ORDER BY rk) AS confidence,
@@ -64,7 +64,7 @@ def merged_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.with_ctes(*_MERGE_CTES)
     + """
 SELECT m.k AS key, m.name, m.url, m.confidence, m.category, m.summary, m.finding_id,
-       m.corroborations, s.source_count, s.sources
+       m.corroborations, s.source_count, s.first_agent
 FROM merged m JOIN sources s USING (k)""",
 )
 def merge_findings(spark, sf_dir):
@@ -78,7 +78,7 @@ def merge_findings(spark, sf_dir):
         "finding_id",
         F.col("_corroborations").alias("corroborations"),
         F.col("_source_count").alias("source_count"),
-        F.array_join("_sources", "; ").alias("sources"),
+        F.col("_first_agent").alias("first_agent"),
     )
 
 
@@ -412,11 +412,12 @@ def unit_keys(spark, sf_dir):
     """
 SELECT conv_id % 10 AS run_id, count(*) AS done, count(*) FILTER (WHERE turn % 5 <> 4) AS succeeded,
        round(CAST(sum(length(text) % 100) AS DOUBLE) / 100, 4) AS cost_usd
-FROM conversations GROUP BY 1""",
+FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) = 1) GROUP BY 1""",
 )
 def run_progress(spark, sf_dir):
+    """Every unit is delivered twice, which counts once."""
     units = t.agent_output(spark, sf_dir).withColumn("cost_usd", F.col("cents") / 100)
-    return work.run_progress(units)
+    return work.run_progress(units.unionByName(units))
 
 
 @query(

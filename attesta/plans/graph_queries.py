@@ -80,7 +80,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("https://atlas.example"), none, start, F.col("n_nationkey"),
         )
     )
-    supplied = supply_observations(spark, sf_dir, t.spread(t.table(spark, sf_dir, "lineitem")))
+    supplied = supply_observations(spark, sf_dir, t.table(spark, sf_dir, "lineitem"))
     return supplied.unionByName(located).unionByName(based).unionByName(part_of)
 
 
@@ -179,7 +179,6 @@ _HOP = """
 hop{n} AS (
   SELECT source_key, predicate, target_key, weight, confidence FROM rel
   WHERE source_key IN (SELECT node FROM f{n}) OR target_key IN (SELECT node FROM f{n})
-  ORDER BY weight DESC, source_key, predicate, target_key LIMIT 200
 )"""
 _HOPS = (
     f"f1 AS (SELECT '{START}' AS node)",
@@ -202,8 +201,7 @@ def neighbors_1(spark, sf_dir):
     sql.with_ctes(_OBS, *_HOPS)
     + """
 SELECT source_key, predicate, target_key, weight, confidence, CAST(min(hop) AS INTEGER) AS hop
-FROM (SELECT *, 1 AS hop FROM hop1 UNION ALL SELECT *, 2 FROM hop2) GROUP BY ALL
-ORDER BY hop, weight DESC, source_key, predicate, target_key LIMIT 200""",
+FROM (SELECT *, 1 AS hop FROM hop1 UNION ALL SELECT *, 2 FROM hop2) GROUP BY ALL""",
 )
 def neighbors_2(spark, sf_dir):
     return ops.neighbors(cut_lineage(relations(spark, sf_dir)), START, 2)
@@ -301,7 +299,7 @@ UNION ALL SELECT finding_id, 'thing', 'categorised_as', category, 'category', co
 UNION ALL SELECT finding_id, 'thing', 'documented_at', domain, 'domain', conf, NULL FROM named WHERE domain <> ''""",
 )
 def finding_edges(spark, sf_dir):
-    claims = fq.judged_claims(spark, sf_dir).withColumn("_ord", F.col("finding_id")).withColumn("_agent", F.get("_sources", F.lit(0)))
+    claims = fq.judged_claims(spark, sf_dir).withColumn("_ord", F.col("finding_id")).withColumn("_agent", F.col("_first_agent"))
     edges = ops.finding_edges(claims, "given documents", "run-1")
     return edges.select("ord", "source_kind", "predicate", "target", "target_kind", "confidence", "snippet")
 

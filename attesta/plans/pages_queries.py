@@ -31,7 +31,7 @@ def query(name: str, check: str | None = None):
 
 def extracted(spark, sf_dir):
     ship_package(spark)
-    return page_text.extract_pages(t.spread(t.table(spark, sf_dir, "pages")))
+    return page_text.extract_pages(t.table(spark, sf_dir, "pages"))
 
 
 def _tidy(x: str) -> str:
@@ -82,7 +82,7 @@ FROM pages""",
 )
 def page_metadata(spark, sf_dir):
     ship_package(spark)
-    return page_text.page_metadata(t.spread(t.table(spark, sf_dir, "pages")))
+    return page_text.page_metadata(t.table(spark, sf_dir, "pages"))
 
 
 @query(
@@ -115,7 +115,7 @@ def page_flags(spark, sf_dir):
     + f"""
 SELECT kind, group_key, count(*) AS copies, min(page_id) AS canonical_id, arg_min(url, page_id) AS canonical_url
 FROM (SELECT 'url' AS kind, {sql.url_normal('url')} AS group_key, page_id, url FROM words
-      UNION ALL SELECT 'content', substr(sha256(text), 1, 16), page_id, url FROM words) GROUP BY ALL""",
+      UNION ALL SELECT 'content', sha256(text), page_id, url FROM words) GROUP BY ALL""",
 )
 def page_dedupe(spark, sf_dir):
     return ops.page_groups(extracted(spark, sf_dir), "text")
@@ -126,7 +126,7 @@ def page_dedupe(spark, sf_dir):
     sql.with_ctes(_WORDS)
     + """,
 caps AS (
-  SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS url, substr(sha256(text), 1, 16) AS content_hash FROM words
+  SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS url, sha256(text) AS content_hash FROM words
 ),
 lagged AS (SELECT *, lag(content_hash) OVER (PARTITION BY url ORDER BY page_id) AS previous_hash FROM caps)
 SELECT url, page_id, content_hash, previous_hash, coalesce(content_hash <> previous_hash, false) AS changed FROM lagged""",

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-import importlib
-
-_GROUPS = ("findings", "listings", "reports", "graph", "stats", "pages", "streams")
-
-
-def _load(attr: str) -> dict:
-    out: dict = {}
-    for group in _GROUPS:
-        try:
-            module = importlib.import_module(f".{group}_queries", __package__)
-        except ModuleNotFoundError:
-            continue
-        out.update(getattr(module, attr))
-    return out
+from . import (
+    findings_queries,
+    graph_queries,
+    listings_queries,
+    pages_queries,
+    reports_queries,
+    stats_queries,
+    streams_queries,
+)
+
+_GROUPS = (
+    findings_queries,
+    listings_queries,
+    reports_queries,
+    graph_queries,
+    stats_queries,
+    pages_queries,
+    streams_queries,
+)
 
 
 def queries() -> dict:
-    return _load("QUERIES")
+    return {name: query for group in _GROUPS for name, query in group.QUERIES.items()}
 
 
 def checks() -> dict:
-    return _load("CHECKS")
+    return {name: check for group in _GROUPS for name, check in group.CHECKS.items()}

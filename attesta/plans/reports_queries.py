@@ -120,7 +120,7 @@ def _report_sql(name: str) -> str:
     head = f'"{order}"' + ("" if order in dims else " DESC")
     return sql.with_ctes(*_FACTS[kind]) + (
         f"SELECT {', '.join(quoted)}, {', '.join(f'{_METRIC_SQL[m]} AS {chr(34)}{m}{chr(34)}' for m in metrics)} "
-        f"FROM facts WHERE {known} GROUP BY {', '.join(quoted)} ORDER BY {head}, {', '.join(quoted)} LIMIT 5000"
+        f"FROM facts WHERE {known} GROUP BY {', '.join(quoted)} ORDER BY {head}, {', '.join(quoted)}"
     )
 
 
@@ -172,7 +172,7 @@ FROM (SELECT date, country, sessions, lag(sessions) OVER (PARTITION BY country O
       FROM (SELECT date, country, count(*) AS sessions FROM facts GROUP BY ALL))""",
 )
 def trend_change(spark, sf_dir):
-    daily = ops.report(ops.sessions(web_events(spark, sf_dir), ["country"]), ["date", "country"], ["sessions"], limit=None)
+    daily = ops.report(ops.sessions(web_events(spark, sf_dir), ["country"]), ["date", "country"], ["sessions"])
     return ops.trend_change(daily, ["country"], "sessions")
 
 

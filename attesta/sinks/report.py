@@ -6,35 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
-from ..operators.findings import coverage_gaps
+from ..operators.findings import coverage_gaps, substantive
 from ..operators.work import ledger
 
-_PREFERRED = ("name", "title", "company", "country", "value", "url", "website", "linkedin", "summary", "confidence")
-
-
-def table_columns(findings: DataFrame) -> list[str]:
-    """Columns a reader looks for first, filled up to three from the others, then counts and verdict."""
-    present = [c for c in findings.columns if not c.startswith("_")]
-    chosen = [c for c in _PREFERRED if c in present]
-    if len(chosen) < 3:
-        chosen += sorted(c for c in present if c not in chosen)[: 4 - len(chosen)]
-    return chosen + [c for c in ("_corroborations", "_verdict") if c in findings.columns]
-
 
 def report_frames(findings: DataFrame, units: DataFrame, stats: DataFrame, priced_calls: DataFrame) -> dict[str, DataFrame]:
-    """Summary, findings by verdict, gaps, failures and spend, each a table of its own."""
+    """Summary, findings by verdict, gaps, failures and spend, each a table of its own.
+
+    Findings keep every column of their contract in its order, then count, verdict, votes and all problems.
+    """
+    about = ("_corroborations", "_verdict", "_verdict_votes", "_problems")
+    shown = findings.select(*substantive(findings), *(c for c in about if c in findings.columns))
     verdict = F.coalesce("_verdict", F.lit("unverified"))
-    columns = table_columns(findings)
-    failed = units.filter(~is_blank(F.col("error")))
-    refuted = findings.filter(verdict == "refuted")
-    why = F.array_join(F.slice(F.coalesce("_problems", F.array().cast("array<string>")), 1, 2), "; ")
-    return {
+    by_verdict = {
+        "verified": verdict == "supported",
+        "unverified": ~verdict.isin("supported", "refuted"),
+        "refuted": verdict == "refuted",
+    }
+    return {name: shown.filter(test) for name, test in by_verdict.items()} | {
         "summary": stats,
-        "verified": findings.filter(verdict == "supported").select(*columns),
-        "unverified": findings.filter(~verdict.isin("supported", "refuted")).select(*columns),
-        "refuted": refuted.select(*columns[:3], "_verdict_votes", why.alias("_why")),
         "gaps": coverage_gaps(units),
-        "failures": failed.select("unit_key", "error"),
+        "failures": units.filter(~is_blank(F.col("error"))).select("unit_key", "error"),
         "spend_by_model": ledger(priced_calls),
     }
 

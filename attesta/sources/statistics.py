@@ -216,8 +216,8 @@ def read_worldbank(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_pxweb_metadata(raw: DataFrame, max_values: int | None = fixed.PXWEB_VALUES) -> DataFrame:
-    """A table's variables, each with its first values."""
+def read_pxweb_metadata(raw: DataFrame, max_values: int | None = None) -> DataFrame:
+    """A table's variables, each with all its values, or the first ``max_values``."""
     schema = (
         "struct<variables:array<struct<code:string,text:string,values:array<string>,valueTexts:array<string>,"
         "elimination:boolean,time:boolean>>>"

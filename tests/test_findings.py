@@ -14,17 +14,19 @@ def rows(df, *cols):
 def test_merge_back_fills_and_counts(spark):
     df = spark.createDataFrame(
         [
-            ("Acme", "https://acme.com", "low", None, "a1", 1),
-            ("Acme", "https://www.acme.com/", "high", "1999", "a2", 2),
-            ("Globex", "https://globex.com", "low", None, "a1", 3),
+            ("Tern & Sons", "http://tern.example/", "medium", None, "north", 11),
+            ("Tern", "https://WWW.tern.example", "high", "", "south", 12),
+            ("Tern Ltd", "https://tern.example/?utm_source=x", "low", "1871", "north", 13),
+            ("Plover", "https://plover.example", "medium", None, "south", 14),
         ],
         COLUMNS,
     )
-    merged = {r["_key"]: r for r in ops.merge_findings(df).collect()}
-    acme = merged["acme.com"]
-    assert (acme["_corroborations"], acme["_sources"], acme["confidence"], acme["founded"]) == (2, ["a1", "a2"], "high", "1999")
-    assert merged["globex.com"]["_corroborations"] == 1
-    assert len(merged) == 2
+    merged = {r["name"]: r for r in ops.merge_findings(df).collect()}
+    tern = merged["Tern"]
+    assert (tern["_corroborations"], tern["_source_count"], tern["_first_agent"]) == (3, 2, "north")
+    assert (tern["confidence"], tern["founded"]) == ("high", "1871")
+    assert merged["Plover"]["_corroborations"] == 1 and len(merged) == 2
+    assert all(len(r["_key"]) == 64 for r in merged.values())
 
 
 def test_merge_is_independent_of_order_and_loses_nothing(spark):
@@ -43,14 +45,44 @@ def test_merge_is_independent_of_order_and_loses_nothing(spark):
 
 
 def test_hot_key_with_many_agents_keeps_every_source_in_the_table(spark):
-    made = spark.range(300).select(
+    made = spark.range(1_500).select(
         F.lit("Hot").alias("name"), F.lit(None).cast("string").alias("url"), F.lit("low").alias("confidence"),
         F.lit(None).cast("string").alias("founded"), F.concat(F.lit("a"), F.col("id")).alias("_agent"), F.col("id").alias("_ord"),
     )
-    hot = ops.merge_findings(made, inline_sources=100).head()
-    assert (hot["_source_count"], hot["_sources"], hot["_corroborations"]) == (300, None, 300)
-    assert ops.finding_sources(made).count() == 300
-    assert ops.merge_findings(made, inline_sources=300).head()["_sources"] == [f"a{i}" for i in range(300)]
+    hot = ops.merge_findings(made).head()
+    assert (hot["_source_count"], hot["_first_agent"], hot["_corroborations"]) == (1_500, "a0", 1_500)
+    assert ops.finding_sources(made).count() == 1_500
+
+
+def test_all_problems_are_kept(spark):
+    findings = spark.createDataFrame([(1, "x")], "finding_id int, name string")
+    votes = spark.createDataFrame(
+        [(1, f"lens{i}", i, False, [f"{i}a", f"{i}b", f"{i}c"]) for i in range(4)],
+        "finding_id int, lens string, lens_ord int, supported boolean, problems array<string>",
+    )
+    told = ops.adjudicate(findings, votes, "finding_id").head()["_problems"]
+    assert told == [f"{i}{c}" for i in range(4) for c in "abc"]
+    assert ops.adjudicate(findings, votes, "finding_id", max_problems=5).head()["_problems"] == told[:5]
+
+
+def test_only_whole_json_is_valid(spark):
+    from attesta.functions import loose_json
+
+    texts = {
+        '{"a": 1}': '{"a": 1}', ' {"a": "] } {"} ': '{"a": "] } {"}', '{"a": 1} {"b": 2}': None, '{"a": 1}, {"b": 2}': None,
+        'see {"a": 1} there': '{"a": 1}', '[1, 2] [3]': None, "[]": "[]", "{": None, "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r[0]: r[1] for r in df.select("t", loose_json.repaired(F.col("t"))).collect()}
+    assert {t: None if x is None else x.strip() for t, x in got.items()} == texts
+
+
+def test_a_repeated_delivery_counts_once(spark):
+    units = spark.createDataFrame(
+        [("r", "u1", 1, 1, None, 0.5), ("r", "u1", 1, 1, None, 0.5), ("r", "u2", 1, 1, "late", 0.25), ("r", "u2", 2, 2, None, 0.75)],
+        "run_id string, unit_key string, saved_at int, seq int, error string, cost_usd double",
+    )
+    assert tuple(work.run_progress(units).head()) == ("r", 2, 2, 1.25)
 
 
 def test_non_latin_names_are_kept(spark):

@@ -51,6 +51,19 @@ def test_neighbors_by_depth(spark):
     assert ops.neighbors(rel, "company:none", 2).count() == 0
 
 
+def test_the_second_hop_survives_a_full_first_hop(spark):
+    spokes = [("Hub", "p", f"Spoke {i}", "low", None) for i in range(300)]
+    rel = ops.build_relations(observations(spark, [*spokes, ("Spoke 7", "q", "Far", "low", None)]))
+    by_hop = {r["hop"]: r["count"] for r in ops.neighbors(rel, "company:hub", 2).groupBy("hop").count().collect()}
+    assert by_hop == {1: 300, 2: 1}
+
+
+def test_long_predicates_stay_apart(spark):
+    long = "is a member of the standing committee on the preservation of "
+    rel = ops.build_relations(observations(spark, [("A", long + "mills", "B", "low", None), ("A", long + "barns", "B", "low", None)]))
+    assert rel.count() == 2
+
+
 def test_search_by_alias_and_fallback(spark):
     m = spark.createDataFrame([("International Business Machines", "company", ["IBM"], T0, 1, True), ("Ibmex", "company", None, T0, 2, True)], "name string, kind string, aliases array<string>, seen_at timestamp, ord long, direct boolean")
     entities, aliases = ops.build_entities(m), ops.build_aliases(m)

@@ -8,17 +8,18 @@ from attesta.operators import reports
 from attesta.sources import statistics as stats
 from pyspark.sql import functions as F
 
-DAY = dt.date(2026, 3, 10)
-
-
-def test_date_tokens():
-    assert resolve_day("today", DAY) == DAY
-    assert resolve_day("2026-01-15", DAY) == dt.date(2026, 1, 15)
-    assert resolve_day("7dAgo", DAY) == dt.date(2026, 3, 3)
-    assert resolve_day("7daysAgo", DAY) == dt.date(2026, 3, 3)
-    assert resolve_window("7d", "today", DAY) == (dt.date(2026, 3, 4), DAY)
-    with pytest.raises(ValueError, match="could not read date"):
-        resolve_day("last tuesday", DAY)
+DAY = dt.date(2024, 3, 2)
+
+
+def test_report_days():
+    days = {" Yesterday": (2024, 3, 1), "30d": (2024, 2, 2), "1d": (2024, 3, 2), "0d": (2024, 3, 2), "2dago": (2024, 2, 29), "61DaysAgo": (2024, 1, 1), "2023-12-24": (2023, 12, 24)}
+    assert {t: resolve_day(t, DAY) for t in days} == {t: dt.date(*d) for t, d in days.items()}
+    assert resolve_window("2dAgo", "yesterday", DAY) == (dt.date(2024, 2, 29), dt.date(2024, 3, 1))
+    for wrong in ("", "soon", "d", "-3d", "2024-02-30"):
+        with pytest.raises(ValueError, match="no report day"):
+            resolve_day(wrong, DAY)
+    with pytest.raises(ValueError, match="after"):
+        resolve_window("today", "2d", DAY)
 
 
 def test_dimension_guard(spark):
