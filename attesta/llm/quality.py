@@ -150,7 +150,10 @@ def kept(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     short = docs.where(F.size(words()) >= 10).where(verdict(ordered(docs, default_rules())))
     found = with_repeats(short.withColumn("_attesta_words", words()), "_attesta_words", "_attesta_repeats")
-    return found.where("100 * _attesta_repeats <= 20 * size(_attesta_words)").select(*(F.col(f"`{c}`") for c in columns))
+    # A plain filter would be pushed below the columns it rests on and write all of them out in each of its places.
+    passed = F.when(F.expr("100 * _attesta_repeats <= 20 * size(_attesta_words)"), F.array(F.lit(True)))
+    marked = found.withColumn("_attesta_passed", F.explode_outer(passed)).where("_attesta_passed")
+    return marked.select(*(F.col(f"`{c}`") for c in columns))
 
 
 #: DuckDB SQL for the counts and the verdict.
