@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
+from ..sources.feeds import WHOLE_TEXT
 from .ordered import upper_median
 
 
@@ -56,8 +57,9 @@ def filter_listings(
     pay_only: bool = False,
     gigs_only: bool = False,
 ) -> DataFrame:
-    """Any keyword, no excluded word, any country, and the three switches."""
-    words = ("title", "department", "description_excerpt", "employment_type")
+    """Any keyword, no excluded word, any country, and the three switches. Descriptions are searched whole."""
+    text = WHOLE_TEXT if WHOLE_TEXT in listings.columns else "description_excerpt"
+    words = ("title", "department", text, "employment_type")
     blob = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in words]))
     place = F.lower(F.coalesce("location", F.lit("")))
     out = listings

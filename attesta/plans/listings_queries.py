@@ -22,7 +22,8 @@ CHECKS: dict = {}
 
 def query(name: str, check: str | None = None):
     def keep(fn):
-        QUERIES[name] = fn
+        # the whole description is carried for filters and not shown
+        QUERIES[name] = lambda spark, sf_dir: fn(spark, sf_dir).drop(feeds.WHOLE_TEXT)
         if check is not None:
             CHECKS[name] = check
         return fn

@@ -22,6 +22,7 @@ LISTING_COLUMNS = (
     "remote", "worker_gig", "external_id", "description_excerpt",
 )
 _PAY_NUMBERS = ("pay_min", "pay_max")
+WHOLE_TEXT = "_description"
 _PAY_COLUMNS = tuple(c for c in LISTING_COLUMNS if c.startswith("pay_"))
 _EMBEDDED = r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>'
 
@@ -57,7 +58,9 @@ def _listings(jobs: DataFrame, pay: Column | None = None, gig: Column | None = N
     for name in _PAY_COLUMNS:
         value = F.col(f"_pay.{name}")
         out[name] = value if name in _PAY_NUMBERS else F.coalesce(value, F.lit(""))
-    return rows.select([col.alias(name) for name, col in out.items()])
+    # The whole text goes along as a column that is not shown, for filters; the excerpt is for readers.
+    whole = F.col("_text") if "_text" in jobs.columns else F.lit("")
+    return rows.select([col.alias(name) for name, col in out.items()] + [whole.alias(WHOLE_TEXT)])
 
 
 def _jobs(raw: DataFrame, items: Column) -> DataFrame:

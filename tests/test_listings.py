@@ -83,3 +83,13 @@ def test_short_country_codes_stand_alone(spark):
         df = df.withColumn(c, F.lit(""))
     got = {r["location"] for r in ops.filter_listings(df, countries=["in", "kingdom"]).collect()}
     assert got == {"Pune, IN", "United Kingdom"}
+
+
+def test_words_far_into_a_description_decide(spark):
+
+
+    far = "filler " * 100
+    jobs = [{"id": i, "title": "Role", "content": f"<p>{far}{word}</p>"} for i, word in enumerate(("beekeeping", "beekeeping unpaid", "plain"))]
+    raw = spark.createDataFrame([("invisible", json.dumps({"jobs": jobs}))], "platform string, payload string")
+    got = ops.filter_listings(feeds.listings_greenhouse(raw), ["Beekeeping"], ["unpaid"]).collect()
+    assert [r["external_id"] for r in got] == ["0"] and len(got[0]["description_excerpt"]) == 300
