@@ -26,6 +26,18 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def cell_under(header: Column, row: Column, name: str) -> Column:
+    """The cell of a row below a header name: of a repeated name the last one, null where the row is too short."""
+    from_end = F.array_position(F.reverse(header), F.lit(name))
+    return F.when(from_end > 0, F.get(row, (F.size(header) - from_end).cast("int")))
+
+
+def map_of_last(entries: Column) -> Column:
+    """A map from (key, value) structs; a repeated key keeps its last value, a null key goes."""
+    later = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: e["key"].isNotNull() & ~later(e, i)))
+
+
 def field_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 

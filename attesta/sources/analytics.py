@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import cell_under
+
 _VALUES = "array<struct<value:string>>"
 _SCHEMA = (
     "struct<dimensionHeaders:array<struct<name:string>>,metricHeaders:array<struct<name:string>>,"
@@ -23,11 +25,9 @@ def read_report_payload(raw: DataFrame, dims: Sequence[str], metrics: Sequence[s
         F.col("_r.metricHeaders.name").alias("_metrics"),
         F.explode("_r.rows").alias("_row"),
     )
-    dim_map = F.map_from_arrays("_dims", "_row.dimensionValues.value")
-    metric_map = F.map_from_arrays("_metrics", "_row.metricValues.value")
-    keyed = rows.withColumn("_d", dim_map).withColumn("_m", metric_map)
-    return keyed.select(
+    dim_cells, metric_cells = F.col("_row.dimensionValues.value"), F.col("_row.metricValues.value")
+    return rows.select(
         *[c for c in raw.columns if c != "payload"],
-        *[F.try_element_at("_d", F.lit(d)).alias(d) for d in dims],
-        *[F.round(F.try_element_at("_m", F.lit(m)).try_cast("double"), 4).alias(m) for m in metrics],
+        *[cell_under(F.col("_dims"), dim_cells, d).alias(d) for d in dims],
+        *[F.round(cell_under(F.col("_metrics"), metric_cells, m).try_cast("double"), 4).alias(m) for m in metrics],
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
-from ..functions.text import let
+from ..functions.text import cell_under, let, map_of_last
 
 _CELL = "array<struct<dims:map<string,string>,codes:map<string,string>,value:double>>"
 
@@ -22,7 +22,8 @@ def _others(raw: DataFrame) -> list[str]:
 
 
 def _known(names: Column, values: Column) -> Column:
-    return F.map_filter(F.map_from_arrays(names, values), lambda k, v: v.isNotNull())
+    named = F.zip_with(names, values, lambda n, v: F.struct(n.alias("key"), v.alias("value")))
+    return F.map_filter(map_of_last(named), lambda k, v: v.isNotNull())
 
 
 # JSON-stat ---------------------------------------------------------------------------
@@ -71,12 +72,17 @@ def flatten_jsonstat(raw: DataFrame) -> DataFrame:
         return F.aggregate(after, F.lit(1).cast("long"), lambda a, b: a * b)
 
     text = F.col("_c.value")
-    listed = F.transform(F.from_json(text, "array<double>"), lambda v, i: F.struct(i.cast("long").alias("at"), v.alias("value")))
+    # Values are read as text and cast one by one, so that one odd cell is missing and not the cube.
+    listed = F.transform(
+        F.from_json(text, "array<string>"), lambda v, i: F.struct(i.cast("long").alias("at"), v.try_cast("double").alias("value"))
+    )
     sparse = F.transform(
-        F.map_entries(F.from_json(text, "map<string,double>")),
-        lambda e: F.struct(e["key"].cast("long").alias("at"), e["value"].alias("value")),
+        F.map_entries(F.from_json(text, "map<string,string>")),
+        lambda e: F.struct(e["key"].try_cast("long").alias("at"), e["value"].try_cast("double").alias("value")),
+    )
+    filled = F.filter(
+        F.when(text.startswith("["), listed).otherwise(sparse), lambda e: e["at"].isNotNull() & e["value"].isNotNull()
     )
-    filled = F.filter(F.when(text.startswith("["), listed).otherwise(sparse), lambda e: e["value"].isNotNull())
 
     def cell(e: Column) -> Column:
         def pick(part: str) -> Column:
@@ -92,8 +98,9 @@ def flatten_jsonstat(raw: DataFrame) -> DataFrame:
         )
 
     staged = (
-        cube.withColumn("_ids", ids)
-        .withColumn("_sizes", sizes)
+        cube.withColumn("_dims", F.least(F.size(ids), F.size(sizes)))  # one of them may be longer
+        .withColumn("_ids", F.slice(ids, F.lit(1), F.greatest("_dims", F.lit(0))))
+        .withColumn("_sizes", F.slice(sizes, F.lit(1), F.greatest("_dims", F.lit(0))))
         .withColumn("_lists", F.transform("_ids", lists))
         .withColumn("_strides", F.transform("_sizes", stride))
     )
@@ -141,7 +148,7 @@ def flatten_sdmx(raw: DataFrame) -> DataFrame:
 
     def row(entries: Column, values: Column) -> Column:
         return F.struct(
-            F.map_from_entries(entries).alias("dims"), F.get(values, F.lit(0)).try_cast("double").alias("value")
+            map_of_last(entries).alias("dims"), F.get(values, F.lit(0)).try_cast("double").alias("value")
         )
 
     def of_series(s: Column) -> Column:
@@ -182,11 +189,11 @@ def read_census_matrix(raw: DataFrame, labels: Sequence[str], measures: Sequence
     """A matrix whose first row is its header; only ``measures`` become numbers, codes keep their zeros."""
     matrix = raw.withColumn("_m", F.from_json("payload", "array<array<string>>"))
     body = F.slice("_m", F.lit(2), F.greatest(F.size("_m") - 1, F.lit(0)))
-    rows = F.transform(body, lambda r: F.map_from_arrays(F.col("_m")[0], r))
-    return matrix.select(*_others(raw), F.explode(rows).alias("_r")).select(
+    header, row = F.col("_h"), F.col("_r")
+    return matrix.select(*_others(raw), F.get("_m", F.lit(0)).alias("_h"), F.explode(body).alias("_r")).select(
         *_others(raw),
-        *[F.try_element_at("_r", F.lit(c)).alias(c) for c in labels],
-        *[census_number(F.try_element_at("_r", F.lit(c))).alias(c) for c in measures],
+        *[cell_under(header, row, c).alias(c) for c in labels],
+        *[census_number(cell_under(header, row, c)).alias(c) for c in measures],
     )
 
 

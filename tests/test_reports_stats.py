@@ -93,3 +93,43 @@ def test_census_keeps_codes_and_drops_marks(spark):
     df = spark.createDataFrame([(json.dumps(matrix),)], "payload string")
     got = [tuple(r) for r in stats.read_census_matrix(df, ["NAME", "state"], ["B01"]).collect()]
     assert got == [("Alabama", "01", None), ("Alaska", "02", 12.5), ("Guam", "66", None)]
+
+
+def payload(spark, body):
+    return spark.createDataFrame([(body if isinstance(body, str) else json.dumps(body),)], "payload string")
+
+
+def test_odd_matrix_rows_stop_nothing(spark):
+    body = [["NAME", "state", "pop", "state"], ["Ash", "01", "7", "02"], ["Birch"], [], ["Cedar", "03", "x", "04", "more"]]
+    got = stats.read_census_matrix(payload(spark, body), ["NAME", "state", "none"], ["pop"]).collect()
+    assert [tuple(r) for r in got] == [("Ash", "02", None, 7.0), ("Birch", None, None, None), (None, None, None, None), ("Cedar", "04", None, None)]
+    assert stats.read_census_matrix(payload(spark, "[broken"), ["NAME"], ["pop"]).count() == 0
+
+
+def test_a_short_report_row_stops_nothing(spark):
+    from attesta.sources.analytics import read_report_payload
+
+    body = {
+        "dimensionHeaders": [{"name": "day"}, {"name": "page"}],
+        "metricHeaders": [{"name": "hits"}],
+        "rows": [{"dimensionValues": [{"value": "mon"}], "metricValues": []}, {"dimensionValues": [{"value": "tue"}, {"value": "/"}], "metricValues": [{"value": "3"}]}],
+    }
+    got = read_report_payload(payload(spark, body), ["day", "page"], ["hits"]).collect()
+    assert [tuple(r) for r in got] == [("mon", None, None), ("tue", "/", 3.0)]
+
+
+def test_odd_cubes_stop_nothing(spark):
+    category = {"category": {"index": ["a", "b"]}}
+    cube = {"id": ["x", "extra"], "size": [2], "dimension": {"x": category}, "value": [1, ":"]}
+    assert [(r["codes"], r["value"]) for r in stats.flatten_jsonstat(payload(spark, cube)).collect()] == [({"x": "a"}, 1.0)]
+    cube = {"id": ["x"], "size": [2, 9], "dimension": {"x": category}, "value": {"1": "2.5", "odd": 3}}
+    assert [(r["codes"], r["value"]) for r in stats.flatten_jsonstat(payload(spark, cube)).collect()] == [({"x": "b"}, 2.5)]
+
+
+def test_a_dimension_of_series_and_observation(spark):
+    place, year = ({"id": i, "values": [{"id": v, "name": v} for v in vs]} for i, vs in (("place", ["p", "q"]), ("year", ["1990", "1991"])))
+    body = {
+        "structure": {"dimensions": {"series": [place, year], "observation": [year]}},
+        "dataSets": [{"series": {"1:0": {"observations": {"1": [4.5]}}}}],
+    }
+    assert [(r["dims"], r["value"]) for r in stats.flatten_sdmx(payload(spark, body)).collect()] == [({"place": "q", "year": "1991"}, 4.5)]
