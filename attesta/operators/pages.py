@@ -141,18 +141,31 @@ def _without_tags(html: Column, tags) -> Column:
     return html
 
 
+#: Character references for what addresses are made of; "&" is decoded last.
+_REFERENCES = {"quot": '"', "apos": "'", "lt": "<", "gt": ">", "sol": "/", "colon": ":", "quest": "?", "num": "#", "equals": "=", "plus": "+", "amp": "&"}
+
+
+def _decoded(value: Column) -> Column:
+    plain = value
+    for name, char in _REFERENCES.items():
+        plain = F.regexp_replace(plain, rf"&(?:{name}|#0*{ord(char)}|#[xX]0*(?i:{ord(char):x}));", char)
+    return F.when(value.contains("&"), plain).otherwise(value)
+
+
 def page_links(pages: DataFrame, id_col: str = "page_id", navigation: bool = False) -> DataFrame:
     """Absolute http links of every page, each once, at its first position.
 
     Links in dropped parts (navigation, footer, forms …) are left out unless
-    ``navigation`` is set; scripts and styles never count.
+    ``navigation`` is set; scripts, styles and comments never count. Values may stand in
+    quotes or without, and character references in them are decoded.
     """
     tags = ("script", "style") if navigation else fixed.DROP_TAGS
-    pattern = F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*')""")
-    quoted = F.regexp_extract_all(_without_tags(F.col("html"), tags), pattern, F.lit(1))
-    hrefs = F.transform(quoted, lambda q: F.trim(F.substring(q, F.lit(2), F.length(q) - 2)))
+    pattern = F.lit(r"""(?is)<a(?=\s)[^>]*?[\s"']href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)""")
+    shown = F.regexp_replace("html", r"(?s)<!--.*?(?:-->|\z)", " ")
+    values = F.regexp_extract_all(_without_tags(shown, tags), pattern, F.lit(1))
+    hrefs = F.transform(values, lambda v: F.trim(F.regexp_replace(v, r"""(?s)^(["'])(.*)\1$""", "$2")))
     wanted = F.filter(hrefs, lambda h: (h != "") & ~h.rlike("^(?:javascript:|mailto:|tel:|#)"))
-    absolute = F.transform(wanted, lambda h: resolve(F.col("url"), F.regexp_replace(h, "&amp;", "&")))
+    absolute = F.transform(wanted, lambda h: resolve(F.col("url"), _decoded(h)))
     links = F.array_distinct(F.filter(absolute, lambda u: u.rlike("(?i)^https?:")))
     return pages.select(id_col, F.col("url").alias("page_url"), F.posexplode(links).alias("pos", "url"))
 
