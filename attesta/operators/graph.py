@@ -289,6 +289,27 @@ def top_edges(relations: DataFrame, predicate: str | None = None, limit: int = 1
     return rows.orderBy(F.col("weight").desc(), "source_key", "predicate", "target_key").limit(limit)
 
 
+def with_ends(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """Edges with the names and kinds of both ends; an end without an entity has nulls.
+
+    The ends of all edges are joined at once, one row per edge and end, and put together again by the edge.
+    """
+    key = ["source_key", "predicate", "target_key"]
+    about = entities.select("entity_key", F.struct("name", "kind").alias("_about"))
+    sides = F.array(F.struct(F.lit(True).alias("source"), F.col(key[0]).alias("at")), F.struct(F.lit(False).alias("source"), F.col(key[2]).alias("at")))
+    ends = edges.select(*key, F.explode(sides).alias("_end"))
+    met = ends.join(about, F.col("_end.at") == F.col("entity_key"), "left").groupBy(*key).agg(
+        F.max(F.when(F.col("_end.source"), F.col("_about"))).alias("_s"),
+        F.max(F.when(~F.col("_end.source"), F.col("_about"))).alias("_t"),
+    )
+    named = edges.join(met, key, "left")
+    return named.select(
+        *edges.columns,
+        F.col("_s.name").alias("source_name"), F.col("_s.kind").alias("source_kind"),
+        F.col("_t.name").alias("target_name"), F.col("_t.kind").alias("target_kind"),
+    )
+
+
 def neighbors(relations: DataFrame, start: str, depth: int = 1, limit: int | None = None) -> DataFrame:
     """Edges within ``depth`` hops of an entity key: all of them, or the strongest ``limit`` of each hop.
 

@@ -442,14 +442,15 @@ SELECT (SELECT count(DISTINCT target) FROM plan) AS targets, (SELECT count(DISTI
        (SELECT count(*) FROM plan) AS units_total,
        (SELECT count(*) FROM latest WHERE turn % 5 <> 4) AS units_completed, (SELECT count(*) FROM latest WHERE turn % 5 = 4) AS units_failed,
        (SELECT count(*) FROM plan WHERE unit_key IN (SELECT unit_key FROM latest WHERE turn % 5 <> 4)) AS units_resumed,
-       (SELECT count(*) FROM collected) AS findings_raw, count(*) AS findings_unique,
+       (SELECT count(*) FROM collected JOIN latest l ON agent = l.unit_key AND seq = l.conv_id * 1000 + l.turn) AS findings_raw, count(*) AS findings_unique,
        count(*) FILTER (WHERE verdict = 'supported') AS findings_verified, count(*) FILTER (WHERE verdict = 'refuted') AS findings_refuted,
        count(*) FILTER (WHERE url_status LIKE 'dead%' OR url_status = 'invalid') AS urls_dead
 FROM judged""",
 )
 def run_stats(spark, sf_dir):
     units = work.latest_units(t.agent_output(spark, sf_dir))
-    raw = ops.collect_findings(agent_units(spark, sf_dir))
+    good, _ = ops.parse_agent_output(units, "answer")  # of the last delivery of each unit, not of superseded ones
+    raw = ops.collect_findings(good)
     return ops.run_stats(_plan(spark, sf_dir), units, raw, judged_claims(spark, sf_dir))
 
 

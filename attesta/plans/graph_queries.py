@@ -174,6 +174,18 @@ def top_edges(spark, sf_dir):
     return out.select("source_key", "predicate", "target_key", "weight", "confidence")
 
 
+@query(
+    "edge_ends",
+    sql.with_ctes(_OBS)
+    + """
+SELECT source_key, predicate, target_key, weight, s.name AS source_name, s.kind AS source_kind, t.name AS target_name, t.kind AS target_kind
+FROM rel LEFT JOIN ents s ON s.entity_key = source_key LEFT JOIN ents t ON t.entity_key = target_key""",
+)
+def edge_ends(spark, sf_dir):
+    edges = relations(spark, sf_dir).select("source_key", "predicate", "target_key", "weight")
+    return ops.with_ends(edges, entities(spark, sf_dir))
+
+
 START = "company:supplier-000000001"
 _HOP = """
 hop{n} AS (

@@ -84,3 +84,11 @@ def test_finding_edges(spark):
         ("topic", "found", "Acme", "person", "low"), ("Acme", "located_in", "Berlin", "place", "low"),
         ("Acme", "categorised_as", "people", "category", "low"), ("Acme", "documented_at", "acme.com", "domain", "low"),
     }
+
+
+def test_edges_name_both_ends(spark):
+    edges = spark.createDataFrame([("c:a", "p", "c:b", 2), ("c:a", "p", "c:a", 1), ("c:x", "q", "c:a", 1)], "source_key string, predicate string, target_key string, weight int")
+    entities = spark.createDataFrame([("c:a", "A", "company"), ("c:b", "B", "place")], "entity_key string, name string, kind string")
+    got = sorted(ops.with_ends(edges, entities).collect())
+    assert [tuple(r)[4:] for r in got] == [("A", "company", "A", "company"), ("A", "company", "B", "place"), (None, None, "A", "company")]
+    assert ops.with_ends(edges.limit(0), entities).count() == 0
