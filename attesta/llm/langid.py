@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 BUCKETS = 4_096
 PER_LANGUAGE = 300
+PARTS = 64
 STEPS = 300
 AMBIGUOUS = 0.1
 CHARS_PER_BLOCK = 1_000_000
@@ -122,8 +123,12 @@ def train(docs: DataFrame, labelled: Column, per_language: int = PER_LANGUAGE) -
     """Fits the classifiers on at most ``per_language`` rows of each language among the ``labelled`` rows with a lang."""
     known = docs.where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = known.groupBy("lang", "doc_id").count().where("count = 1")  # a repeated id would join any number of rows
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id"))
-    chosen = ids.withColumn("place", place).where(F.col("place") <= per_language).select("lang", "doc_id")
+    ids = ids.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).withColumn("part", F.pmod("h", F.lit(PARTS)))
+    # First the candidates of each part of a language, so that the whole of a frequent language meets in no task.
+    for group in (["lang", "part"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("h", "doc_id"))
+        ids = ids.withColumn("place", place).where(F.col("place") <= per_language)
+    chosen = ids.select("lang", "doc_id")
     sample = known.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "text")
     letters = letter_table()
 
