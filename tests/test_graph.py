@@ -92,3 +92,11 @@ def test_edges_name_both_ends(spark):
     got = sorted(ops.with_ends(edges, entities).collect())
     assert [tuple(r)[4:] for r in got] == [("A", "company", "A", "company"), ("A", "company", "B", "place"), (None, None, "A", "company")]
     assert ops.with_ends(edges.limit(0), entities).count() == 0
+
+
+def test_topics_point_at_what_they_were_researched_for(spark):
+    targets = spark.createDataFrame([("k1", "Reed beds"), ("k2", ""), ("k3", None)], "key string, label string")
+    got = ops.researched_edges(targets, "Wetlands", "run-7").collect()
+    assert [(r.source, r.source_kind, r.predicate, r.target, r.target_kind, r.confidence, r.run_id) for r in got] == [
+        ("Wetlands", "topic", "researched", "Reed beds", "subject", "high", "run-7")
+    ]
