@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import nearcopies
 from .graph import components, stored
 
 SEED = 42
@@ -187,13 +188,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each class of near-duplicates, with its columns: that of the smallest doc_id, nulls last.
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each class of near copies (``nearcopies``), with its columns: that of the smallest doc_id, nulls last.
 
     Of rows with that doc_id the smallest text hash stays, and of equal rows any one.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    chosen = near_duplicates(docs, radius).groupBy("root").agg(first)
+    chosen = nearcopies.classes(docs).groupBy("root").agg(first)
     # One row of each text and id in a class, so one entry; two classes never share a text.
     chosen = chosen.select(F.col("first.text_hash").alias("_attesta_hash"), F.coalesce("first.doc_id", F.lit(0)).alias("_attesta_id"), F.col("first.no_id").alias("_attesta_none"))
     keys = {"_attesta_hash": F.xxhash64("text"), "_attesta_id": F.coalesce("doc_id", F.lit(0)), "_attesta_none": F.col("doc_id").isNull()}
