@@ -4,11 +4,11 @@ Every language has a codeword of bits. One binary classifier per bit, a logistic
 character n-grams, predicts its bit of a text; loss-weighted decoding then takes the language whose
 codeword has the smallest weighted loss. A close second codeword marks the text as ambiguous.
 
-The classifiers learn from a bounded sample, ``per_language`` rows of each language (of the smallest
-hashes of doc_id, which is never an input of a prediction); prediction reads every whole text.
+The classifiers learn from a bounded sample, ``per_language`` different rows of each language (of the smallest
+hashes of doc_id and text; doc_id is never an input of a prediction); prediction reads every whole text.
 
 Results: a null text or one without a letter is ``und`` with score 0; without any labelled row every
-text is. Texts are read in blocks of characters. Repeated rows give repeated results.
+text is. Texts are read in blocks of characters. Repeated rows are learnt once and give repeated results.
 """
 
 from __future__ import annotations
@@ -122,14 +122,15 @@ class CodeModel:
 def train(docs: DataFrame, labelled: Column, per_language: int = PER_LANGUAGE) -> CodeModel:
     """Fits the classifiers on at most ``per_language`` rows of each language among the ``labelled`` rows with a lang."""
     known = docs.where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = known.groupBy("lang", "doc_id").count().where("count = 1")  # a repeated id would join any number of rows
-    ids = ids.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).withColumn("part", F.pmod("h", F.lit(PARTS)))
+    # Equal rows are one candidate, so a repeated row stays once.
+    known = known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    ids = known.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(PARTS)))
     # First the candidates of each part of a language, so that the whole of a frequent language meets in no task.
     for group in (["lang", "part"], ["lang"]):
-        place = F.row_number().over(Window.partitionBy(*group).orderBy("h", "doc_id"))
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("h"))
         ids = ids.withColumn("place", place).where(F.col("place") <= per_language)
-    chosen = ids.select("lang", "doc_id")
-    sample = known.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "text")
+    chosen = ids.select("lang", "h")
+    sample = known.join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
     letters = letter_table()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

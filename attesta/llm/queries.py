@@ -53,10 +53,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs, ~held_out)
-    rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
     return langid.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 

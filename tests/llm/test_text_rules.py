@@ -193,6 +193,17 @@ def test_language_edges(spark):
     assert {x.lang_pred for x in langid.identify(docs.where("doc_id < 2"), one).collect()} == {"en"}
 
 
+def test_repeated_rows_are_learnt_once(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    once, twice = (langid.train(d, F.lit(True), 40) for d in (docs, docs.union(docs)))
+    assert once.languages == twice.languages == sorted(x.lang for x in docs.select("lang").distinct().collect() if x.lang)
+    assert (once.weights == twice.weights).all()
+    rows = [(1, "the house", "en"), (1, "a garden", "en"), (None, "das haus", "de"), (None, "das haus", "de")]
+    assert langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True)).languages == ["de", "en"]
+
+
 def test_blocks_of_a_long_text_change_nothing(monkeypatch):
     text, letters = "Das ist, ein Haus! " * 50, langid.letter_table()
     whole = langid.ngram_counts(text, letters)
