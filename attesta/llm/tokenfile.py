@@ -62,8 +62,14 @@ class ChunkEncoder:
     def encode(self, text: str | None) -> Iterator[bytes]:
         """Packed ids of the text, in blocks of chunks."""
         data = (text or "").encode()
-        # A-Z only, which the tokenizer does as well; but lower case can turn marks into control tokens
-        chunks = data.split() if b"<|" in data else data.lower().split()
+        # The tokenizer composes letters before it lowers them, so only chunks without others are lowered here;
+        # and lower case can turn marks into control tokens.
+        if b"<|" in data:
+            chunks = data.split()
+        elif data.isascii():
+            chunks = data.lower().split()
+        else:
+            chunks = [c.lower() if c.isascii() else c for c in data.split()]
         for k in range(0, len(chunks), CHUNKS_PER_BLOCK):
             block = chunks[k : k + CHUNKS_PER_BLOCK]
             self.learn(block)

@@ -69,6 +69,13 @@ def test_token_files_hold_every_document(spark, monkeypatch):
         start += len(ids)
 
 
+def test_decomposed_capitals_have_the_librarys_ids():
+    lib, own = library(WORD_BPE), tokenfile.ChunkEncoder(WORD_BPE)
+    for pair in ("H\u0331", "J\u030c", "T\u0308", "T\u0344", "W\u030a", "Y\u030a"):
+        for text in (pair, f"The {pair}x, {pair}. Y{pair} <| {pair}", f"THE End {pair}"):
+            assert np.frombuffer(b"".join(own.encode(text)), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_token_files_null_and_repeated_ids(spark):
     got = token_rows(spark, [(None, "a b", None), (7, "a", None), (7, "a", None), (7, None, None)])
     assert sorted((r.doc_id is None, r.doc_id, r.n_tokens) for r in got if r.doc_id) == [(False, 7, 1), (False, 7, 2), (False, 7, 2)]
