@@ -1,67 +1,90 @@
 """Order-dependent columns over groups of any size.
 
-A plain window sends a whole group to one task. These helpers take an integer
-``seq`` that is unique within a group and cut every group into runs of at most
-``2**bits`` sequence numbers, so no window ever holds more rows than that. One small
-row per run carries what the next run needs. Group keys must not be null.
+A plain window sends a whole group to one task. Here rows are dealt by range of (keys, order), so a large
+group lies in several neighbouring parts and no task holds more than its range. Totals are taken within a
+part, and what a group brings along from earlier parts is added after. Only a group that crosses the end of a
+part brings anything, so the carried table has at most two rows for each part and may be broadcast.
+
+The parts are written to the checkpoint folder before they are read twice: rows and carried values must come
+from the same ranges. Keys may be null; a null is a key like any other. Rows that agree on keys and order lie
+in one part, so ``order`` should tell rows apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-RUN_BITS = 20
+from ..session import cut_lineage
 
+PART = "_attesta_part"
 
-def _runs(df: DataFrame, seq: str, bits: int) -> DataFrame:
-    return df.withColumn("_run", F.shiftright(F.col(seq), bits))
 
+def _dealt(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, WindowSpec]:
+    """Rows with the number of their part, and the window of a group's rows in one part."""
+    dealt = df.repartitionByRange(*keys, *order).withColumn(PART, F.spark_partition_id())
+    return dealt, Window.partitionBy(PART, *keys).orderBy(*order)
 
-def running_total(
-    df: DataFrame, keys: list[str], seq: str, value: Column, out: str, bits: int = RUN_BITS
-) -> DataFrame:
-    """Sum of ``value`` over all rows of the group up to and with this one."""
-    rows = _runs(df.withColumn("_value", value), seq, bits)
-    before = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*keys, "_run").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    carried = (
-        rows.groupBy(*keys, "_run")
-        .agg(F.sum("_value").alias("_total"))
-        .select(*keys, "_run", F.sum("_total").over(before).alias("_carried"))
-    )
-    total = F.col("_inside") + F.coalesce(F.col("_carried"), F.lit(0))
-    return (
-        rows.withColumn("_inside", F.sum("_value").over(inside))
-        .join(carried, [*keys, "_run"])
-        .withColumn(out, total)
-        .drop("_run", "_value", "_inside", "_carried")
+
+def _with_carried(rows: DataFrame, keys: Sequence[str], carried: dict[str, Column], over: WindowSpec) -> DataFrame:
+    """Adds to the rows of a group what its earlier parts bring along, null where there are none.
+
+    ``carried`` has an aggregate of a group's rows in one part for each new column; ``over`` says how those of the
+    earlier parts are put together (all of them, added; or the last one).
+    """
+    ends = rows.groupBy(*keys, PART).agg(*[c.alias(n) for n, c in carried.items()])
+    crossing = ends.withColumn("_attesta_parts", F.count("*").over(Window.partitionBy(*keys))).where("_attesta_parts > 1")
+    before = crossing.select(
+        F.struct(*[F.col(k) for k in keys]).alias("_attesta_group") if keys else F.lit(0).alias("_attesta_group"),
+        F.col(PART).alias("_attesta_at"),
+        *[over(n).alias(n) for n in carried],
     )
+    same = [rows[PART] == F.col("_attesta_at"), *[rows[k].eqNullSafe(F.col("_attesta_group")[k]) for k in keys]]
+    # Of each part at most the first and the last group cross its ends: two rows for each part, whatever the input.
+    return rows.join(F.broadcast(before), reduce(Column.__and__, same), "left").drop("_attesta_at", "_attesta_group")
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """Adds a column for each of ``values``: its sum over the group's rows up to and with this one. Nulls add nothing."""
+    dealt, window = _dealt(df, keys, order)
+    upto = window.rowsBetween(Window.unboundedPreceding, 0)
+    # A wide sum is narrowed again, so that a total has the type of its summands' sum.
+    inside = dealt.select("*", *[F.sum(v).over(upto).alias(n) for n, v in values.items()], *[v.alias(f"_attesta_{n}") for n, v in values.items()])
+    rows = cut_lineage(inside)
+    earlier = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    names = {f"_attesta_carried_{n}": F.sum(f"_attesta_{n}") for n in values}
+    out = _with_carried(rows, keys, names, lambda n: F.sum(n).over(earlier))
+    for n in values:
+        whole = F.coalesce(F.col(n) + F.col(f"_attesta_carried_{n}"), F.col(n), F.col(f"_attesta_carried_{n}"))
+        out = out.withColumn(n, whole.cast(rows.schema[n].dataType))
+    return out.drop(PART, *names, *[f"_attesta_{n}" for n in values])
+
+
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str) -> DataFrame:
+    """Sum of ``value`` over all rows of the group up to and with this one."""
+    return running_totals(df, keys, order, {out: value})
 
 
-def row_position(df: DataFrame, keys: list[str], seq: str, out: str, bits: int = RUN_BITS) -> DataFrame:
-    """1, 2, 3 … in order of ``seq`` within the group."""
-    return running_total(df, keys, seq, F.lit(1).cast("long"), out, bits)
+def row_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """1, 2, 3 … in ``order`` within the group; without keys, over all rows."""
+    return running_totals(df, keys, order, {out: F.lit(1).cast("long")})
 
 
-def previous_value(
-    df: DataFrame, keys: list[str], seq: str, value: str, out: str, bits: int = RUN_BITS
-) -> DataFrame:
+def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """The value on the row before this one in the group."""
-    rows = _runs(df, seq, bits)
-    inside = Window.partitionBy(*keys, "_run").orderBy(seq)
-    before = Window.partitionBy(*keys).orderBy("_run")
-    carried = (
-        rows.groupBy(*keys, "_run")
-        .agg(F.max_by(value, seq).alias("_last"))
-        .select(*keys, "_run", F.lag("_last").over(before).alias("_carried"))
+    dealt, window = _dealt(df, keys, order)
+    rows = cut_lineage(
+        dealt.withColumns({out: F.lag(value).over(window), "_attesta_first": F.row_number().over(window) == 1})
     )
-    return (
-        rows.withColumn("_first", F.row_number().over(inside) == 1)
-        .withColumn("_inside", F.lag(value).over(inside))
-        .join(carried, [*keys, "_run"])
-        .withColumn(out, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_inside")))
-        .drop("_run", "_first", "_inside", "_carried")
+    place = F.struct(*[F.col(c) for c in order])
+    earlier = Window.partitionBy(*keys).orderBy(PART)
+    last = {"_attesta_last": F.max_by(F.struct(F.col(value).alias("v")), place)}
+    found = _with_carried(rows, keys, last, lambda n: F.lag(n).over(earlier))
+    return found.withColumn(out, F.when(F.col("_attesta_first"), F.col("_attesta_last.v")).otherwise(F.col(out))).drop(
+        PART, "_attesta_first", "_attesta_last"
     )
 
 

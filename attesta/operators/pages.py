@@ -127,7 +127,7 @@ def page_groups(pages: DataFrame, text: str, id_col: str = "page_id") -> DataFra
 def page_changes(captures: DataFrame, seq: str, text: str) -> DataFrame:
     """Content hash of every capture, the one before it at the same URL, and whether it changed."""
     hashed = captures.withColumn("content_hash", content_hash(F.col(text)))
-    out = previous_value(hashed, ["url"], seq, "content_hash", "previous_hash")
+    out = previous_value(hashed, ["url"], [seq, "content_hash"], "content_hash", "previous_hash")
     changed = F.col("previous_hash").isNotNull() & ~F.col("content_hash").eqNullSafe(F.col("previous_hash"))
     return out.withColumn("changed", changed)
 
@@ -259,7 +259,7 @@ def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str, longest: bool
 
 def frontier_schedule(urls: DataFrame, seq: str = "seq") -> DataFrame:
     """Earliest start of every URL, in order of arrival at its host, and its lane there."""
-    placed = row_position(urls, ["host"], seq, "position")
+    placed = row_position(urls, ["host"], [seq, "url"], "position")
     delay = F.greatest(F.lit(fixed.HOST_DELAY_S), F.coalesce("crawl_delay", F.lit(0.0)))
     return placed.withColumn("start_s", (F.col("position") - 1) * delay).withColumn(
         "lane", (F.col("position") - 1) % fixed.HOST_LANES

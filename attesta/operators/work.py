@@ -109,7 +109,7 @@ def ledger(priced: DataFrame) -> DataFrame:
 def budget_cutoff(priced: DataFrame, limit_usd: float) -> DataFrame:
     """Running spend per run; calls allowed, the one that crosses the ceiling, and those after it."""
     limit = F.lit(str(limit_usd)).cast(MONEY)
-    spent = running_total(priced, ["run_id"], "call_id", F.col("cost_usd"), "running_usd")
+    spent = running_total(priced, ["run_id"], ["call_id"], F.col("cost_usd"), "running_usd")
     before = F.col("running_usd") - F.col("cost_usd")
     outcome = (
         F.when(before >= limit, "blocked").when(F.col("running_usd") >= limit, "crossing").otherwise("allowed")

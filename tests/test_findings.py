@@ -153,24 +153,69 @@ def test_plan_and_pending(spark):
     assert {r[0] for r in rows(work.pending_units(plan, units), "unit_key")} == {"b::x", "c::x"}
 
 
-@pytest.mark.parametrize("bits", [0, 2, 20])
-def test_budget_matches_brute_force(spark, bits):
+@pytest.fixture(params=["one part", "many parts"])
+def parts(spark, request):
+    """Small tables end in one part unless Spark is told to leave its parts alone."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, str(request.param == "one part").lower())
+    yield
+    spark.conf.unset(key)
+
+
+def test_ordered_columns_match_brute_force(spark, parts):
     from attesta.operators.ordered import previous_value, row_position, running_total
 
-    data = [(1 if i % 3 else 2, i * 3, (i * 37) % 11) for i in range(60)]
-    df = spark.createDataFrame(data, "g int, seq long, v long")
+    keys = [1] * 200 + [2] * 3 + [None] * 40 + [3]
+    data = [(g, i * 1_000_003, (i * 37) % 11 if i % 7 else None) for i, g in enumerate(keys)]
+    df = spark.createDataFrame(data, "g int, seq long, v long").repartition(5)
     want, total, place, last = {}, {}, {}, {}
     for g, seq, v in data:
-        total[g] = total.get(g, 0) + v
+        total[g] = total.get(g, 0) + v if v is not None and total.get(g) is not None else v if v is not None else total.get(g)
         place[g] = place.get(g, 0) + 1
         want[(g, seq)] = (total[g], place[g], last.get(g))
         last[g] = v
-    out = running_total(df, ["g"], "seq", F.col("v"), "total", bits)
-    out = row_position(out, ["g"], "seq", "place", bits)
-    out = previous_value(out, ["g"], "seq", "v", "past", bits)
+    out = running_total(df, ["g"], ["seq"], F.col("v"), "total")
+    out = row_position(out, ["g"], ["seq"], "place")
+    out = previous_value(out, ["g"], ["seq"], "v", "past")
     assert {(r["g"], r["seq"]): (r["total"], r["place"], r["past"]) for r in out.collect()} == want
 
 
+def test_ordered_columns_with_ties_and_microseconds(spark, parts):
+    from attesta.operators.ordered import row_position, running_totals
+
+    start = 1_700_000_000_000_000
+    data = [("hot", start + i // 3, i % 3) for i in range(300)] + [("cold", start, 0)]
+    df = spark.createDataFrame(data, "host string, us long, tie int").withColumn("at", F.timestamp_micros("us"))
+    out = row_position(df, ["host"], ["at", "tie"], "place").collect()
+    assert {(r["host"], r["us"], r["tie"]): r["place"] for r in out} == {d: i + 1 if d[0] == "hot" else 1 for i, d in enumerate(data)}
+    whole = row_position(df, [], ["at", "host", "tie"], "place").collect()
+    assert [r["place"] for r in sorted(whole, key=lambda r: (r["us"], r["host"], r["tie"]))] == list(range(1, 302))
+    both = running_totals(df, ["host"], ["at", "tie"], {"n": F.lit(1), "ties": F.col("tie")}).where("host = 'hot'").collect()
+    assert max(r["n"] for r in both) == 300 and max(r["ties"] for r in both) == 300
+
+
+def test_a_hot_group_is_dealt_over_the_parts(spark):
+    from attesta.operators import ordered
+
+    df = spark.range(40_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("h"), F.col("id") % 50)).alias("host"), "id")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        dealt, _ = ordered._dealt(df, ["host"], ["id"])
+        sizes = [r["count"] for r in dealt.groupBy(ordered.PART).count().collect()]
+    finally:
+        spark.conf.unset(key)
+    assert len(sizes) == 8 and max(sizes) < 2 * 40_000 / 8
+
+
+def test_ordered_columns_of_an_empty_table(spark):
+    from attesta.operators.ordered import previous_value, row_position
+
+    df = spark.createDataFrame([], "g int, seq long, v long")
+    assert row_position(df, ["g"], ["seq"], "place").count() == 0
+    assert previous_value(df, ["g"], ["seq"], "v", "past").count() == 0
+
+
 def test_upper_median(spark):
     from attesta.operators.ordered import upper_median
 
