@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, htmltext, langid, quality, simhash, tokenfile, urlfilter, warc
+from . import bpe, chat, decontam, htmltext, langid, mixing, prefixtrie, quality, simhash, tokenfile, urlfilter, warc, whitening
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -69,9 +69,26 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_urlfilter, op2_simhash, op3_decontam, op4_quality, op5_warc, op6_htmltext, op7_bpe, op8_langid, op9_tokenfile, op10_chat)}
+    found = (
+        op1_urlfilter, op2_simhash, op3_decontam, op4_quality, op5_warc, op6_htmltext, op7_bpe, op8_langid, op9_tokenfile, op10_chat,
+        op11_whitening, op12_mixing, op13_prefixtrie,
+    )
+    return {f.__name__: f for f in found}
 
 
 def checks() -> dict[str, str]:
-    return {"op1_urlfilter": urlfilter.SQL, "op3_decontam": decontam.SQL, "op4_quality": quality.SQL, "op10_chat": chat.SQL}
+    return {"op1_urlfilter": urlfilter.SQL, "op3_decontam": decontam.SQL, "op4_quality": quality.SQL, "op10_chat": chat.SQL, "op13_prefixtrie": prefixtrie.SQL}
