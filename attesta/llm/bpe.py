@@ -30,7 +30,7 @@ CACHED_BYTES = 64 << 20
 UNMERGED = np.iinfo(np.int32).max
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in the vocabulary file."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in set(printable)]
@@ -53,7 +53,7 @@ class Vocabulary:
     def from_file(cls, path: str) -> Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        ids, letters = spec["model"]["vocab"], _byte_letters()
+        ids, letters = spec["model"]["vocab"], byte_letters()
         specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max(*ids.values(), *specials.values()) + 1
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from typing import BinaryIO
 from urllib.parse import urlsplit
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from attesta.session import shared_folder
 
@@ -17,6 +19,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def one_file_a_task(manifest: DataFrame, *order: str) -> DataFrame:
+    """The rows of a stored manifest, each in a partition of its own.
+
+    A row is small and its file is not, so the number is given: Spark would pack partitions by the size of the rows.
+    """
+    return manifest.repartitionByRange(max(manifest.count(), 1), *order)
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker. Functions of this package come with each task anew."""
+    name = "attesta_worker_cache"
+    return vars(sys.modules.setdefault(name, types.ModuleType(name)))
+
+
 def _at(uri: str) -> tuple[fs.FileSystem, str]:
     scheme = urlsplit(uri).scheme
     if not scheme:

@@ -21,13 +21,15 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .files import Output, new_folder, open_input
+from .bpe import byte_letters
+from .files import Output, new_folder, one_file_a_task, open_input, worker_cache
 from .graph import stored
 
 #: Magic numbers and descriptor of the seekable format; the id that ends a document.
@@ -39,16 +41,27 @@ END_ID = 2
 FRAME_IDS = 1 << 16
 FILE_IDS = 1 << 24
 CACHED_CHUNKS = 400_000
-CHUNKS_PER_BLOCK = 100_000
-STOPS = b".,;:!?"
+BLOCK_BYTES = 8 << 20
+CHUNKS_PER_BLOCK = 1_000_000
+WORDS_PER_CALL = 10_000
+#: Marks that the tokenizer parts from a word beside them (an apostrophe may belong to it), and how its
+#: vocabulary spells the end of a word.
+MARKS = b".,;:!?()[]{}\"*#$%&@+=~^_/-"
+WORD_END = "</w>"
+#: The last letter of the Latin blocks.
+LAST_LATIN = "\u024f"
 NO_ID = -(2**63)
+FORMATS = [f"<{n}I" for n in range(16)]
 
 
 class ChunkEncoder:
     """Encodes texts with a tokenizer that drops white space and case, chunk by chunk between ASCII white space.
 
     No token reaches over white space, so equal chunks have equal ids. They are kept in two generations: when the
-    newer one is full the older one goes, and chunks in use move up.
+    newer one is full the older one goes, and chunks in use move up. Marks around a word are tokens of their own, so
+    words are looked up without them. A word of letters is one piece for the tokenizer, so Latin words go to its merges
+    alone, after its normalizer. Other new words are encoded as one text; only the last token of a piece is an end
+    token, so the ids are cut after those.
     """
 
     def __init__(self, path: str):
@@ -56,46 +69,121 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.letters = {b: letter for letter, b in byte_letters().items()}
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    def encode_all(self, texts: pa.Array) -> Iterator[Iterator[bytes]]:
+        """Packed ids of each text, in parts; each text's parts are to be taken before the next text.
+
+        Python sees the distinct chunks of a block of texts alone; ids are put together by position.
+        """
+        size = np.diff(np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))))
+        block = np.cumsum(size) // BLOCK_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)] if len(texts) else [0]
+        for a, b in zip(edges, edges[1:]):
+            yield from self._block(texts.slice(a, b - a))
+
     def encode(self, text: str | None) -> Iterator[bytes]:
-        """Packed ids of the text, in blocks of chunks."""
-        data = (text or "").encode()
+        return next(self.encode_all(pa.array([text], pa.string())))
+
+    def _block(self, texts: pa.Array) -> Iterator[Iterator[bytes]]:
+        chunks = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = chunks.flatten().dictionary_encode()
+        packed, sizes, forms = self._ids_of(coded.dictionary)
+        own = forms[coded.indices.to_numpy(zero_copy_only=False)]
+        first = np.cumsum(sizes) - sizes
+        edges = np.append(0, np.cumsum(pc.list_value_length(chunks).to_numpy(zero_copy_only=False)))
+
+        def ids(a: int, b: int) -> np.ndarray:
+            count = sizes[own[a:b]]
+            before = np.cumsum(count) - count
+            return packed[np.repeat(first[own[a:b]] - before, count) + np.arange(count.sum())]
+
+        def parts(a: int, b: int) -> Iterator[bytes]:
+            for k in range(a, b, CHUNKS_PER_BLOCK):
+                yield ids(k, min(k + CHUNKS_PER_BLOCK, b)).tobytes()
+
+        for a, b in zip(edges.tolist(), edges[1:].tolist()):
+            yield parts(a, b)
+
+    def _ids_of(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all forms of the chunks one after another, how many each has, and each chunk's form."""
         # The tokenizer composes letters before it lowers them, so only chunks without others are lowered here;
         # and lower case can turn marks into control tokens.
-        if b"<|" in data:
-            chunks = data.split()
-        elif data.isascii():
-            chunks = data.lower().split()
-        else:
-            chunks = [c.lower() if c.isascii() else c for c in data.split()]
-        for k in range(0, len(chunks), CHUNKS_PER_BLOCK):
-            block = chunks[k : k + CHUNKS_PER_BLOCK]
-            self.learn(block)
-            yield b"".join(map(self.known.__getitem__, block))
-
-    def learn(self, block: list[bytes]) -> None:
+        safe = pc.and_(pc.string_is_ascii(chunks), pc.invert(pc.match_substring(chunks, "<|")))
+        forms = pc.if_else(safe, pc.ascii_lower(chunks), chunks).dictionary_encode()
+        distinct = forms.dictionary.cast(pa.binary()).to_pylist()
+        self.learn(distinct)
+        found = [self.known[c] for c in distinct]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4"), sizes, forms.indices.to_numpy(zero_copy_only=False)
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """Makes the ids of all of the different ``chunks`` known."""
         if len(self.known) > CACHED_CHUNKS:
             self.known, self.older = {}, self.known
-        missing = {c for c in block if c not in self.known}
-        ends = {c: c.rstrip(STOPS) for c in missing}
-        # A word and the stops after it are tokens of their own, so the word alone is looked up.
-        ended = {c: w for c, w in ends.items() if len(w) < len(c) and w.decode().lower().isalpha()}
-        self._encode({ended.get(c, c) for c in missing} | {c[len(w) :] for c, w in ended.items()})
-        known = self.known
-        known.update((c, known[w] + known[c[len(w) :]]) for c, w in ended.items())
-
-    def _encode(self, chunks: set[bytes]) -> None:
-        known, older, new = self.known, self.older, []
+        known, older = self.known, self.older
+        words, others, marked = set(), set(), []
         for c in chunks:
+            if c in known:
+                continue
             if c in older:
                 known[c] = older[c]
-            elif c not in known:
-                new.append(c)
-        if new:
-            found = self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
-            known.update((c, pack(f"<{len(e.ids)}I", *e.ids)) for c, e in zip(new, found))
+                continue
+            word = c.strip(MARKS)
+            if not (word.isalpha() if word.isascii() else self._is_word(word, len(word) < len(c))):
+                others.add(c)
+                continue
+            words.add(word)
+            if len(word) < len(c):
+                left, _, right = c.partition(word)
+                others.update((left, right))
+                marked.append((c, left, word, right))
+        self._encode_words([w for w in words if w not in known])
+        self._encode_each([c for c in others if c not in known])
+        known.update((c, known[left] + known[word] + known[right]) for c, left, word, right in marked)
+
+    @staticmethod
+    def _is_word(word: bytes, marked: bool) -> bool:
+        """Letters alone. Beside marks only Latin ones: others may decompose into a letter and one more mark."""
+        text = word.decode()
+        return text.lower().isalpha() and (not marked or max(text) <= LAST_LATIN)
+
+    def _encode_words(self, words: list[bytes]) -> None:
+        known, merged, foreign = self.known, self.tokenizer.model.tokenize, []
+        spelt = [(w, w.decode()) for w in words if w.isascii()]
+        others = [w for w in words if not w.isascii()]
+        for k in range(0, len(others), WORDS_PER_CALL):
+            block = others[k : k + WORDS_PER_CALL]
+            normal = self.tokenizer.normalizer.normalize_str(b" ".join(block).decode()).split(" ")
+            for word, form in zip(block, normal):
+                if max(form) <= LAST_LATIN and form.isalpha():
+                    spelt.append((word, form.encode().decode("latin-1").translate(self.letters)))
+                else:
+                    foreign.append(word)
+        for word, letters in spelt:
+            ids = [t.id for t in merged(letters)]
+            known[word] = pack(FORMATS[len(ids)] if len(ids) < len(FORMATS) else f"<{len(ids)}I", *ids)
+        for k in range(0, len(foreign), WORDS_PER_CALL):
+            self._encode_joined(foreign[k : k + WORDS_PER_CALL])
+
+    def _encode_joined(self, words: list[bytes]) -> None:
+        ids = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids
+        ids = np.array(ids, "<u4")
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        if len(ends) != len(words):  # a letter that the tokenizer takes apart
+            self._encode_each(words)
+            return
+        packed, ends = ids.tobytes(), (4 * ends).tolist()
+        self.known.update((w, packed[a:b]) for w, a, b in zip(words, [0, *ends], ends))
+
+    def _encode_each(self, chunks: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False) if chunks else []
+        self.known.update((c, pack(f"<{len(e.ids)}I", *e.ids)) for c, e in zip(chunks, found))
 
 
 class Writer:
@@ -181,10 +269,9 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> Data
     Files in the order of (part, file) hold the documents in the order of doc_id.
     """
 
-    memo = docs.sparkSession.sparkContext.broadcast({})  # a worker keeps its copy, and so its encoder, from task to task
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = memo.value.get(path) or memo.value.setdefault(path, ChunkEncoder(path))
+        cache = worker_cache()  # an encoder learns from task to task
+        encoder = cache[path] = cache.get(path) or ChunkEncoder(path)
         writer, number, end = None, 0, np.array([end_id], "<u4").tobytes()
 
         def closed(part: int) -> pa.RecordBatch:
@@ -193,9 +280,9 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> Data
 
         for batch in batches:
             part = batch.column("part")[0].as_py() if batch.num_rows else None
-            for k in range(batch.num_rows):
+            for doc_id, parts in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(batch.column("text"))):
                 writer = writer or Writer(folder)
-                writer.add(batch.column("doc_id")[k].as_py(), _ended(encoder.encode(batch.column("text")[k].as_py()), end))
+                writer.add(doc_id, _ended(parts, end))
                 if writer.ids >= FILE_IDS:
                     yield closed(part)
                     writer, number = None, number + 1
@@ -237,7 +324,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     given = pa.array(ids.tolist(), pa.int64(), mask=ids == NO_ID)
                     yield pa.RecordBatch.from_arrays([given, pa.array(starts + before), pa.array(sizes), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = manifest.select("uri", "ids_before").repartition(F.col("uri"))
+    files = one_file_a_task(manifest.select("part", "file", "uri", "ids_before"), "part", "file")
     return files.mapInArrow(task, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
@@ -252,7 +339,7 @@ def fetch(manifest: DataFrame, doc_ids: list[int]) -> DataFrame:
                 for i, start, n in reader.documents[np.isin(reader.documents[:, 0], wanted)].tolist():
                     yield pa.RecordBatch.from_pydict({"doc_id": [i], "ids": [b"".join(reader.ids(start, n))]})
 
-    return manifest.select("uri").repartition(F.col("uri")).mapInArrow(task, "doc_id bigint, ids binary")
+    return one_file_a_task(manifest.select("uri"), "uri").mapInArrow(task, "doc_id bigint, ids binary")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -6,8 +6,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from attesta.llm import bpe, files, tokenfile, warc
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -76,6 +78,31 @@ def test_decomposed_capitals_have_the_librarys_ids():
             assert np.frombuffer(b"".join(own.encode(text)), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
+def test_chunks_have_the_librarys_ids(monkeypatch):
+    """Words with marks, digits, apostrophes, foreign and exotic letters, control tokens, and caches that overflow."""
+    lib, own = library(WORD_BPE), tokenfile.ChunkEncoder(WORD_BPE)
+    monkeypatch.setattr(tokenfile, "CACHED_CHUNKS", 60)
+    monkeypatch.setattr(tokenfile, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(tokenfile, "CHUNKS_PER_BLOCK", 25)
+    monkeypatch.setattr(tokenfile, "WORDS_PER_CALL", 3)
+    pieces = ["word", "Été", "straße", "don't", "'s", "it's", "(see", "[a]", '"quoted"', "3.5", "a1b", "क़", "İstanbul", "Ωmega", "слово", "語彙", "ǅ", "ﬁn", "é",
+              "***", "x--y", "_x_", "<|endoftext|>", "<|x", "ñ%%%", "𐐀", "ŉ", "ª", "", "q", "$$$.", "mañana,&&&", "ẞ", "ͅ", "aͅ", " ", "ab"]
+    r = random.Random(4)
+    texts = pieces + ["".join(r.choice(pieces) + r.choice([" ", "", "\n", "."]) for _ in range(r.randint(1, 60))) for _ in range(300)]
+    for text, parts in zip(texts, own.encode_all(pa.array(texts))):
+        assert np.frombuffer(b"".join(parts), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_a_task_reads_a_few_files(spark, monkeypatch):
+    """40 small files: adaptive execution must not pack them into one task."""
+    monkeypatch.setattr(tokenfile, "FILE_IDS", 10)
+    docs = spark.createDataFrame([(k, "a b c " * 4) for k in range(40)], "doc_id bigint, text string")
+    manifest = tokenfile.placed(tokenfile.write(docs, files.new_folder(spark, "t"), WORD_BPE)).cache()
+    assert manifest.count() == 40
+    found = tokenfile.read(manifest).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert max(r["count"] for r in found) <= 3 and sum(r["count"] for r in found) == 40
+
+
 def test_token_files_null_and_repeated_ids(spark):
     got = token_rows(spark, [(None, "a b", None), (7, "a", None), (7, "a", None), (7, None, None)])
     assert sorted((r.doc_id is None, r.doc_id, r.n_tokens) for r in got if r.doc_id) == [(False, 7, 1), (False, 7, 2), (False, 7, 2)]
