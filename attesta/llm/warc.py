@@ -5,7 +5,7 @@ equal payloads the one with the smallest page_id is a response, the others are r
 and carry headers alone. A block over ``SEGMENT_BYTES`` is cut into a first segment and continuation records.
 Each record is a gzip member; a file ends after ``FILE_BYTES``.
 
-Reader: files are read record by record. Segments are grouped by the identifier of their origin, ordered by
+Reader: each file is opened once, by a task of its own, and read record by record. Segments are grouped by the identifier of their origin, ordered by
 segment number and checked: numbers without a gap, the stated total length, then the chunk framing, the payload
 digest and length. A record that fails a check is returned with the reason in ``fault``.
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import Output, new_folder, open_input
+from .files import Output, new_folder, one_file_a_task, open_input
 from .graph import stored
 
 CHUNK_BYTES = 16 << 10
@@ -221,8 +221,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows, names)
 
-    files = manifest.select("uri").repartition(F.col("uri"))  # one task for each few files
-    return files.mapInArrow(task, ", ".join(f"{c} string" for c in FIELDS) + ", block binary")
+    return one_file_a_task(manifest.select("uri"), "uri").mapInArrow(task, ", ".join(f"{c} string" for c in FIELDS) + ", block binary")
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -238,49 +237,69 @@ def _payload(block: bytes) -> bytes:
     return dechunked(body) if is_chunked and body else body
 
 
-def reassemble(read: DataFrame) -> DataFrame:
+#: What is known of a response or revisit; a segment waits as ``block`` with its number, stated total and the record it belongs to.
+WHOLE = "record_id string, type string, url string, page_id string, refers_to_page string, refers_to string, payload binary, payload_bytes bigint, payload_digest string, fault string"
+WAITING = "first_id string, segment int, total string, stated string, stated_length string, block binary"
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.isdigit() else None
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "binary": pa.binary(), "bigint": pa.int64(), "int": pa.int32()}
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*rows), fields)], [n for n, _ in fields])
+
+
+def decoded(head: dict, block: bytes, fault: str | None, payloads: bool) -> tuple:
+    """The ``WHOLE`` columns of a record."""
+    payload, stated, length = b"", (head["digest"] or "").removeprefix("sha1:"), _number(head["payload_length"])
+    size, digest = length or 0, stated
+    if head["type"] != "revisit" and not fault:
+        try:
+            payload = _payload(block)
+            size, digest = len(payload), sha1_base32(payload)
+            fault = "digest differs" if stated and digest != stated else "length differs" if length is not None and length != size else None
+        except ValueError as broken:
+            fault = str(broken)
+    kept = payload if payloads else None
+    return (head["record_id"], head["type"], head["url"], head["page_id"], head["refers_to_page"], head["refers_to"], kept, size, digest, fault)
+
+
+def reassemble(read: DataFrame, payloads: bool = True) -> DataFrame:
     """One row per response or revisit: its fields, payload, payload_bytes, payload_digest and fault (null if sound).
 
-    Only records that are segments go through the grouping; others are decoded where they were read.
+    The records are read once: whole ones are decoded where they are, segments are set aside as they are, and both are
+    stored. Only the segments are then dealt by their record. ``payloads=False`` checks payloads but does not keep them.
     """
-    schema = "record_id string, type string, url string, page_id string, refers_to_page string, refers_to string, payload binary, payload_bytes bigint, payload_digest string, fault string"
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def decoded(head: dict, block: bytes, fault: str | None) -> tuple:
-        payload = b""
-        stated = (head["digest"] or "").removeprefix("sha1:")
-        size, digest = int(head["payload_length"] or 0), stated
-        if head["type"] != "revisit" and not fault:
-            try:
-                payload = _payload(block)
-                size, digest = len(payload), sha1_base32(payload)
-                fault = "digest differs" if stated and digest != stated else "length differs" if head["payload_length"] and int(head["payload_length"]) != size else None
-            except ValueError as broken:
-                fault = str(broken)
-        return (head["record_id"], head["type"], head["url"], head["page_id"], head["refers_to_page"], head["refers_to"], payload, size, digest, fault)
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string()] * 6 + [pa.binary(), pa.int64(), pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, nothing = f"{WHOLE}, {WAITING}", (None,) * 6
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                rows = batch.slice(k, 256).to_pylist()
-                yield batch_of([decoded(r, r["block"], None) for r in rows])
+                made = []
+                for r in batch.slice(k, 256).to_pylist():
+                    if r["number"] is not None:
+                        of, head = r["origin"] or r["record_id"], (r["record_id"], r["type"], r["url"], r["page_id"], r["refers_to_page"], r["refers_to"])
+                        made.append((*head, None, None, None, None, of, _number(r["number"]), r["total"], r["digest"], r["payload_length"], r["block"]))
+                    elif r["type"] in ("response", "revisit", "resource"):
+                        made.append(decoded(r, r["block"], None, payloads) + nothing)
+                if made:
+                    yield _rows(made, schema)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come ordered by origin and number; one record at a time is held."""
+        """Rows come ordered by record and number; one record at a time is held."""
         own: list[dict] = []
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 if own and own[0]["first_id"] != row["first_id"]:
-                    yield batch_of([put_together(own)])
+                    yield _rows([put_together(own)], WHOLE)
                     own = []
                 own.append(row)
         if own:
-            yield batch_of([put_together(own)])
+            yield _rows([put_together(own)], WHOLE)
 
     def put_together(own: list[dict]) -> tuple:
         block = b"".join(r["block"] for r in own)
@@ -288,21 +307,21 @@ def reassemble(read: DataFrame) -> DataFrame:
         fault = None
         if [r["segment"] for r in own] != list(range(1, len(own) + 1)):
             fault = "segments are missing or repeated"
-        elif total is None or int(total) != len(block):
+        elif _number(total) != len(block):
             fault = "the total length differs"
-        return decoded(own[0], block, fault)
+        return decoded(own[0] | {"digest": own[0]["stated"], "payload_length": own[0]["stated_length"]}, block, fault, payloads)
 
-    segmented = F.col("number").isNotNull()
-    plain = read.where(~segmented & F.col("type").isin("response", "revisit", "resource")).mapInArrow(whole, schema)
-    parts = read.where(segmented).withColumns({"first_id": F.coalesce("origin", "record_id"), "segment": F.expr("try_cast(number AS int)")})
-    ordered = parts.repartition("first_id").sortWithinPartitions("first_id", "segment")
-    return plain.unionByName(ordered.mapInArrow(joined, schema))
+    found = stored(read.mapInArrow(first, f"{WHOLE}, {WAITING}"))
+    whole = found.where("first_id IS NULL").select(*[c.split()[0] for c in WHOLE.split(", ")])
+    segments = found.where("first_id IS NOT NULL").drop("payload", "payload_bytes", "payload_digest", "fault")
+    ordered = segments.repartition("first_id").sortWithinPartitions("first_id", "segment")
+    return whole.unionByName(ordered.mapInArrow(joined, WHOLE))
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes ``pages`` as archives, reads them back, and returns what the archives say of each page."""
     manifest = write(pages, new_folder(pages.sparkSession, "warc"), least_bytes)
-    found = reassemble(read_records(manifest))
+    found = reassemble(read_records(manifest), payloads=False)
     return found.select(
         F.col("page_id").cast("long").alias("page_id"),
         "payload_bytes",

@@ -152,6 +152,22 @@ def test_archives_of_no_pages_equal_ids_and_null_ids(spark):
     assert sorted((r.page_id or 9, r.record_type, r.refers_to) for r in got) == [(1, "response", None), (1, "response", None), (2, "revisit", 1), (9, "revisit", 1)]
 
 
+def test_archives_are_opened_once_by_many_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1_000)
+    long = "".join(random.Random(1).choice("abcdef") for _ in range(2 * warc.SEGMENT_BYTES))
+    pages = pages_of(spark, [(k, "u", f"{k}{long}" if k % 5 == 0 else "x" * k, None) for k in range(60)])
+    manifest = warc.write(pages, files.new_folder(spark, "w"))
+    n = manifest.count()
+    read = warc.read_records(manifest)
+    tasks = read.withColumn("task", F.spark_partition_id()).select("task").distinct().count()
+    assert n >= 10 and tasks >= n / 2
+    opened = spark.sparkContext.accumulator(0)
+    counted = read.rdd.mapPartitions(lambda rows: (opened.add(1), rows)[1]).toDF(read.schema)
+    found = warc.reassemble(counted, payloads=False)
+    assert sorted(int(r.page_id) for r in found.collect()) == list(range(60)) and {r.fault for r in found.collect()} == {None}
+    assert opened.value == counted.rdd.getNumPartitions()  # read once, however often the result is asked for
+
+
 def test_broken_segments_are_told(spark, tmp_path):
     page = {"page_id": 1, "url": "u", "html": "z" * 3 * warc.SEGMENT_BYTES, "payload_bytes": 3 * warc.SEGMENT_BYTES, "revisit": False, "payload_digest": warc.sha1_base32(b"z" * 3 * warc.SEGMENT_BYTES)}
     parts = list(warc.page_records(page))
