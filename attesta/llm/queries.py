@@ -65,7 +65,7 @@ def op9_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _table(spark, sf_dir, "conversations").unionByName(chat.probe(spark))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.probe(spark))
     return chat.read_back(chat.format_conversations(turns))
 
 
