@@ -23,6 +23,7 @@ SEPARATORS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 SAMPLE_ROWS = 500
+SAMPLE_CHARS = 100_000
 
 
 @dataclass(frozen=True)
@@ -57,17 +58,24 @@ def with_repeats(df: DataFrame, words_column: str, name: str) -> DataFrame:
     """Adds the number of words that lie in five-word windows found twice or more, the first included.
 
     Windows are hashed, and most texts end at the comparison with the distinct hashes. Else each hash gives its
-    low bits to the window's position, one sort brings equal hashes together, and the positions that have an
-    equal neighbour, sorted again, are added up by the distance to the next.
+    low bits to the window's position, one sort brings equal hashes together, and the positions whose words are those
+    of a neighbour, sorted again, are added up by the distance to the next. The words decide, so hashes that are equal by
+    chance count nothing; a second neighbour on each side is looked at, as such a hash may stand between equal windows.
     """
     w = words_column
     window = ", ".join(f"{w}[i + {k}]" for k in range(WINDOW))
     hashes = f"CASE WHEN size({w}) < {WINDOW} THEN array() ELSE transform(sequence(0, size({w}) - {WINDOW}), i -> xxhash64({window})) END"
     bits = "cast(ceil(log2(size(_attesta_hashes))) AS int)"
     packed = f"transform(_attesta_hashes, (h, i) -> shiftleft(shiftright(h, {bits}), {bits}) + i)"
-    same = f"shiftright(p, {bits}) = shiftright(get(_attesta_packed, k {{}} 1), {bits})"
-    repeated = f"filter(_attesta_packed, (p, k) -> coalesce({same.format('-')}, false) OR coalesce({same.format('+')}, false))"
-    places = f"transform({repeated}, p -> p - shiftleft(shiftright(p, {bits}), {bits}))"
+    place = f"cast({{0}} - shiftleft(shiftright({{0}}, {bits}), {bits}) AS int)"
+
+    def same(other: str) -> str:
+        q, at, own = f"get(_attesta_packed, k {other})", place.format(f"get(_attesta_packed, k {other})"), place.format("p")
+        equal = " AND ".join(f"{w}[{at} + {k}] = {w}[{own} + {k}]" for k in range(WINDOW))
+        return f"CASE WHEN shiftright(p, {bits}) = shiftright({q}, {bits}) THEN {equal} ELSE false END"
+
+    near = " OR ".join(same(other) for other in ("- 1", "+ 1", "- 2", "+ 2"))
+    places = f"transform(filter(_attesta_packed, (p, k) -> {near}), p -> {place.format('p')})"
     covered = f"aggregate(transform(_attesta_places, (p, k) -> least({WINDOW}, coalesce(get(_attesta_places, k + 1) - p, {WINDOW}))), 0L, (a, x) -> a + x)"
     any_twice = "size(array_distinct(_attesta_hashes)) < size(_attesta_hashes)"
     return (
@@ -115,12 +123,18 @@ def _seconds(df: DataFrame) -> tuple[int, float]:
 
 
 def ordered(df: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """``rules`` by rejections per cost, both taken from a sample of at most ``sample_rows`` rows."""
-    sample = df.select("text").sample(0.2, seed=7).limit(sample_rows).cache()
+    """``rules`` by rejections per cost, both taken from a sample of at most ``sample_rows`` rows.
+
+    The sample passes through the driver, so texts over ``SAMPLE_CHARS`` are left out of it: 500 rows, 50 MB at most.
+    """
+    short = df.where(F.length("text") <= SAMPLE_CHARS).select("text").sample(0.2, seed=7)
+    taken = short.take(sample_rows)  # from as few partitions as it needs
+    rows = len(taken)
+    if not rows:
+        return rules
+    sample = df.sparkSession.createDataFrame(taken, "text string").cache()
     try:
-        rows = sample.count()
-        if not rows:
-            return rules
+        sample.count()
         _, idle = _seconds(sample.where(F.length("text") < 0))
         gains = {}
         for rule in rules:

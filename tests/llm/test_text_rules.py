@@ -193,6 +193,33 @@ def test_language_edges(spark):
     assert {x.lang_pred for x in langid.identify(docs.where("doc_id < 2"), one).collect()} == {"en"}
 
 
+def test_repeats_of_few_words_and_in_long_texts(spark):
+    """Few different words, and a long text with one repeat at its end."""
+    r = random.Random(2)
+    texts = [" ".join(r.choice("ab") for _ in range(n)) for n in (30, 80, 300)] + [" ".join(str(r.randrange(10**6)) for _ in range(5_000)) + " a b c d e f a b c d e"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
+    found = quality.with_repeats(docs.withColumn("w", quality.words()), "w", "n")
+    assert {r.doc_id: r.n for r in found.collect()} == {k: slow_repeats(t.split()) for k, t in enumerate(texts)}
+
+
+def test_chat_and_quality_with_clashing_columns(spark):
+    rows = [(1, 0, "user", "a <|im_end|> b", "p", 3), (1, 1, "assistant", "x" * 60_000, "q", 4), (1, 1, "assistant", "x" * 60_000, "q", 4)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, plain string, place int")
+    assert chat.format_conversations(turns).select("verified").collect() == [(True,)]
+    got = chat.read_back(chat.format_conversations(turns)).first()
+    assert (got.n_turns, got.loss_chars) == (3, 120_000)
+    docs = spark.createDataFrame([(1, "a " * 50_000 + "end", 7, "old")] * 2, "doc_id long, text string, n_words int, kept string")
+    assert [(r.n_words, r.n_repeat_words, r.kept) for r in quality.judged(docs).collect()] == [(50_001, 50_000, False)] * 2
+
+
+def test_chat_query_takes_more_columns(spark, tmp_path):
+    from attesta.llm import queries
+
+    table = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    table.selectExpr("*", "'x' AS plain", "1 AS place").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert queries.op10_chat(spark, str(tmp_path)).count() == table.select("conv_id").distinct().count() + 1
+
+
 def test_repeated_rows_are_learnt_once(spark):
     from pyspark.sql import functions as F
 
