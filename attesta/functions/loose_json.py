@@ -9,7 +9,7 @@ from ..fixed_values import FENCE_PATTERN, TRAILING_COMMA_PATTERN
 from .text import let
 
 
-def _valid(text: Column) -> Column:
+def whole_json(text: Column) -> Column:
     """``text`` if it is one JSON value and nothing else: as a list's only element it still reads as one."""
     alone = F.size(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")) == 1
     return F.when((text != "") & F.try_parse_json(text).isNotNull() & alone, text)
@@ -21,10 +21,10 @@ def repaired(text: Column) -> Column:
     return let(
         bare,
         lambda b: F.coalesce(
-            _valid(b),
-            let(F.regexp_extract(b, r"(?s)\{.*\}", 0), _valid),
-            let(F.regexp_extract(b, r"(?s)\[.*\]", 0), _valid),
-            let(F.regexp_replace(b, TRAILING_COMMA_PATTERN, "$1"), _valid),
+            whole_json(b),
+            let(F.regexp_extract(b, r"(?s)\{.*\}", 0), whole_json),
+            let(F.regexp_extract(b, r"(?s)\[.*\]", 0), whole_json),
+            let(F.regexp_replace(b, TRAILING_COMMA_PATTERN, "$1"), whole_json),
         ),
     )
 

@@ -86,23 +86,27 @@ def cell_text(col: Column, dtype: T.DataType) -> Column:
 
 
 @cache
-def _accent_table() -> tuple[str, str]:
-    """Characters whose compatibility form is one ASCII letter or digit, and that form."""
-    folded, plain = [], []
-    for code in range(0x00A0, 0xFFF0):
-        if 0xD800 <= code <= 0xDFFF:
-            continue
-        char = chr(code)
-        base = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if len(base) == 1 and base.isascii() and base.isalnum():
-            folded.append(char)
-            plain.append(base)
-    return "".join(folded), "".join(plain)
+def _compatible_forms() -> dict[str, str]:
+    """Every character whose compatibility form has ASCII letters or digits, and these: one, or several as in a ligature."""
+    forms = {}
+    for code in (*range(0x00A0, 0xD800), *range(0xE000, 0x20000)):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if c.isascii() and c.isalnum())
+        if base:
+            forms[chr(code)] = base
+    return forms
 
 
 def fold_accents(col: Column) -> Column:
+    forms = _compatible_forms()
+    single = {c: f for c, f in forms.items() if len(f) == 1 and ord(c) < 0x10000}
+    several = {c: f for c, f in forms.items() if c not in single}
     no_marks = F.regexp_replace(col, "\\p{M}+", "")
-    return F.when(col.rlike("[^\\x00-\\x7f]"), F.translate(no_marks, *_accent_table())).otherwise(col)
+    plain = F.translate(no_marks, "".join(single), "".join(single.values()))
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelt = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    # Few names have a character that stands for several, so few are taken apart.
+    whole = F.when(plain.rlike("[^\\x00-\\x7f]"), spelt).otherwise(plain)
+    return F.when(col.rlike("[^\\x00-\\x7f]"), whole).otherwise(col)
 
 
 def entity_slug(name: Column) -> Column:

@@ -11,7 +11,7 @@ from .. import fixed_values as fixed
 from ..functions import loose_json
 from ..functions.text import field_type, is_blank, text_normal
 from ..functions.urls import authority, url_normal
-from .ordered import first_rows
+from .ordered import first_rows, row_position
 
 
 
@@ -170,10 +170,9 @@ def merge_findings(
 
 
 def rank_findings(merged: DataFrame) -> DataFrame:
-    """Most corroborated first, then most confident."""
-    return merged.orderBy(
-        F.col("_corroborations").desc(), confidence_score(F.col("confidence")).desc(), F.col("_key")
-    )
+    """Most corroborated first, then most confident, with ``position`` over all of them."""
+    order = [F.col("_corroborations").desc(), confidence_score(F.col("confidence")).desc(), F.col("_key")]
+    return row_position(merged, [], order, "position")
 
 
 def synthesis_order(findings: DataFrame, rows: int = fixed.SYNTHESIS_ROWS) -> DataFrame:

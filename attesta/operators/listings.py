@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..sources.feeds import WHOLE_TEXT
-from .ordered import upper_median
+from .ordered import row_position, upper_median
 
 
 def has_pay() -> Column:
@@ -107,5 +107,6 @@ def rate_spread(listings: DataFrame) -> DataFrame:
 
 
 def rank_listings(listings: DataFrame) -> DataFrame:
-    """Best paid first."""
-    return listings.orderBy(F.coalesce("pay_min", F.lit(0.0)).desc(), F.col("company"), F.col("external_id"))
+    """Best paid first, with ``position`` over all listings; what agrees in pay goes by company, id and the rest."""
+    order = [F.coalesce("pay_min", F.lit(0.0)).desc(), *(F.col(c) for c in ("company", "external_id", "platform", "title", "url", "pay_unit"))]
+    return row_position(listings, [], order, "position")

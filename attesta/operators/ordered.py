@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 PART = "_attesta_part"
+VALUES_AT_ONCE = 10_000
+RANGES = 1_024
 
 
-def _dealt(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, WindowSpec]:
+def _dealt(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> tuple[DataFrame, WindowSpec]:
     """Rows with the number of their part, and the window of a group's rows in one part."""
     dealt = df.repartitionByRange(*keys, *order).withColumn(PART, F.spark_partition_id())
     return dealt, Window.partitionBy(PART, *keys).orderBy(*order)
@@ -47,7 +49,7 @@ def _with_carried(rows: DataFrame, keys: Sequence[str], carried: dict[str, Colum
     return rows.join(F.broadcast(before), reduce(Column.__and__, same), "left").drop("_attesta_at", "_attesta_group")
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column]) -> DataFrame:
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], values: dict[str, Column]) -> DataFrame:
     """Adds a column for each of ``values``: its sum over the group's rows up to and with this one. Nulls add nothing."""
     dealt, window = _dealt(df, keys, order)
     upto = window.rowsBetween(Window.unboundedPreceding, 0)
@@ -68,7 +70,7 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     return running_totals(df, keys, order, {out: value})
 
 
-def row_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+def row_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str) -> DataFrame:
     """1, 2, 3 … in ``order`` within the group; without keys, over all rows."""
     return running_totals(df, keys, order, {out: F.lit(1).cast("long")})
 
@@ -102,29 +104,63 @@ def upper_median(
     counts: dict[str, Column] | None = None,
     lows: dict[str, Column] | None = None,
     highs: dict[str, Column] | None = None,
+    values_at_once: int = VALUES_AT_ONCE,
 ) -> DataFrame:
     """The element at ``count div 2`` (from 0) of the sorted values of every group.
 
-    Rows of equal value are reduced to one before they meet, so a large group costs as
-    many rows as it has distinct values. Counts, minima and maxima of the group (dicts
-    of name to column) come from the same pass; a null value counts only there.
+    Rows of equal value are reduced to one before they meet. A group of up to ``values_at_once`` different values is
+    sorted; of a larger one the values are counted in ``RANGES`` ranges between its ends, and only the range that
+    holds the middle is opened again, until it has few. Counts, minima and maxima of the group (dicts of name to
+    column) come from the same pass; a null value counts only there.
     """
     counts, lows, highs = counts or {}, lows or {}, highs or {}
-    equal = df.groupBy(*keys, value.alias("_value")).agg(
-        F.count("*").alias("_n"),
-        *[F.count_if(c).alias(n) for n, c in counts.items()],
-        *[F.min(c).alias(n) for n, c in lows.items()],
-        *[F.max(c).alias(n) for n, c in highs.items()],
+    equal = cut_lineage(
+        df.groupBy(*keys, value.cast("double").alias("_value")).agg(
+            F.count("*").alias("_n"),
+            *[F.count_if(c).alias(n) for n, c in counts.items()],
+            *[F.min(c).alias(n) for n, c in lows.items()],
+            *[F.max(c).alias(n) for n, c in highs.items()],
+        )
     )
-    known = F.when(F.col("_value").isNotNull(), F.col("_n")).otherwise(0)
-    upto = Window.partitionBy(*keys).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = equal.withColumn("_upto", F.sum(known).over(upto)).withColumn(
-        "_all", F.sum(known).over(Window.partitionBy(*keys))
+    known = F.col("_value").isNotNull()
+    groups = cut_lineage(
+        equal.groupBy(*keys).agg(
+            *[F.sum(n).alias(n) for n in counts],
+            *[F.min(n).alias(n) for n in lows],
+            *[F.max(n).alias(n) for n in highs],
+            (F.floor(F.sum(F.when(known, F.col("_n"))) / 2) + 1).alias("_middle"),
+            F.count_if(known).alias("_different"), F.min("_value").alias("_low"), F.max("_value").alias("_high"),
+        )
     )
-    middle = F.floor(F.col("_all") / 2) + 1
-    return ranked.groupBy(*keys).agg(
-        *[F.sum(n).alias(n) for n in counts],
-        *[F.min(n).alias(n) for n in lows],
-        *[F.max(n).alias(n) for n in highs],
-        F.min(F.when(F.col("_upto") >= middle, F.col("_value"))).alias(out),
+    values = equal.where(known).select(_group(keys), "_value", "_n")
+    # What is still sought: a group, the rank in it, and the range that holds it with the number of values there.
+    sought = groups.where("_different > 0").select(_group(keys), "_middle", "_different", "_low", "_high")
+    found = None
+    while True:
+        few = values.join(sought.where(F.col("_different") <= values_at_once), "_attesta_group").where("_value BETWEEN _low AND _high")
+        upto = Window.partitionBy("_attesta_group").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+        some = few.withColumn("_upto", F.sum("_n").over(upto)).where("_upto >= _middle").groupBy("_attesta_group").agg(F.min("_value").alias(out))
+        found = some if found is None else found.unionByName(some)
+        many = cut_lineage(sought.where(F.col("_different") > values_at_once))
+        if many.isEmpty():
+            break
+        # Halves, as the distance of two doubles may be none.
+        share = (F.col("_value") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
+        inside = values.join(many, "_attesta_group").where("_value BETWEEN _low AND _high")
+        ranges = inside.groupBy("_attesta_group", "_middle", F.least(F.floor(share * RANGES), F.lit(RANGES - 1)).alias("_range")).agg(
+            F.sum("_n").alias("_n"), F.count("*").alias("_different"), F.min("_value").alias("_low"), F.max("_value").alias("_high")
+        )
+        upto = Window.partitionBy("_attesta_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)  # RANGES rows
+        ends = ranges.withColumn("_upto", F.sum("_n").over(upto)).where("_upto >= _middle")
+        hit = F.min_by(F.struct("_middle", "_different", "_low", "_high", "_upto", "_n"), "_range").alias("h")
+        sought = ends.groupBy("_attesta_group").agg(hit).select(
+            "_attesta_group", (F.col("h._middle") - F.col("h._upto") + F.col("h._n")).alias("_middle"), "h._different", "h._low", "h._high"
+        )
+    return groups.withColumn("_attesta_group", _group(keys)).join(found, "_attesta_group", "left").drop(
+        "_attesta_group", "_middle", "_different", "_low", "_high"
     )
+
+
+def _group(keys: Sequence[str]) -> Column:
+    """The keys as one value that joins also where keys are null: a struct is never null."""
+    return F.struct(*[F.col(k) for k in keys]).alias("_attesta_group")

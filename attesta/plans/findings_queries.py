@@ -141,7 +141,8 @@ def adjudicate(spark, sf_dir):
     "corroborated_claims",
     sql.with_ctes(*_JUDGE_CTES)
     + """
-SELECT k AS key, name, url, confidence, corroborations, source_count, verdict, url_status
+SELECT k AS key, name, url, confidence, corroborations, source_count, verdict, url_status,
+       row_number() OVER (ORDER BY corroborations DESC, CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, k) AS position
 FROM judged WHERE source_count >= 2 AND verdict = 'supported' AND url_status IN ('ok', 'redirect_ok')""",
 )
 def corroborated_claims(spark, sf_dir):
@@ -160,6 +161,7 @@ def corroborated_claims(spark, sf_dir):
         F.col("_source_count").alias("source_count"),
         F.col("_verdict").alias("verdict"),
         F.col("_url_status").alias("url_status"),
+        "position",
     )
 
 

@@ -267,15 +267,16 @@ _IMERIT = _expected(
 query("listings_imerit", sql.with_ctes(_POSTINGS) + _IMERIT)(imerit)
 
 
-@query(
-    "listings_page_lines",
-    sql.with_ctes(_POSTINGS)
-    + _expected(
+_PAGE_LINES = (
+    _expected(
         "telus-gigs", "TELUS AI Community (crowd gigs)", gig="true", url="'https://gigs/' || k", title="title || ' ' || pay_text",
         location="''", external_id="''", description_excerpt="''",
     )
-    + " WHERE k % 3 <> 2",
+    + " WHERE k % 3 <> 2"
 )
+
+
+@query("listings_page_lines", sql.with_ctes(_POSTINGS) + _PAGE_LINES)
 def listings_page_lines(spark, sf_dir):
     text = F.concat(F.lit("# Open roles\n\n- **"), "title", F.lit(" "), "pay_text", F.lit("**\n- Short\nNo role here at all"))
     pages = postings(spark, sf_dir).select(
@@ -297,15 +298,33 @@ def extract_pay(spark, sf_dir):
 
 
 def all_listings(spark, sf_dir):
-    """Three feeds as one table, gigs inferred from the pay unit."""
-    return ops.flag_gigs(feeds.union_listings(greenhouse(spark, sf_dir), lever(spark, sf_dir), imerit(spark, sf_dir)))
+    """All nine feeds as one table, gigs inferred from the pay unit."""
+    readers = (greenhouse, lever, ashby, join_feed, outlier, mercor, micro1, imerit, listings_page_lines)
+    return ops.flag_gigs(feeds.union_listings(*[reader(spark, sf_dir) for reader in readers]))
 
 
+_NINE = " UNION ALL BY NAME ".join(
+    f"SELECT * FROM ({feed})" for feed in (_GREENHOUSE, _LEVER, _ASHBY, _JOIN, _OUTLIER, _MERCOR, _MICRO1, _IMERIT, _PAGE_LINES)
+)
 _ALL = f"""
-unioned AS (SELECT * FROM ({_GREENHOUSE}) UNION ALL BY NAME SELECT * FROM ({_LEVER}) UNION ALL BY NAME SELECT * FROM ({_IMERIT})),
+unioned AS ({_NINE}),
 listings AS (SELECT * REPLACE (worker_gig OR pay_unit IN ('hour', 'day', 'task') AS worker_gig) FROM unioned)"""
 
 
+@query(
+    "listings_quarantine",
+    """
+SELECT o_orderkey % 3 AS kind, count(*) AS pages FROM orders WHERE o_orderkey % 3 > 0 GROUP BY ALL""",
+)
+def listings_quarantine(spark, sf_dir):
+    """Pages whose embedded JSON is cut off (1) or missing (2) are counted, not lost."""
+    kind = F.col("o_orderkey") % 3
+    inner = F.to_json(F.struct(F.array(F.struct(F.col("o_orderkey").alias("id"))).alias("jobs")))
+    page = F.when(kind == 0, _page(inner)).when(kind == 1, F.replace(_page(inner), F.lit("]}"), F.lit("]"))).otherwise(F.lit("<html></html>"))
+    raw = t.table(spark, sf_dir, "orders").select(kind.alias("kind"), F.lit("join").alias("platform"), page.alias("payload"))
+    return feeds.embedded_pages(raw)[1].groupBy("kind").agg(F.count("*").alias("pages"))
+
+
 @query("union_listings", sql.with_ctes(_POSTINGS, _ALL) + "SELECT * FROM listings")
 def union_listings(spark, sf_dir):
     return all_listings(spark, sf_dir)
@@ -380,7 +399,11 @@ def top_paid_per_company(spark, sf_dir):
 
 @query(
     "ranked_listings",
-    sql.with_ctes(_POSTINGS, _ALL) + "SELECT platform, company, external_id, pay_min, pay_unit FROM listings",
+    sql.with_ctes(_POSTINGS, _ALL)
+    + """
+SELECT platform, company, external_id, pay_min, pay_unit,
+       row_number() OVER (ORDER BY coalesce(pay_min, 0) DESC, company, external_id, platform, title, url, pay_unit) AS position
+FROM listings""",
 )
 def ranked_listings(spark, sf_dir):
-    return ops.rank_listings(all_listings(spark, sf_dir)).select("platform", "company", "external_id", "pay_min", "pay_unit")
+    return ops.rank_listings(all_listings(spark, sf_dir)).select("platform", "company", "external_id", "pay_min", "pay_unit", "position")

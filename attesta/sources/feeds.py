@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
+from ..functions.loose_json import whole_json
 from ..functions.pay import no_pay, numeric_pay, prose_pay, stated_pay
 from ..functions.text import strip_markup
+from ..session import cut_lineage
 from .reference import PLATFORM_COLUMNS
 
 LISTING_COLUMNS = (
@@ -147,15 +149,52 @@ def listings_ashby(raw: DataFrame) -> DataFrame:
     )
 
 
-def _embedded_list(key: str, item: str) -> Column:
-    """A list of objects under ``key``, however deep it lies in a page's embedded JSON."""
-    data = F.regexp_extract("payload", _EMBEDDED, 1)
-    return F.from_json(F.regexp_extract(data, rf'(?s)"{key}"\s*:\s*(\[\s*\{{.*)', 1), f"array<{item}>")
+def embedded_pages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages as ``platform, _page, _node`` (the embedded JSON, parsed once), and pages without one or with a broken one."""
+    data = F.trim(F.regexp_extract("payload", _EMBEDDED, 1))
+    read = raw.withColumn("_json", whole_json(data))
+    good = read.filter(F.col("_json").isNotNull())
+    parsed = good.select("platform", F.monotonically_increasing_id().alias("_page"), F.try_parse_json("_json").alias("_node"))
+    return cut_lineage(parsed), read.filter(F.col("_json").isNull()).drop("_json")
+
+
+def deep_lists(pages: DataFrame, key: str) -> DataFrame:
+    """``platform, _page, items``: the first list of objects under ``key``, at any depth, as JSON.
+
+    The levels of the parsed JSON are opened one after another. An object that has the list is not opened further; of
+    several the first stands, an object before what lies in it, siblings by position.
+    """
+    spark = pages.sparkSession
+    here = F.try_variant_get("_node", f"$.{key}", "variant")
+    is_list = F.startswith(F.schema_of_variant(F.try_variant_get("_node", f"$.{key}[0]", "variant")), F.lit("OBJECT"))
+    holds = F.coalesce(is_list, F.lit(False))
+    level = pages.select("platform", "_page", F.array().cast("array<int>").alias("_at"), "_node")
+    found = None
+    while not level.isEmpty():
+        hits = level.filter(holds).select("platform", "_page", "_at", F.to_json(here).alias("items"))
+        found = hits if found is None else found.unionByName(hits)
+        opened = level.filter(~holds).lateralJoin(spark.tvf.variant_explode(F.col("_node").outer()))
+        below = opened.select("platform", "_page", F.concat("_at", F.array("pos")).alias("_at"), F.col("value").alias("_node"))
+        level = cut_lineage(below.filter(F.schema_of_variant("_node").rlike("^(OBJECT|ARRAY)")))
+    if found is None:
+        found = level.select("platform", "_page", "_at", F.lit("").alias("items"))
+    return found.groupBy("platform", "_page").agg(F.min_by("items", "_at").alias("items"))
+
+
+def _embedded_jobs(raw: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """Jobs from the list under the first of ``keys`` that a page has."""
+    pages, _ = embedded_pages(raw)
+    lists = None
+    for key in keys:
+        some = deep_lists(pages, key)
+        lists = some if lists is None else lists.unionByName(some)
+        pages = pages.join(some.select("_page"), "_page", "left_anti")
+    return _jobs(lists, F.from_json("items", f"array<{item}>"))
 
 
 def listings_join(raw: DataFrame) -> DataFrame:
     item = "struct<id:string,title:string,url:string,location:string,employmentType:string>"
-    jobs = _jobs(raw, _embedded_list("jobs", item)).filter(F.coalesce("job.title", F.lit("")) != "")
+    jobs = _embedded_jobs(raw, ["jobs"], item).filter(F.coalesce("job.title", F.lit("")) != "")
     place = F.col("job.location")
     city = F.get_json_object(place, "$.city")
     return _listings(
@@ -190,11 +229,11 @@ def listings_outlier(raw: DataFrame) -> DataFrame:
 
 def listings_mercor(raw: DataFrame) -> DataFrame:
     item = "struct<id:string,title:string,location:string,description:string,hourlyRate:string,payRate:string,rate:string>"
-    items = F.coalesce(_embedded_list("listings", item), _embedded_list("jobs", item))
+    jobs = _embedded_jobs(raw, ["listings", "jobs"], item)
     rate = _given(F.col("job.hourlyRate"), F.col("job.payRate"), F.col("job.rate"))
     number = _given(F.col("job.id"))
     return _listings(
-        _plain(_jobs(raw, items).filter(F.coalesce("job.title", F.lit("")) != ""), "description"),
+        _plain(jobs.filter(F.coalesce("job.title", F.lit("")) != ""), "description"),
         numeric_pay(rate),
         F.lit(True),
         title=F.col("job.title"),

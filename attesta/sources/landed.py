@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.loose_json import whole_json
+
 _META = "struct<target:string,target_label:string,dimension:string,model:string,cost_usd:double,attempts:int>"
 _MANIFEST = (
     "struct<topic:string,status:string,created_at:string,finished_at:string,"
@@ -27,7 +29,8 @@ def _whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _split(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    good = F.try_parse_json("body").isNotNull()
+    """Files that hold one JSON value and nothing else, and the others."""
+    good = whole_json(F.trim("body")).isNotNull()
     return files.filter(good), files.filter(~good).select("file", "body")
 
 

@@ -223,6 +223,25 @@ def test_upper_median(spark):
     assert dict(rows(upper_median(df, ["k"], F.col("v"), "m"), "k", "m")) == {"a": 3.0, "b": 7.0}
 
 
+@pytest.mark.parametrize("at_once", [1, 3, 10_000])
+def test_median_by_selection(spark, at_once):
+    """Groups with more different values than are sorted at once, of odd spread, with nulls and null keys."""
+    import random
+
+    from attesta.operators.ordered import upper_median
+
+    r = random.Random(at_once)
+    spreads = {"even": lambda: r.random(), "steep": lambda: 10.0 ** r.randint(-300, 300), "few": lambda: float(r.randint(0, 2)), "far": lambda: r.choice([-1e308, 1e308, 1.0, 5e-324]), None: lambda: r.choice([None, 2.5, -1.0])}
+    data = [(k, f()) for k, f in spreads.items() for _ in range(151)] + [("none", None), ("one", 4.0)]
+    want = {}
+    for k in {k for k, _ in data}:
+        own = sorted(v for g, v in data if g == k and v is not None)
+        want[k] = (own[len(own) // 2] if own else None, sum(g == k for g, _ in data))
+    df = spark.createDataFrame(data, "k string, v double")
+    got = upper_median(df, ["k"], F.col("v"), "m", counts={"n": F.lit(True)}, values_at_once=at_once)
+    assert {r["k"]: (r["m"], r["n"]) for r in got.collect()} == want
+
+
 def test_crossing_call(spark):
     calls = spark.createDataFrame([(1, i, 0.4) for i in range(5)], "run_id int, call_id long, c double").withColumn("cost_usd", F.col("c").cast("decimal(20,8)"))
     got = [r["outcome"] for r in work.budget_cutoff(calls, 1.0).orderBy("call_id").collect()]

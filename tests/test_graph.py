@@ -100,3 +100,12 @@ def test_topics_point_at_what_they_were_researched_for(spark):
     assert [(r.source, r.source_kind, r.predicate, r.target, r.target_kind, r.confidence, r.run_id) for r in got] == [
         ("Wetlands", "topic", "researched", "Reed beds", "subject", "high", "run-7")
     ]
+
+
+def test_letters_of_ligatures_stay(spark):
+    from attesta.functions.text import entity_slug, fold_accents
+
+    df = spark.createDataFrame([("ﬁntech Labs",), ("Œuvre ½",), ("ﬃ ﬆ Ⅷ ㎏ ①",), ("Ａｃｍｅ 𝐁𝐨𝐥𝐝",), ("Café",), ("語彙",), (None,), ("plain",)], "n string")
+    got = [r["f"] for r in df.select(fold_accents(F.col("n")).alias("f")).collect()]
+    assert got == ["fintech Labs", "Œuvre 12", "ffi st VIII kg 1", "Acme Bold", "Cafe", "語彙", None, "plain"]
+    assert df.select(entity_slug(F.col("n")).alias("s")).head()["s"] == df.limit(1).select(entity_slug(F.lit("fintech Labs")).alias("s")).head()["s"]

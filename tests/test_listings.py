@@ -69,6 +69,41 @@ def test_embedded_pages(spark):
     assert feeds.listings_join(raw(spark, "clickworker", "<html></html>")).count() == 0
 
 
+def embedded(data):
+    return f'<script id="__NEXT_DATA__">{data if isinstance(data, str) else json.dumps(data)}</script>'
+
+
+def test_lists_lie_at_any_depth_and_text_is_no_list(spark):
+    deep = {"jobs": [{"id": 3, "title": "Deep"}]}
+    for k in range(12):
+        deep = {f"k{k}": [1, deep]} if k % 2 else {"a": "b", f"k{k}": deep}
+    text = {"note": 'a "jobs": [{"id": 1, "title": "No"}] text', "jobs": "none", "z": {"jobs": [], "y": {"jobs": [{"id": 2, "title": 'T "jobs": [{'}]}}}
+    both = {"b": {"jobs": [{"id": 5, "title": "later"}]}, "a": {"x": {"jobs": [{"id": 4, "title": "first", "jobs": [{"id": 9, "title": "inner"}]}]}}}
+    pages = [deep, text, both, {"jobs": [1, 2]}, [], {"jobs": None}]
+    rows = spark.createDataFrame([("clickworker", embedded(p)) for p in pages], "platform string, payload string")
+    assert {r["external_id"]: r["title"] for r in feeds.listings_join(rows).collect()} == {"3": "Deep", "2": 'T "jobs": [{', "4": "first"}
+    assert feeds.listings_mercor(rows).count() == 3
+    listed = [embedded({"jobs": [{"id": 1, "title": "j"}], "s": {"listings": [{"id": 2, "title": "l"}]}})]
+    assert [r["external_id"] for r in feeds.listings_mercor(raw(spark, "mercor", listed[0])).collect()] == ["2"]
+
+
+def test_broken_pages_are_counted(spark):
+    pages = [embedded({"jobs": []}), embedded('{"jobs": [{"id": 1}'), embedded('{"jobs": []} {"jobs": []}'), "<html></html>", ""]
+    rows = spark.createDataFrame([("join", p) for p in pages] + [("join", None)], "platform string, payload string")
+    good, bad = feeds.embedded_pages(rows)
+    assert (good.count(), bad.count()) == (1, 5)
+    assert feeds.listings_join(bad).count() == 0
+
+
+def test_listings_have_a_total_order(spark):
+    columns = ["company", "external_id", "platform", "title", "url", "pay_unit"]
+    rows = [(f"c{i % 3}", str(i % 7), "p", f"t{i}", "u", "hour", float(i % 5) if i % 4 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns) + ", pay_min double")
+    want = sorted(rows, key=lambda r: (-(r[6] or 0.0), *r[:6]))
+    assert [tuple(r)[:7] for r in ops.rank_listings(df).orderBy("position").collect()] == want
+    assert [r["position"] for r in ops.rank_listings(df).orderBy("position").collect()] == list(range(1, 61))
+
+
 def test_own_feed_and_gigs(spark):
     feeds.register_feed("own", lambda df: feeds.listings_imerit(df))
     rows = feeds.read_feed("own", raw(spark, "imerit", {"jobs": [{"id": 1, "title": "X", "pay_rate": "16"}]}))
