@@ -30,25 +30,26 @@ def add_keys(observations: DataFrame) -> DataFrame:
 
 
 def build_relations(observations: DataFrame) -> DataFrame:
-    """One edge per source, predicate and target; its weight is how often it was seen."""
-    return (
-        add_keys(observations)
-        .groupBy("source_key", "relation", "target_key")
-        .agg(
-            F.count("*").alias("weight"),
-            F.max(F.struct("captured_at", "ord", "confidence")).alias("_last"),
-            F.min("captured_at").alias("first_seen"),
-        )
-        .select(
-            "source_key",
-            F.col("relation").alias("predicate"),
-            "target_key",
-            "weight",
-            F.col("_last.confidence").alias("confidence"),
-            "first_seen",
-            F.col("_last.captured_at").alias("last_seen"),
-        )
-    )
+    """One edge per source, predicate and target; its weight is how often it was seen.
+
+    Equal spellings are counted before their keys are computed.
+    """
+    spelled = observations.groupBy("source", "source_kind", "predicate", "target", "target_kind").agg(*_edge_values(F.count("*"), "captured_at"))
+    return relations_of(add_keys(spelled), F.sum("weight"), "first_seen", F.max("_last"))
+
+
+def _edge_values(weight: Column, seen: str, last: Column | None = None) -> list[Column]:
+    last = F.max(F.struct("captured_at", "ord", "confidence")) if last is None else last
+    return [weight.alias("weight"), F.min(seen).alias("first_seen"), last.alias("_last")]
+
+
+def relations_of(keyed: DataFrame, weight: Column | None = None, seen: str = "captured_at", last: Column | None = None) -> DataFrame:
+    """Edges of observations that have their keys."""
+    values = _edge_values(F.count("*") if weight is None else weight, seen, last)
+    return keyed.groupBy("source_key", "relation", "target_key").agg(*values).select(
+        "source_key", F.col("relation").alias("predicate"), "target_key", "weight", F.col("_last.confidence").alias("confidence"),
+        "first_seen", F.col("_last.captured_at").alias("last_seen"),
+    )
 
 
 def relation_attrs(observations: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import findings as fops
 from ..operators import graph as ops
 from ..operators import pages as pops
-from ..session import cut_lineage
+from ..operators.graph_store import GraphStore
+from ..session import shared_folder
 from . import findings_queries as fq
 from . import sql
 from . import tables as t
@@ -84,6 +87,34 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supplied.unionByName(located).unionByName(based).unionByName(part_of)
 
 
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ends of every observation, and the registers' own entries of customers and suppliers with what they state."""
+    start = F.lit("1995-01-01").cast("timestamp")
+    customers = t.table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("name"), F.lit("company").alias("kind"), start.alias("seen_at"), F.col("c_custkey").cast("long").alias("ord"),
+        F.lit(True).alias("direct"), F.create_map(F.lit("segment"), F.col("c_mktsegment")).alias("attrs"),
+    )
+    entries = F.explode(F.sequence(F.lit(0), (F.col("s_suppkey") % 3).cast("int"))).alias("entry")
+    suppliers = _suppliers(spark, sf_dir).select("s_name", "s_suppkey", entries).select(
+        F.col("s_name").alias("name"), F.lit("company").alias("kind"), start.alias("seen_at"), F.col("s_suppkey").cast("long").alias("ord"),
+        F.lit(True).alias("direct"), F.create_map(F.lit("register"), F.concat(F.lit("HR "), "s_suppkey", F.lit("/"), "entry")).alias("attrs"),
+    )
+    ends = ops.end_mentions(observations(spark, sf_dir)).withColumn("attrs", F.lit(None).cast("map<string,string>"))
+    return ends.unionByName(customers).unionByName(suppliers)
+
+
+_stores: dict[tuple[str, str], GraphStore] = {}
+
+
+def store(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """The graph of the given tables, stored once per application."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _stores:
+        path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+        _stores[at] = GraphStore.build(observations(spark, sf_dir), mentions(spark, sf_dir), path)
+    return _stores[at]
+
+
 _OBS = f"""
 obs AS (
   SELECT *, source_kind || ':' || regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g') AS source_key,
@@ -110,11 +141,16 @@ rel AS (
          last(confidence ORDER BY captured_at, ord, confidence) AS confidence
   FROM obs GROUP BY ALL
 ),
+direct AS (
+  SELECT c_name AS name, c_custkey AS ord, 'segment' AS attr, c_mktsegment AS value FROM customer
+  UNION ALL SELECT s_name, s_suppkey, 'register', 'HR ' || s_suppkey || '/' || e FROM (SELECT *, unnest(range(0, 1 + s_suppkey % 3)) AS e FROM supplier)
+),
 ents AS (
-  SELECT entity_key, first(name ORDER BY length(name) DESC, ord, name DESC) AS name, first(kind) AS kind, 0::BIGINT AS mentions, count(*) AS edge_mentions,
-         min(captured_at) AS first_seen, max(captured_at) AS last_seen
-  FROM (SELECT source_key AS entity_key, source AS name, source_kind AS kind, captured_at, ord FROM obs
-        UNION ALL SELECT target_key, target, target_kind, captured_at, ord FROM obs) GROUP BY entity_key
+  SELECT entity_key, first(name ORDER BY length(name) DESC, ord, name DESC) AS name, first(kind) AS kind, count(*) FILTER (is_direct) AS mentions,
+         count(*) FILTER (NOT is_direct) AS edge_mentions, min(captured_at) AS first_seen, max(captured_at) AS last_seen
+  FROM (SELECT source_key AS entity_key, source AS name, source_kind AS kind, captured_at, ord, false AS is_direct FROM obs
+        UNION ALL SELECT target_key, target, target_kind, captured_at, ord, false FROM obs
+        UNION ALL SELECT 'company:' || regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), name, 'company', TIMESTAMP '1995-01-01', ord, true FROM direct) GROUP BY entity_key
 )"""
 
 
@@ -123,13 +159,7 @@ def relations(spark, sf_dir):
 
 
 def entities(spark, sf_dir):
-    return ops.build_entities(ops.end_mentions(observations(spark, sf_dir)))
-
-
-def _names(spark, sf_dir):
-    """Entities and aliases as the stored tables a search reads more than once."""
-    aliases = ops.build_aliases(ops.end_mentions(observations(spark, sf_dir)))
-    return cut_lineage(entities(spark, sf_dir)), cut_lineage(aliases)
+    return ops.build_entities(mentions(spark, sf_dir))
 
 
 @query(
@@ -216,7 +246,7 @@ SELECT source_key, predicate, target_key, weight, confidence, CAST(min(hop) AS I
 FROM (SELECT *, 1 AS hop FROM hop1 UNION ALL SELECT *, 2 FROM hop2) GROUP BY ALL""",
 )
 def neighbors_2(spark, sf_dir):
-    return ops.neighbors(cut_lineage(relations(spark, sf_dir)), START, 2)
+    return ops.neighbors(store(spark, sf_dir).relations(), START, 2)
 
 
 @query(
@@ -227,32 +257,54 @@ SELECT run_id, agent, source_url, snippet, confidence, captured_at FROM obs
 WHERE source_key = '{START}' OR target_key = '{START}' ORDER BY captured_at DESC, ord DESC, source_url LIMIT 50""",
 )
 def provenance(spark, sf_dir):
-    out = ops.provenance(observations(spark, sf_dir), START)
+    out = store(spark, sf_dir).provenance(START)
     return out.select("run_id", "agent", "source_url", "snippet", "confidence", "captured_at")
 
 
 @query("entity_lookup", sql.with_ctes(_OBS) + f"SELECT entity_key, name, kind, edge_mentions FROM ents WHERE entity_key = '{START}'")
 def entity_lookup(spark, sf_dir):
-    out = ops.get_entity(entities(spark, sf_dir), "The Supplier #000000001, Inc.", "company")
+    out = store(spark, sf_dir).entity("The Supplier #000000001, Inc.", "company")
     return out.select("entity_key", "name", "kind", "edge_mentions")
 
 
 @query(
     "entity_search",
-    sql.with_ctes(_OBS) + "SELECT entity_key, name, edge_mentions FROM ents WHERE regexp_matches(lower(name), '^supplier#') ORDER BY mentions DESC, entity_key LIMIT 25",
+    sql.with_ctes(_OBS) + "SELECT entity_key, name, mentions, edge_mentions FROM ents WHERE regexp_matches(lower(name), '^supplier#') ORDER BY mentions DESC, entity_key LIMIT 25",
 )
 def entity_search(spark, sf_dir):
-    out = ops.search_entities(*_names(spark, sf_dir), "Supplier")
-    return out.select("entity_key", "name", "edge_mentions")
+    out = store(spark, sf_dir).search("Supplier")
+    return out.select("entity_key", "name", "mentions", "edge_mentions")
 
 
 @query(
     "entity_search_part",
-    sql.with_ctes(_OBS) + "SELECT entity_key, name, edge_mentions FROM ents WHERE contains(lower(name), 'pplier#00') ORDER BY mentions DESC, entity_key LIMIT 25",
+    sql.with_ctes(_OBS) + "SELECT entity_key, name, mentions, edge_mentions FROM ents WHERE contains(lower(name), 'pplier#00') ORDER BY mentions DESC, entity_key LIMIT 25",
 )
 def entity_search_part(spark, sf_dir):
-    out = ops.search_entities(*_names(spark, sf_dir), "pplier#00")
-    return out.select("entity_key", "name", "edge_mentions")
+    out = store(spark, sf_dir).search("pplier#00")
+    return out.select("entity_key", "name", "mentions", "edge_mentions")
+
+
+@query(
+    "entity_search_attribute",
+    sql.with_ctes(_OBS)
+    + """
+SELECT entity_key, name, mentions FROM ents
+WHERE name IN (SELECT name FROM direct WHERE attr = 'segment' AND value = 'BUILDING') ORDER BY mentions DESC, entity_key LIMIT 25""",
+)
+def entity_search_attribute(spark, sf_dir):
+    """Companies found by what a register states of them, not by their names."""
+    return store(spark, sf_dir).search("building").select("entity_key", "name", "mentions")
+
+
+@query(
+    "entity_attrs",
+    sql.with_ctes(_OBS)
+    + """
+SELECT 'company:' || regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') AS entity_key, attr, min(value) AS value FROM direct GROUP BY ALL""",
+)
+def entity_attrs(spark, sf_dir):
+    return ops.entity_attrs(mentions(spark, sf_dir))
 
 
 def fetches(spark, sf_dir):
@@ -294,7 +346,9 @@ UNION ALL SELECT 'predicate', predicate, count(*) FROM rel GROUP BY predicate"""
 )
 def graph_stats(spark, sf_dir):
     sources = ops.build_sources(fetches(spark, sf_dir))
-    return ops.graph_stats(entities(spark, sf_dir), relations(spark, sf_dir), observations(spark, sf_dir), sources)
+    graph = store(spark, sf_dir)
+    log = graph.table("log").where("side = 'source'")
+    return ops.graph_stats(graph.entities(), graph.relations(), log, sources)
 
 
 # findings into the graph ------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fixed
 from ..operators import work
 from ..streaming import live, tables
 from . import graph_queries as gq
@@ -39,11 +40,33 @@ SELECT window_start, country, count(*) AS "activeUsers" FROM (
 GROUP BY ALL""",
 )
 def stream_active_users(spark, sf_dir):
-    slots = live.active_user_slots(_events(spark, sf_dir), ["country"])
-    kept = tables.keyed_to_end(slots, ["window_start", "country", "user_id"], tables.new_folder(spark, "active-users"))
+    panes = live.active_user_panes(_events(spark, sf_dir), ["country"])
+    kept = tables.keyed_to_end(panes, ["pane_start", "country", "user_id"], tables.new_folder(spark, "active-users"))
     return live.active_users(kept, ["country"])
 
 
+_REALTIME = fixed.REPORT_RECIPES["realtime"][0]
+
+
+@query(
+    "report_realtime",
+    """
+WITH e AS (
+  SELECT ts, user_id, n_name AS country, ['mobile', 'desktop', 'tablet'][1 + user_id % 3] AS "deviceCategory", event_type AS "unifiedScreenName"
+  FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey
+), latest AS (SELECT time_bucket(INTERVAL 5 MINUTE, max(ts)) - INTERVAL 25 MINUTE AS start FROM e)
+SELECT start AS window_start, country, "deviceCategory", "unifiedScreenName", count(DISTINCT user_id) AS "activeUsers"
+FROM e, latest WHERE ts >= start GROUP BY ALL""",
+)
+def report_realtime(spark, sf_dir):
+    """The recipe's three dimensions over the last half hour that the stream has seen."""
+    device = F.get(F.array(*[F.lit(d) for d in ("mobile", "desktop", "tablet")]), (F.col("user_id") % 3).cast("int"))
+    events = _events(spark, sf_dir).withColumns({"deviceCategory": device, "unifiedScreenName": F.col("event_type")})
+    panes = live.active_user_panes(events, _REALTIME)
+    kept = tables.keyed_to_end(panes, ["pane_start", *_REALTIME, "user_id"], tables.new_folder(spark, "realtime"))
+    return live.realtime(kept, _REALTIME)
+
+
 @query(
     "stream_events",
     """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, n_name AS country, count(*) AS "eventCount"
@@ -100,7 +123,7 @@ def stream_progress(spark, sf_dir):
         F.get(names, (F.col("turn") % 4).cast("int")).alias("event"), F.col("turn").alias("done"), (F.col("turn") + 5).alias("total"),
         F.length("text").cast("double").alias("cost_usd"),
     )
-    return tables.keyed_to_end(live.run_state(events), ["run_id"], tables.new_folder(spark, "progress"))
+    return live.run_state(events, tables.new_folder(spark, "progress"))
 
 
 @query(

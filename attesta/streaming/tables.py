@@ -1,34 +1,24 @@
-"""Result tables of streaming queries.
-
-Every micro-batch owns one partition, which a repeated batch overwrites, so replays
-after a failure change nothing. A reader takes the newest row per key.
-"""
+"""Result tables of streaming queries: rows appended as they close, or running values by key in levels."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import shared_folder
+from .levels import Levels, newest
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
-    batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-
-def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The last written row of every key."""
-    rows = spark.read.option("basePath", path).parquet(path)
-    values = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
-    return last.select(*keys, "_v.*")
+def table_schema(rows: DataFrame) -> StructType:
+    """The columns of a batch and the number of the batch that wrote them."""
+    return StructType([*rows.schema.fields, StructField("batch_id", LongType())])
 
 
 def run_to_end(stream: DataFrame, mode: str, folder: str, each: Callable[[DataFrame, int], None]) -> None:
@@ -57,8 +47,17 @@ def append_to_end(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def keyed_to_end(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+def keyed_to_end(stream: DataFrame, keys: list[str], folder: str, live: Column | None = None) -> DataFrame:
     """Keep the running value of every key, then read the newest."""
-    path = f"{folder}/rows"
-    run_to_end(stream, "update", folder, lambda batch, n: write_batch(batch, n, path))
-    return newest(stream.sparkSession, path, keys)
+    table = Levels(stream.sparkSession, f"{folder}/table", table_schema(stream), newest(keys), live)
+    run_to_end(stream, "update", folder, table.add)
+    return table.read().drop("batch_id")
+
+
+def merged_to_end(
+    stream: DataFrame, partial: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], folder: str, live: Column | None = None
+) -> DataFrame:
+    """Each batch is reduced to ``partial`` rows and merged into the table: the table is the state, none is held."""
+    table = Levels(stream.sparkSession, f"{folder}/table", table_schema(partial(stream)), merge, live)
+    run_to_end(stream, "append", folder, lambda batch, n: table.add(partial(batch), n))
+    return table.read().drop("batch_id")

@@ -109,3 +109,34 @@ def test_letters_of_ligatures_stay(spark):
     got = [r["f"] for r in df.select(fold_accents(F.col("n")).alias("f")).collect()]
     assert got == ["fintech Labs", "Œuvre 12", "ffi st VIII kg 1", "Acme Bold", "Cafe", "語彙", None, "plain"]
     assert df.select(entity_slug(F.col("n")).alias("s")).head()["s"] == df.limit(1).select(entity_slug(F.lit("fintech Labs")).alias("s")).head()["s"]
+
+
+def _log(spark):
+    rows = [(f"Acme {i % 5}", "company", "Makes", "Widget GmbH" if i % 2 else f"Acme {i % 5}", "company", "high", "r1", "a", f"u{i}", None, i) for i in range(40)]
+    names = "source string, source_kind string, predicate string, target string, target_kind string, confidence string, run_id string, agent string, source_url string, snippet string, ord long"
+    return spark.createDataFrame(rows, names).withColumn("captured_at", F.timestamp_seconds("ord"))
+
+
+def test_stored_graph_reads_only_its_buckets(spark, tmp_path):
+    from attesta.operators.graph_store import GraphStore
+
+    log = _log(spark)
+    direct = spark.createDataFrame([("Acme 1", "company", {"city": "Bonn am Rhein"}, 1), ("Acme 1", "company", None, 2), ("Ümlaut", "company", {"city": "Köln"}, 3)], "name string, kind string, attrs map<string,string>, ord long")
+    direct = direct.select("name", "kind", F.timestamp_seconds("ord").alias("seen_at"), "ord", F.lit(True).alias("direct"), "attrs")
+    ends = ops.end_mentions(log).withColumn("attrs", F.lit(None).cast("map<string,string>"))
+    store = GraphStore.build(log, ends.unionByName(direct), str(tmp_path))
+    for entity in ("company:acme-1", "company:widget", "company:none"):
+        want = ops.provenance(log, entity).select("source_url", "captured_at").collect()
+        found = store.provenance(entity)
+        assert found.select("source_url", "captured_at").collect() == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(bucket" in plan and "UDF" not in plan and "regexp" not in plan
+    lookup = store.entity("the ACME 1, Inc.", "company")
+    assert [(r["entity_key"], r["mentions"]) for r in lookup.collect()] == [("company:acme-1", 2)]
+    assert "PartitionFilters: [(bucket" in (p := lookup._jdf.queryExecution().executedPlan().toString()) or "PartitionFilters: [isnotnull(bucket" in p
+    keys = lambda q: [r["entity_key"] for r in store.search(q).collect()]
+    assert keys("acme")[0] == "company:acme-1" and len(keys("acme")) == 5
+    assert keys("acme 3") == ["company:acme-3"] and keys("bonn RHEIN") == ["company:acme-1"] and keys("köln") == ["company:umlaut"]
+    assert keys("idget G") == ["company:widget"] and keys("nn am rh") == ["company:acme-1"]
+    assert keys("") == keys("zz") == keys("nowhere at all") == []
+    assert store.relations().count() == ops.build_relations(log).count()
