@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
+from ..functions.dates import resolve_window
 
 CONVERSIONS = ("purchase", "signup")
 ENGAGED_SECONDS = 10
@@ -142,6 +145,73 @@ def trend_change(daily: DataFrame, by: Sequence[str], metric: str) -> DataFrame:
     return daily.withColumn("previous", past).withColumn("change", F.col(metric) - F.col("previous"))
 
 
+# windows, filters, totals ---------------------------------------------------------------------
+
+
+def write_days(events: DataFrame, path: str) -> None:
+    """Events kept by the day of their ``ts``; a day's events are dealt over files of even size."""
+    days = events.withColumn("day", F.to_date("ts"))
+    days.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(path)
+
+
 def in_window(facts: DataFrame, day: str, first, last) -> DataFrame:
-    """Rows of the days from ``first`` to ``last``, both included."""
-    return facts.filter(F.col(day).between(str(first), str(last)))
+    """Rows of the days from ``first`` to ``last``, both included; on a table kept by day, only those are read."""
+    return facts.filter(F.col(day).between(F.lit(first), F.lit(last)))
+
+
+#: What a filter may ask of a dimension; each takes the lower-case column and the lower-case values asked for.
+_TESTS = {
+    "is": lambda c, values: c.isin(values),
+    "contains": lambda c, values: _any(F.contains(c, F.lit(v)) for v in values),
+    "begins": lambda c, values: _any(F.startswith(c, F.lit(v)) for v in values),
+    "ends": lambda c, values: _any(F.endswith(c, F.lit(v)) for v in values),
+    "matches": lambda c, values: _any(c.rlike(v) for v in values),
+}
+
+
+def _any(tests: Iterable[Column]) -> Column:
+    return reduce(Column.__or__, tests)
+
+
+def matching(filters: Iterable[tuple[str, str, Sequence[str]]]) -> Column:
+    """All of the filters (dimension, operator, values); any of a filter's values will do, and case does not matter.
+
+    Operators are is, contains, begins, ends and matches, and the same after ``not ``. An unknown value matches none
+    but the negated ones. Patterns are taken as they stand.
+    """
+    out = F.lit(True)
+    for dimension, operator, values in filters:
+        wanted = operator.removeprefix("not ")
+        if wanted not in _TESTS or not values:
+            raise ValueError(f"no filter {operator!r} with {len(values)} values")
+        low = [str(v) if wanted == "matches" else str(v).lower() for v in values]
+        holds = F.coalesce(_TESTS[wanted](F.lower(dimension), low), F.lit(False))
+        out = out & (~holds if operator.startswith("not ") else holds)
+    return out
+
+
+def report_with_totals(
+    facts: DataFrame, dims: Sequence[str], metrics: Sequence[str], registry: dict[str, Column] | None = None,
+    filters: Iterable[tuple[str, str, Sequence[str]]] = (),
+) -> DataFrame:
+    """Metrics by dimensions and for the whole (``is_total``) in one pass; a user counts once in the total."""
+    registry = registry or session_metrics()
+    rows = drop_all_not_set(facts.filter(matching(filters)), dims)
+    # Beside an empty grouping a dimension is null in the total; its own nulls keep their rows apart by the flag.
+    grouped = rows.groupingSets([list(dims), []], *dims)
+    return grouped.agg((F.grouping_id() != 0).alias("is_total"), *[registry[m].alias(m) for m in metrics])
+
+
+def window_report(
+    days: DataFrame, dims: Sequence[str], metrics: Sequence[str], window: tuple[str, str], as_of: date,
+    filters: Iterable[tuple[str, str, Sequence[str]]] = (),
+) -> DataFrame:
+    """A report over the days that two tokens mean on the day ``as_of``, of a table written by ``write_days``.
+
+    Sessions are those of the window's events; filters on the dimensions of sessions look at their first event.
+    """
+    events = in_window(days, "day", *resolve_window(*window, as_of))
+    if set(metrics) <= set(event_metrics()):
+        return report_with_totals(events, dims, metrics, event_metrics(), filters)
+    named = list(dict.fromkeys([*dims, *(f[0] for f in filters)]))
+    return report_with_totals(sessions(events, named), dims, metrics, filters=filters)

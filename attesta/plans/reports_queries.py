@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..operators import reports as ops
+from ..session import shared_folder
 from ..sources.analytics import read_report_payload
 from . import sql
 from . import tables as t
@@ -176,6 +179,54 @@ def trend_change(spark, sf_dir):
     return ops.trend_change(daily, ["country"], "sessions")
 
 
+_days: dict[tuple[str, str], str] = {}
+
+
+def event_days(spark, sf_dir):
+    """The events of the given tables by day, stored once per application, and the last day among them."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _days:
+        path = f"{shared_folder(spark)}/days-{uuid.uuid4().hex}"
+        ops.write_days(web_events(spark, sf_dir), path)
+        _days[at] = path
+    days = spark.read.parquet(_days[at])
+    return days, days.agg(F.max("day")).first()[0]
+
+
+def _window_sql(dims: str, metrics: tuple[str, ...], first: int, last: int, facts: str, where: str = "true") -> str:
+    known = " AND ".join(f"{d} = '(not set)'" for d in dims.split(", "))
+    return sql.with_ctes(
+        _EVENTS.replace("ev AS (", "whole AS ("),
+        f"ev AS (SELECT * FROM whole WHERE CAST(ts AS DATE) BETWEEN (SELECT max(CAST(ts AS DATE)) FROM whole) - {first} AND (SELECT max(CAST(ts AS DATE)) FROM whole) - {last})",
+        facts,
+    ) + f"""
+SELECT {dims}, GROUPING({dims}) > 0 AS is_total, {", ".join(f'{_METRIC_SQL[m]} AS "{m}"' for m in metrics)}
+FROM facts WHERE ({where}) AND NOT coalesce({known}, false) GROUP BY GROUPING SETS (({dims}), ())"""
+
+
+_WEEK = ("activeUsers", "sessions", "engagedSessions", "screenPageViews")
+
+
+@query("report_window", _window_sql('country, "deviceCategory"', _WEEK, 7, 1, _sessions_sql(1800)))
+def report_window(spark, sf_dir):
+    """The seven whole days before the last one, with totals in which a user counts once."""
+    days, last = event_days(spark, sf_dir)
+    return ops.window_report(days, ["country", "deviceCategory"], _WEEK, ("7dAgo", "yesterday"), last)
+
+
+@query(
+    "report_window_filtered",
+    _window_sql(
+        '"eventName", browser', ("eventCount", "activeUsers"), 27, 0, "facts AS (SELECT * FROM ev)",
+        """lower(browser) IN ('chrome', 'safari') AND (starts_with(lower("eventName"), 'p') OR starts_with(lower("eventName"), 'v')) AND NOT contains(lower("pagePath"), '/p/3')""",
+    ),
+)
+def report_window_filtered(spark, sf_dir):
+    days, last = event_days(spark, sf_dir)
+    filters = [("browser", "is", ["Chrome", "safari"]), ("eventName", "begins", ["P", "v"]), ("pagePath", "not contains", ["/p/3"])]
+    return ops.window_report(days, ["eventName", "browser"], ("eventCount", "activeUsers"), ("28d", "today"), last, filters)
+
+
 @query(
     "report_payload",
     """

@@ -133,3 +133,32 @@ def test_a_dimension_of_series_and_observation(spark):
         "dataSets": [{"series": {"1:0": {"observations": {"1": [4.5]}}}}],
     }
     assert [(r["dims"], r["value"]) for r in stats.flatten_sdmx(payload(spark, body)).collect()] == [({"place": "q", "year": "1991"}, 4.5)]
+
+
+def test_window_reads_its_days_alone(spark, tmp_path):
+    import datetime as dt
+
+    from attesta.operators import reports as ops
+
+    rows = [(i, 86_400 * (19_700 + i % 10) + i, i % 7, "view" if i % 2 else "purchase", f"Page {i % 3}", None if i % 5 == 0 else "(not set)" if i % 5 == 1 else "web") for i in range(200)]
+    events = spark.createDataFrame(rows, "event_id long, s long, user_id int, event_type string, page string, kind string").withColumn("ts", F.timestamp_seconds("s")).withColumn("eventName", F.col("event_type"))
+    ops.write_days(events, str(tmp_path))
+    last = dt.date(1970, 1, 1) + dt.timedelta(days=19_709)
+    report = ops.window_report(spark.read.parquet(str(tmp_path)), ["kind"], ["eventCount", "activeUsers"], ("3daysAgo", "yesterday"), last, [("page", "not ends", [" 2"])])
+    assert "PartitionFilters: [isnotnull(day" in report._jdf.queryExecution().executedPlan().toString()
+    kept = [r for r in rows if 6 <= r[0] % 10 <= 8 and not r[4].endswith("2") and r[5] != "(not set)"]
+    want = {(k, False): [r for r in kept if r[5] == k] for k in {r[5] for r in kept}} | {(None, True): kept}
+    assert {(r["kind"], r["is_total"]): (r["eventCount"], r["activeUsers"]) for r in report.collect()} == {k: (len(v), len({r[2] for r in v})) for k, v in want.items()}
+
+
+def test_filters(spark):
+    import pytest
+    from attesta.operators import reports as ops
+
+    df = spark.createDataFrame([("Alpha",), ("beta",), (None,)], "d string")
+    keep = lambda *f: [r["d"] for r in df.where(ops.matching([f])).collect()]
+    assert keep("d", "is", ["ALPHA"]) == ["Alpha"] and keep("d", "not is", ["alpha"]) == ["beta", None]
+    assert keep("d", "contains", ["ET", "zz"]) == ["beta"] and keep("d", "ends", ["a"]) == ["Alpha", "beta"] and keep("d", "matches", ["^[ab]l"]) == ["Alpha"]
+    for bad in (("d", "like", ["x"]), ("d", "is", [])):
+        with pytest.raises(ValueError):
+            ops.matching([bad])
