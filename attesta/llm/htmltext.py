@@ -338,21 +338,31 @@ def labelled_page(rng: random.Random) -> tuple[str, dict[str, int]]:
             return "<table>" + "".join(f"<tr><td>{text(1, 1, 4, False)}</td><td>{text(1, 1, 6, False)}</td></tr>" for _ in range(2)) + "</table>"
         return rng.choice([f"<pre>{text(1, 3, 12, False)}</pre>", f"<figure><img src=x><figcaption>{text(1, 3, 12)}</figcaption></figure>", f"<div>{text(1, 5, 50)}</div>"])
 
-    body = [paragraph() for _ in range(rng.randint(1, 14))]
-    if rng.random() < 0.8:
+    def bare() -> str:
+        """Text that stands in the article itself, with or without line breaks."""
+        return rng.choice(["<br><br>", "<br>", "<hr>"]).join(text(1, 2, rng.choice([6, 12, 60]), rng.random() < 0.6) for _ in range(rng.randint(1, 3)))
+
+    short = rng.random() < 0.3  # a notice, a note, a caption: one block or two
+    if short:
+        body = [rng.choice([bare, bare, lambda: f"<p>{text(1, 2, 10)}</p>", lambda: f"<p>{text(1, 2, 8, False)}", paragraph])() for _ in range(rng.choice([1, 1, 2]))]
+    else:
+        body = [paragraph() if rng.random() < 0.95 else bare() for _ in range(rng.randint(1, 14))]
+    if rng.random() < (0.4 if short else 0.8):
         title = f"<h1>{text(1, 1, 12, False)}</h1>"
         body.insert(0, f"<header>{title}</header>" if rng.random() < 0.2 else title)
     for part in ("ad", "share", "comments", "sidebar", "notice"):
         if rng.random() < 0.25:
             body.insert(len(body) if part == "comments" else rng.randint(1, len(body)), frame(part))
-    layout = rng.choice(["article", "article", "main", "div", "div", "section"])
+    layout = rng.choice(["article", "article", "article", "main", "div", "div", "section", ""])
     inside = "".join(body)
-    middle = f"<{layout}{named('content', 1 if layout in ('div', 'section') else 0.4)}>{inside}</{layout}>"
+    # Without an element of its own the content stands in the page as it is, in paragraphs of its own.
+    middle = f"<{layout}{named('content', 1 if layout in ('div', 'section') else 0.4)}>{inside}</{layout}>" if layout else f"<hr>{inside}</p><hr>"
     if layout == "article" and rng.random() < 0.3:
         middle = f"<main{named('content', 0.3)}>{middle}</main>"
-    before = [frame(p) for p in ("notice", "header", "menu", "form", "ad", "sidebar") if rng.random() < 0.5]
-    after = [frame(p) for p in ("share", "sidebar", "ad", "comments", "form", "notice") if rng.random() < 0.35]
-    end = [frame("footer")] if rng.random() < 0.85 else []
+    alone = rng.random() < (0.3 if short else 0.05)  # the article is the whole page
+    before = [frame(p) for p in ("notice", "header", "menu", "form", "ad", "sidebar") if rng.random() < 0.5 and not alone]
+    after = [frame(p) for p in ("share", "sidebar", "ad", "comments", "form", "notice") if rng.random() < 0.35 and not alone]
+    end = [frame("footer")] if rng.random() < 0.85 and not alone else []
     rng.shuffle(before)
     page = "".join([*before, middle, *after, *end])
     if rng.random() < 0.3:

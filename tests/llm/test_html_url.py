@@ -5,7 +5,7 @@ import random
 import __spark_entry__ as entry
 import corpus_pipeline
 import pytest
-from attesta.llm import htmltext, queries, urlfilter
+from attesta.llm import htmltext, queries, urlfilter, whitening
 from compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def field():
-    return htmltext.train(200)
+    return htmltext.train()
 
 
 def texts(page):
@@ -46,6 +46,47 @@ def test_other_layouts_are_told_apart(field):
     assert right / total > 0.98
 
 
+MENU = "<nav class=menu><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav>"
+FOOT = "<footer><p>© 2024 The Paper. All rights reserved.</p></footer>"
+#: Pages written by hand, and the text that a reader would call the article.
+BY_HAND = [
+    ("<nav>Menu</nav><article><p>Hello world, this is news.</p></article>", "Hello world, this is news."),
+    ("<article>Just text in it</article>", "Just text in it"),
+    (f"<body>{MENU}<article>Closed on Monday.</article>{FOOT}</body>", "Closed on Monday."),
+    (f"<body>{MENU}<main><h1>Notice</h1>The library is closed.<br>It opens again in May.</main>{FOOT}</body>", "Notice\nThe library is closed. It opens again in May."),
+    (f"<body>{MENU}<article><h2>Rain</h2><p>It rained.</p></article><aside class=sidebar><h3>Related</h3><ul><li><a href=/a>More rain</a></li></ul></aside>{FOOT}</body>", "Rain\nIt rained."),
+    (f"<div class=header>The Daily</div>{MENU}<div class=content><p>Two trains met.</p><p>Nobody was hurt, the police said, and both went on after an hour.</p></div>{FOOT}", "Two trains met.\nNobody was hurt, the police said, and both went on after an hour."),
+    (f"{MENU}<article><p>Short.</p><div class=share><a href=/f>Share</a></div></article><section class=comments><h3>Comments</h3><div class=comment><p>I do not agree, at all.</p></div></section>{FOOT}", "Short."),
+    (f'<div class="cookie-notice"><p>We use cookies.</p><button>OK</button></div>{MENU}<main><article>A line of verse,<br>another line.</article></main>{FOOT}', "A line of verse, another line."),
+]
+
+
+def test_pages_written_by_hand(field):
+    assert [htmltext.main_text(page, field) for page, _ in BY_HAND] == [text for _, text in BY_HAND]
+
+
+def test_decoding_is_the_best_of_all_labellings(field):
+    import itertools
+    import random as rnd
+
+    rng = rnd.Random(5)
+    for _ in range(30):
+        rows = htmltext.features(htmltext.blocks(htmltext.labelled_page(rng)[0]))[:9]
+        own = [sum((field.weights[field.names[n]] for n in row if n in field.names), 0 * field.weights[0]) for row in rows]
+
+        def score(labels):
+            return sum(o[y] for o, y in zip(own, labels)) + sum(field.steps[a, b] for a, b in zip(labels, labels[1:]))
+
+        best = max(itertools.product((0, 1), repeat=len(rows)), key=score)
+        assert abs(score(field.decode(rows)) - score(best)) < 1e-9
+
+
+def test_repeated_pages_give_repeated_texts(spark, field):
+    rows = spark.createDataFrame([(1, "u", BY_HAND[0][0], "x", 5)] * 3 + [(None, None, "<article>" + "word " * 200_000 + "</article>", None, 6)], "page_id long, url string, html string, text string, n_chars int")
+    found = htmltext.extract(rows, field).collect()
+    assert [r.text for r in found if r.page_id] == [BY_HAND[0][1]] * 3 and [r.n_chars for r in found if not r.page_id] == [999_999]
+
+
 def test_pages_of_the_table(spark, field):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for row in htmltext.extract(pages, field).join(pages.select("page_id", "html"), "page_id").collect():
@@ -99,8 +140,9 @@ def test_registered_with_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.checks())))
 def test_registered_returns_every_row(spark, name):
-    table = "pages" if name[:4] in ("op5_", "op6_") else "documents"
-    assert entry.queries()[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+    table = {"op5_warc": "pages", "op6_htmltext": "pages", "op11_whitening": "embeddings"}.get(name, "documents")
+    rows = entry.queries()[name](spark, SF).count()
+    assert rows == spark.read.parquet(f"{SF}/{table}.parquet").count() * (whitening.COMPONENTS if name == "op11_whitening" else 1)
 
 
 def test_pipeline_keeps_columns_and_decides(spark):

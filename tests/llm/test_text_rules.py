@@ -98,9 +98,9 @@ def slow_overlap(doc, item):
     for k in range(-len(b), len(a) + 1):
         same = [a[k + j] == w for j, w in enumerate(b) if 0 <= k + j < len(a)]
         wide = any(sum(same[s : s + 13]) >= 11 for s in range(len(same) - 12))
-        if wide or (8 <= len(b) < 13 and len(same) == len(b) and all(same)):
+        if wide or (8 <= len(b) < 13 and len(same) == len(b) and same.count(False) <= (len(b) >= 10)):
             best = max(best or 0, sum(same))
-    return best
+    return len(b) if a == b and 0 < len(b) < 8 else best
 
 
 @pytest.mark.parametrize("block_tokens", [30, 10_000])
@@ -125,6 +125,31 @@ def test_decontamination(spark, block_tokens):
     assert {x.doc_id for x in clean.collect()} == set(range(len(docs))) - {i for i, _ in want} and clean.columns == table.columns
 
 
+def test_short_items(spark):
+    """Every single substitution in items of 8 to 12 tokens, and texts that are, or only hold, an item under 8 tokens."""
+    r = random.Random(9)
+    items = [[f"w{n}x{k}" for k in range(n)] for n in range(1, 13)]
+    docs, want = [], set()
+    for j, item in enumerate(items):
+        n = len(item)
+        docs.append(" ".join(item).upper() + "!")  # the text is the item
+        want.add((len(docs) - 1, j))
+        docs.append("before " + " ".join(item) + " after")
+        want |= {(len(docs) - 1, j)} if n >= 8 else set()
+        for k in range(n):
+            changed = " ".join(item[:k] + ["other"] + item[k + 1 :])
+            docs += [f"some lead {changed} and more", changed]
+            want |= {(len(docs) - 2, j), (len(docs) - 1, j)} if n >= 10 else set()
+        docs.append(" ".join(item[1:]))  # all but the first
+    docs += docs[:3]  # repeated rows
+    want |= {(len(docs) - 3 + i, j) for i, j in list(want) if i < 3}
+    table = spark.createDataFrame([(k, t, None, None) for k, t in enumerate(docs)], DOCS)
+    bench = spark.createDataFrame([(j, " ".join(item)) for j, item in enumerate(items)] + [(90, ""), (91, None), (0, "w1x0")], "item_id bigint, text string")
+    assert {(x.doc_id, x.item_id) for x in decontam.overlaps(table, bench).collect()} == want
+    long = prose(r, 30_000) + " " + " ".join(items[9]) + " " + prose(r, 10)
+    assert decontam.clean(spark.createDataFrame([(1, long, None, None)] * 2 + [(2, prose(r, 30_000), None, None)], DOCS), bench).select("doc_id").collect() == [(2,)]
+
+
 def test_decontamination_without_benchmark_and_with_null_ids(spark):
     bench = spark.createDataFrame([(1, " ".join(WORDS))], "item_id bigint, text string")
     docs = spark.createDataFrame([(None, " ".join(WORDS), None, None), (None, "clean", None, None)], DOCS)
