@@ -55,6 +55,31 @@ def test_markup_that_is_none(spark):
     assert [read(spark, x).text for x in ("", "<", "<b", "no tags", "</div></p>x", "<table><td>1<td>2")] == ["", "<", "<b", "no tags", "x", "12"]
 
 
+def test_pages_of_any_shape(spark):
+    deep = "<div>" * 4_000 + "<p>below</p>" + "</div>" * 4_000
+    shapes = {
+        "<div><nav><div>x</div></nav>kept<footer>y<footer>z</footer></footer></div>": "kept",
+        "<a href='/x'><img alt=' map '><br></a><a href='#top'>up</a>": "![map]()\nup",
+        "<ul><li>one<ul><li> two </li></ul><li><span id=menu-toggle>three</span></ul>": "- onetwo\n- three",
+        "<pre> a <b>b</b> <i>c</i>\n\td</pre>": "```\na b c\nd\n```",
+        "<blockquote>first\n\nsecond</blockquote><blockquote></blockquote>": "> first\n> second",
+        "a" + " " * 200_000 + "b\u00a0\x01\x02\x03": "a b",
+        "<p>\u00a0</p><!-- gone --><p title='>'>5 &lt; 6 &amp;amp;</p>": "5 < 6 &amp;",
+        deep: "below",
+    }
+    rows = [(i, None if i % 2 else "http://e.test/", html, "extra") for i, html in enumerate(shapes)] + [(99, "u", None, "extra")] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = page_text.extract_pages(df)
+    assert {r.page_id: r.markdown for r in got.collect()} == dict(enumerate(shapes.values())) | {99: ""}
+    assert got.count() == len(rows) and page_text.page_metadata(df.limit(0)).count() == 0
+
+
+def test_nothing_of_the_body_is_rendered_for_the_head(spark):
+    df = spark.createDataFrame([(1, "u", "<title>t</title>")], "page_id long, url string, html string")
+    plan = page_text.page_metadata(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "h[1-6]" not in plan and "blockquote" not in plan and "h[1-6]" in page_text.extract_pages(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_short_article_is_passed_over(spark):
     rest = "<section role=main>" + "<p>Sand moved along the spit all winter.</p>" * 9 + "</section>"
     assert read(spark, f"<article>In brief</article>{rest}").strategy == "role-main"
