@@ -331,8 +331,14 @@ def coverage_gaps(units: DataFrame) -> DataFrame:
     )
 
 
-def run_stats(planned: DataFrame, units: DataFrame, raw: DataFrame, merged: DataFrame) -> DataFrame:
-    """The run's counters: each input is reduced to a row of counts, and the rows laid over each other."""
+def run_stats(
+    planned: DataFrame, units: DataFrame, raw: DataFrame, merged: DataFrame, calls: DataFrame | None = None, steps: DataFrame | None = None
+) -> DataFrame:
+    """The run's counters: each input is reduced to a row of counts, and the rows laid over each other.
+
+    ``calls`` with their ``outcome`` tell whether the budget ended the run, ``steps`` with
+    ``started_s`` and ``finished_s`` how long it took.
+    """
     resumed = planned.join(units.filter(is_blank(F.col("error"))), "unit_key", "left_semi")
     failed = ~is_blank(F.col("error"))
     parts = [
@@ -351,6 +357,10 @@ def run_stats(planned: DataFrame, units: DataFrame, raw: DataFrame, merged: Data
             F.count_if(is_dead(F.col("_url_status"))).alias("urls_dead"),
         ),
     ]
+    if calls is not None:
+        parts.append(calls.agg(F.coalesce(F.bool_or(F.col("outcome") == "blocked"), F.lit(False)).alias("aborted")))
+    if steps is not None:
+        parts.append(steps.agg(F.round((F.max("finished_s") - F.min("started_s")).cast("double"), 1).alias("elapsed_s")))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part, allowMissingColumns=True)

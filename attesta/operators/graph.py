@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from .. import fixed_values as fixed
 from ..functions.text import entity_key, is_blank, predicate_name
@@ -185,28 +186,35 @@ def infer_kind(findings: DataFrame) -> Column:
 def finding_edges(findings: DataFrame, topic: str, run_id: str) -> DataFrame:
     """Observations a run's merged findings make: found, field edges, and where documented.
 
-    Refuted findings stay, with low confidence: a claim that did not hold is knowledge.
+    Refuted findings stay, with low confidence and their verdict: a claim that did not hold
+    is knowledge. What says nothing is no attribute.
     """
     have = set(findings.columns)
 
     def field(name: str) -> Column:
         return F.trim(F.col(name)) if name in have else F.lit(None).cast("string")
 
-    def edge(source: Column, source_kind: Column, predicate: str, target: Column, target_kind: Column, snippet: Column) -> Column:
+    name, kind, none = F.col("_name"), F.col("_kind"), F.lit(None).cast("string")
+    no_attrs = F.lit(None).cast("map<string,string>")
+
+    def edge(source: Column, source_kind: Column, predicate: str, target: Column, target_kind: Column, snippet: Column, attrs: Column = no_attrs) -> Column:
         return F.struct(
             source.alias("source"), source_kind.alias("source_kind"), F.lit(predicate).alias("predicate"),
-            target.alias("target"), target_kind.alias("target_kind"), snippet.alias("snippet"),
+            target.alias("target"), target_kind.alias("target_kind"), snippet.alias("snippet"), attrs.alias("attrs"),
         )
 
-    name, kind, none = F.col("_name"), F.col("_kind"), F.lit(None).cast("string")
+    def stated(**values: Column) -> Column:
+        pairs = F.array(*(F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in values.items()))
+        return F.map_from_entries(F.filter(pairs, lambda p: ~is_blank(p["value"])))
+
     snippet = F.coalesce(field("summary"), field("evidence"))
-    edges = [edge(F.lit(topic), F.lit("topic"), "found", name, kind, snippet)]
+    edges = [edge(F.lit(topic), F.lit("topic"), "found", name, kind, snippet, stated(verdict=field("_verdict"), url=F.col("_url")))]
     for field_name, predicate, target_kind in fixed.FIELD_EDGES:
         if field_name in have:
             value = field(field_name)
             edges.append(F.when(~is_blank(value), edge(name, kind, predicate, value, F.lit(target_kind), none)))
     host = domain(F.col("_url"))
-    edges.append(F.when(~is_blank(host), edge(name, kind, "documented_at", host, F.lit("domain"), none)))
+    edges.append(F.when(~is_blank(host), edge(name, kind, "documented_at", host, F.lit("domain"), none, stated(url=F.col("_url"), status=field("_url_status")))))
     own = F.coalesce(field("confidence"), F.lit("medium"))
     confidence = F.when(F.col("_verdict") == "supported", "high").when(F.col("_verdict") == "refuted", "low").otherwise(own)
     return (
@@ -215,10 +223,11 @@ def finding_edges(findings: DataFrame, topic: str, run_id: str) -> DataFrame:
         .withColumn("_url", F.coalesce(field("url"), field("website"), F.lit("")))
         .withColumn("_kind", infer_kind(findings))
         .withColumn("_conf", confidence)
-        .select(F.explode(F.array_compact(F.array(*edges))).alias("_e"), "_conf", "_url", "_agent", "_ord")
+        .select(F.explode(F.array_compact(F.array(*edges))).alias("_e"), "_conf", "_url", field("_verdict").alias("verdict"), "_agent", "_ord")
         .select(
             "_e.*",
             F.col("_conf").alias("confidence"),
+            "verdict",
             F.lit(run_id).alias("run_id"),
             F.col("_agent").alias("agent"),
             F.col("_url").alias("source_url"),
@@ -227,6 +236,27 @@ def finding_edges(findings: DataFrame, topic: str, run_id: str) -> DataFrame:
     )
 
 
+def finding_entities(findings: DataFrame, seen_at: Column) -> DataFrame:
+    """The entities that findings name, as mentions with attributes and further names.
+
+    Every plain column that says something is an attribute, but for the name, the title and
+    the columns of the run itself, which begin with an underscore.
+    """
+    have = set(findings.columns)
+    name = F.trim(F.coalesce(*(F.col(c) for c in ("name", "title") if c in have)))
+    plain = [
+        f.name for f in findings.schema.fields
+        if not f.name.startswith("_") and f.name not in ("name", "title") and isinstance(f.dataType, AtomicType)
+    ]
+    pairs = F.array(*(F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").cast("string").alias("value")) for c in plain))
+    others = F.array(*(F.col(c).cast("string") for c in ("aka", "legal_name") if c in have)).cast("array<string>")
+    return findings.filter(~is_blank(name)).select(
+        name.alias("name"), infer_kind(findings).alias("kind"), seen_at.alias("seen_at"), F.col("_ord").alias("ord"), F.lit(True).alias("direct"),
+        F.map_from_entries(F.filter(pairs, lambda p: ~is_blank(p["value"]))).alias("attrs"),
+        F.filter(others, lambda a: ~is_blank(a)).alias("aliases"),
+    )
+
+
 def researched_edges(targets: DataFrame, topic: str, run_id: str) -> DataFrame:
     """The topic entity and what it was researched for."""
     return targets.filter(~is_blank(F.col("label"))).select(

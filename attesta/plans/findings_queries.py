@@ -438,9 +438,11 @@ def cost_estimate(spark, sf_dir):
 
 @query(
     "run_stats",
-    sql.with_ctes(_PLAN, *_JUDGE_CTES, _COLLECTED)
+    sql.with_ctes(_PLAN, *_JUDGE_CTES, _COLLECTED, t.CALLS_SQL)
     + """
-SELECT (SELECT count(DISTINCT target) FROM plan) AS targets, (SELECT count(DISTINCT dimension) FROM plan) AS dimensions,
+SELECT (SELECT bool_or(running - cost_e8 >= 5000000) FROM (SELECT cost_e8, sum(cost_e8) OVER (PARTITION BY run_id ORDER BY call_id) AS running FROM priced)) AS aborted,
+       (SELECT CAST(max(finished_s) - min(finished_s - 7 * attempt) AS DOUBLE) FROM attempts) AS elapsed_s,
+       (SELECT count(DISTINCT target) FROM plan) AS targets, (SELECT count(DISTINCT dimension) FROM plan) AS dimensions,
        (SELECT count(*) FROM plan) AS units_total,
        (SELECT count(*) FROM latest WHERE turn % 5 <> 4) AS units_completed, (SELECT count(*) FROM latest WHERE turn % 5 = 4) AS units_failed,
        (SELECT count(*) FROM plan WHERE unit_key IN (SELECT unit_key FROM latest WHERE turn % 5 <> 4)) AS units_resumed,
@@ -453,7 +455,9 @@ def run_stats(spark, sf_dir):
     units = work.latest_units(t.agent_output(spark, sf_dir))
     good, _ = ops.parse_agent_output(units, "answer")  # of the last delivery of each unit, not of superseded ones
     raw = ops.collect_findings(good)
-    return ops.run_stats(_plan(spark, sf_dir), units, raw, judged_claims(spark, sf_dir))
+    calls = work.budget_cutoff(work.price_calls(t.llm_calls(spark, sf_dir), t.prices(spark)), 0.05)
+    steps = t.fetch_log(spark, sf_dir).withColumn("started_s", F.col("finished_s") - 7 * F.col("attempt"))
+    return ops.run_stats(_plan(spark, sf_dir), units, raw, judged_claims(spark, sf_dir), calls, steps)
 
 
 # cost -------------------------------------------------------------------------------------

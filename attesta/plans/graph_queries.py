@@ -360,14 +360,53 @@ def graph_stats(spark, sf_dir):
     + f"""
 , named AS (SELECT *, CASE verdict WHEN 'supported' THEN 'high' WHEN 'refuted' THEN 'low' ELSE confidence END AS conf,
                    regexp_replace({sql.host('url')}, '^www\\.', '') AS domain FROM judged WHERE trim(name) <> '')
-SELECT finding_id AS ord, 'topic' AS source_kind, 'found' AS predicate, trim(name) AS target, 'thing' AS target_kind, conf AS confidence, summary AS snippet FROM named
-UNION ALL SELECT finding_id, 'thing', 'categorised_as', category, 'category', conf, NULL FROM named WHERE category IS NOT NULL
-UNION ALL SELECT finding_id, 'thing', 'documented_at', domain, 'domain', conf, NULL FROM named WHERE domain <> ''""",
+SELECT finding_id AS ord, 'topic' AS source_kind, 'found' AS predicate, trim(name) AS target, 'thing' AS target_kind, conf AS confidence, summary AS snippet,
+       verdict, verdict AS stated_verdict, url AS stated_url, NULL AS stated_status FROM named
+UNION ALL SELECT finding_id, 'thing', 'categorised_as', category, 'category', conf, NULL, verdict, NULL, NULL, NULL FROM named WHERE category IS NOT NULL
+UNION ALL SELECT finding_id, 'thing', 'documented_at', domain, 'domain', conf, NULL, verdict, NULL, url, url_status FROM named WHERE domain <> ''""",
 )
 def finding_edges(spark, sf_dir):
-    claims = fq.judged_claims(spark, sf_dir).withColumn("_ord", F.col("finding_id")).withColumn("_agent", F.col("_first_agent"))
-    edges = ops.finding_edges(claims, "given documents", "run-1")
-    return edges.select("ord", "source_kind", "predicate", "target", "target_kind", "confidence", "snippet")
+    edges = ops.finding_edges(_claims(spark, sf_dir), "given documents", "run-1")
+    stated = [F.try_element_at("attrs", F.lit(k)).alias(f"stated_{k}") for k in ("verdict", "url", "status")]
+    return edges.select("ord", "source_kind", "predicate", "target", "target_kind", "confidence", "snippet", "verdict", *stated)
+
+
+def _claims(spark, sf_dir):
+    return fq.judged_claims(spark, sf_dir).withColumn("_ord", F.col("finding_id")).withColumn("_agent", F.col("_first_agent"))
+
+
+@query(
+    "finding_entities",
+    sql.with_ctes(*fq._JUDGE_CTES)
+    + """
+SELECT * FROM (
+  SELECT finding_id AS ord, trim(name) AS name, 'thing' AS kind, unnest(['url', 'confidence', 'category', 'summary', 'finding_id']) AS attr,
+         unnest([url, confidence, category, summary, CAST(finding_id AS VARCHAR)]) AS value
+  FROM judged WHERE trim(name) <> '')
+WHERE value <> ''""",
+)
+def finding_entities(spark, sf_dir):
+    """What findings state of the entities they name."""
+    found = ops.finding_entities(_claims(spark, sf_dir), F.lit("1995-01-01").cast("timestamp"))
+    return found.select("ord", "name", "kind", F.explode("attrs").alias("attr", "value"))
+
+
+@query("researched_edges", sql.with_ctes(fq._PLAN) + "SELECT DISTINCT 'topic' AS source_kind, 'researched' AS predicate, target_label AS target, 'subject' AS target_kind FROM plan")
+def researched_edges(spark, sf_dir):
+    edges = ops.researched_edges(fq._targets(spark, sf_dir), "given conversations", "run-1")
+    return edges.select("source_kind", "predicate", "target", "target_kind")
+
+
+@query(
+    "relation_attrs",
+    sql.with_ctes(_OBS)
+    + """
+SELECT source_key, predicate, target_key, attr, last(value ORDER BY captured_at, ord, value) AS value
+FROM (SELECT *, unnest(['snippet', 'agent']) AS attr, unnest([snippet, agent]) AS value FROM obs) WHERE value <> '' GROUP BY ALL""",
+)
+def relation_attrs(spark, sf_dir):
+    attrs = F.create_map(F.lit("snippet"), F.col("snippet"), F.lit("agent"), F.col("agent"))
+    return ops.relation_attrs(observations(spark, sf_dir).withColumn("attrs", attrs))
 
 
 @query(

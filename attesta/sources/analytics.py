@@ -12,7 +12,8 @@ from ..functions.text import cell_under
 _VALUES = "array<struct<value:string>>"
 _SCHEMA = (
     "struct<dimensionHeaders:array<struct<name:string>>,metricHeaders:array<struct<name:string>>,"
-    f"rows:array<struct<dimensionValues:{_VALUES},metricValues:{_VALUES}>>>"
+    f"rows:array<struct<dimensionValues:{_VALUES},metricValues:{_VALUES}>>,"
+    f"totals:array<struct<metricValues:{_VALUES}>>,rowCount:bigint>"
 )
 
 
@@ -31,3 +32,21 @@ def read_report_payload(raw: DataFrame, dims: Sequence[str], metrics: Sequence[s
         *[cell_under(F.col("_dims"), dim_cells, d).alias(d) for d in dims],
         *[F.round(cell_under(F.col("_metrics"), metric_cells, m).try_cast("double"), 4).alias(m) for m in metrics],
     )
+
+
+def read_report_totals(raw: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """The totals of every payload, the rows it says there are and the rows it has.
+
+    A payload without totals has null metrics; one without a row count has as many as it holds;
+    one that is no JSON has no rows.
+    """
+    kept = [c for c in raw.columns if c != "payload"]
+    parsed = raw.withColumn("_r", F.from_json("payload", _SCHEMA))
+    cells = F.get("_r.totals.metricValues", F.lit(0))["value"]
+    held = F.coalesce(F.size("_r.rows"), F.lit(0)).cast("long")
+    return parsed.select(
+        *kept,
+        *[F.round(cell_under(F.col("_r.metricHeaders.name"), cells, m).try_cast("double"), 4).alias(m) for m in metrics],
+        F.coalesce("_r.rowCount", held).alias("row_count"),
+        held.alias("rows_read"),
+    ).withColumn("complete", F.col("rows_read") >= F.col("row_count"))

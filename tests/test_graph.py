@@ -86,6 +86,21 @@ def test_finding_edges(spark):
     }
 
 
+def test_findings_enter_the_graph_whole(spark):
+    rows = [("Acme", "https://acme.com", 1999, None, "", "supported", "dead_404", "Acme Ltd", "a", 1, [1]), (" ", "u", 1, "x", "y", None, None, None, "a", 2, None)]
+    f = spark.createDataFrame(rows, "name string, url string, founded_year int, country string, sector string, _verdict string, _url_status string, aka string, _agent string, _ord long, parts array<int>")
+    got = ops.finding_entities(f, F.lit("2024-01-01").cast("timestamp"))
+    (one,) = got.collect()
+    assert (one.name, one.kind, one.attrs, one.aliases) == ("Acme", "company", {"url": "https://acme.com", "founded_year": "1999", "aka": "Acme Ltd"}, ["Acme Ltd"])
+    assert {r.alias for r in ops.build_aliases(got).collect()} == {"Acme", "Acme Ltd"}
+    edges = {r.predicate: (r.verdict, r.attrs) for r in ops.finding_edges(f, "t", "r").collect()}
+    assert edges == {
+        "found": ("supported", {"verdict": "supported", "url": "https://acme.com"}),
+        "documented_at": ("supported", {"url": "https://acme.com", "status": "dead_404"}),
+    }
+    assert ops.finding_entities(f.limit(0), F.current_timestamp()).count() == 0
+
+
 def test_edges_name_both_ends(spark):
     edges = spark.createDataFrame([("c:a", "p", "c:b", 2), ("c:a", "p", "c:a", 1), ("c:x", "q", "c:a", 1)], "source_key string, predicate string, target_key string, weight int")
     entities = spark.createDataFrame([("c:a", "A", "company"), ("c:b", "B", "place")], "entity_key string, name string, kind string")

@@ -162,3 +162,15 @@ def test_filters(spark):
     for bad in (("d", "like", ["x"]), ("d", "is", [])):
         with pytest.raises(ValueError):
             ops.matching([bad])
+
+
+def test_totals_of_payloads(spark):
+    from attesta.sources.analytics import read_report_totals
+
+    head = '"metricHeaders":[{"name":"a"},{"name":"b"}]'
+    rows = [
+        (1, "{%s,\"rows\":[{},{}],\"totals\":[{\"metricValues\":[{\"value\":\"7\"},{\"value\":\"x\"}]}],\"rowCount\":3}" % head),
+        (2, "{%s,\"rows\":[{}]}" % head), (3, "not json"), (4, None),
+    ]
+    got = read_report_totals(spark.createDataFrame(rows, "k int, payload string"), ["a", "b"]).orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(1, 7.0, None, 3, 2, False), (2, None, None, 1, 1, True), (3, None, None, 0, 0, True), (4, None, None, 0, 0, True)]
