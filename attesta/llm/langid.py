@@ -5,10 +5,13 @@ character n-grams, predicts its bit of a text; loss-weighted decoding then takes
 codeword has the smallest weighted loss. A close second codeword marks the text as ambiguous.
 
 The classifiers learn from a bounded sample, ``per_language`` different rows of each language (of the smallest
-hashes of doc_id and text; doc_id is never an input of a prediction); prediction reads every whole text.
+hashes of doc_id and text; doc_id is never an input of a prediction) and ``rows`` in all, dealt evenly to the
+languages: the first of each, then the second of each. Prediction reads every whole text.
 
 Results: a null text or one without a letter is ``und`` with score 0; without any labelled row every
 text is. Texts are read in blocks of characters. Repeated rows are learnt once and give repeated results.
+Of equally near codewords that of the first language by code point is taken, and the text is ambiguous.
+Columns named lang_pred, score or ambiguous are replaced, other columns pass.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 BUCKETS = 4_096
 PER_LANGUAGE = 300
+ROWS = 8_000
 PARTS = 64
 STEPS = 300
 AMBIGUOUS = 0.1
@@ -119,8 +123,8 @@ class CodeModel:
         return self.languages[order[0]], float(near[order[0]]), bool(near[order[0]] - near[order[1]] < AMBIGUOUS)
 
 
-def train(docs: DataFrame, labelled: Column, per_language: int = PER_LANGUAGE) -> CodeModel:
-    """Fits the classifiers on at most ``per_language`` rows of each language among the ``labelled`` rows with a lang."""
+def train(docs: DataFrame, labelled: Column, per_language: int = PER_LANGUAGE, rows: int = ROWS) -> CodeModel:
+    """Fits the classifiers on at most ``per_language`` rows of each language, ``rows`` in all, of the ``labelled`` rows with a lang."""
     known = docs.where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # Equal rows are one candidate, so a repeated row stays once.
     known = known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), "text"))
@@ -129,19 +133,23 @@ def train(docs: DataFrame, labelled: Column, per_language: int = PER_LANGUAGE) -
     for group in (["lang", "part"], ["lang"]):
         place = F.row_number().over(Window.partitionBy(*group).orderBy("h"))
         ids = ids.withColumn("place", place).where(F.col("place") <= per_language)
-    chosen = ids.select("lang", "h")
+    chosen = ids.orderBy("place", "lang").limit(rows).select("lang", "h")
     sample = known.join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
     letters = letter_table()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [ngram_counts(t.as_py(), letters).astype("<u4") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array((c.tobytes() for c in counts), pa.binary())], ["lang", "counts"])
-
-    rows = sample.mapInArrow(task, "lang string, counts binary").collect()
-    rows.sort(key=lambda r: (r.lang, bytes(r.counts)))
-    counts = np.array([np.frombuffer(r.counts, "<u4") for r in rows]).reshape(-1, BUCKETS)
-    return CodeModel.fit([r.lang for r in rows], counts)
+            counts = [ngram_counts(t.as_py(), letters) for t in batch.column("text")]
+            places = pa.array([np.flatnonzero(c).astype("<u2").tobytes() for c in counts], pa.binary())
+            values = pa.array([c[c > 0].astype("<u4").tobytes() for c in counts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), places, values], ["lang", "places", "counts"])
+
+    found = sample.mapInArrow(task, "lang string, places binary, counts binary").collect()
+    found.sort(key=lambda r: (r.lang, bytes(r.places), bytes(r.counts)))
+    counts = np.zeros((len(found), BUCKETS), np.uint32)
+    for row, r in zip(counts, found):
+        row[np.frombuffer(r.places, "<u2")] = np.frombuffer(r.counts, "<u4")
+    return CodeModel.fit([r.lang for r in found], counts)
 
 
 def identify(docs: DataFrame, model: CodeModel) -> DataFrame:

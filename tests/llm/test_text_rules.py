@@ -302,3 +302,80 @@ def test_chat_escapes_only_conflicts(spark):
     span = got[1].loss_spans[0]
     assert got[1].formatted[span.start : span.start + span.length] == "fine"
     assert chat.format_conversations(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def _slow_languages(rows, per_language, limit):
+    """Sample, counts, classifiers and decoding of ``langid``, written out row by row in double precision."""
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    pool = {}
+    for doc, text, lang in rows:
+        if lang is not None and text is not None:
+            start = 42 if doc is None else xxhash.xxh64(str(doc).encode(), seed=42).intdigest()
+            pool.setdefault(lang, {})[signed(xxhash.xxh64(text.encode(), seed=start).intdigest())] = text
+    dealt = sorted((place, lang, text) for lang, texts in pool.items() for place, (_, text) in enumerate(sorted(texts.items())) if place < per_language)
+    dealt = dealt[:limit]
+    languages = sorted({lang for _, lang, _ in dealt})
+
+    def shares(text):
+        counts, cut = {}, 2**32
+        codes = [ord(c) if c.isalpha() else 0 for c in (text or "").lower()]
+        for i, c in enumerate(codes):
+            if c:
+                b = codes[i - 1] if i else 0
+                a = codes[i - 2] if b and i > 1 else 0
+                one = c * 0x9E3779B1 % cut
+                two = (one ^ (b + 1)) * 0x85EBCA6B % cut
+                three = (two ^ (a + 3)) * 0xC2B2AE35 % cut
+                for h in (one, two, three):
+                    counts[h >> 20] = counts.get(h >> 20, 0) + 1
+        out = np.zeros(4096)
+        for place, n in counts.items():
+            out[place] = (n / sum(counts.values())) ** 0.5
+        return out
+
+    n = len(languages)
+    bits = [[1] + [-1 if k >> i & 1 else 1 for i in range(n - 1)] for k in range(1, 2 ** (n - 1))]
+    x = np.array([shares(text) for _, _, text in dealt])
+    weight = np.array([1 / n / sum(other == lang for _, other, _ in dealt) for _, lang, _ in dealt])
+    fitted = []
+    for bit in bits:
+        y = np.array([bit[languages.index(lang)] for _, lang, _ in dealt])
+        w, b, v, u = np.zeros(4096), 0.0, np.zeros(4096), 0.0
+        for _ in range(300):
+            pull = -y * weight / (1 + np.exp(y * (x @ w + b)))
+            v, u = 0.9 * v + x.T @ pull + 1e-4 * w, 0.9 * u + pull.sum()
+            w, b = w - 4 * v, b - 4 * u
+        fitted.append((bit, w, b, max(2 * weight[y * (x @ w + b) > 0].sum() - 1, 0.01)))
+    trust = sum(t for *_, t in fitted)
+
+    def predict(text):
+        if not any(c.isalpha() for c in (text or "").lower()):
+            return "und", 0.0
+        f = shares(text)
+        loss = [sum(t / trust * np.log1p(np.exp(-bit[i] * (f @ w + b))) for bit, w, b, t in fitted) for i in range(n)]
+        near = [np.exp(-len(bits) * (v - min(loss))) for v in loss]
+        return languages[near.index(max(near))], max(near) / sum(near)
+
+    return predict
+
+
+def test_languages_against_a_slow_version(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()] + [(None, "Zwei kurze W\u00f6rter", "de"), (-1, None, "fr"), (-2, "1 2 3", None), (-3, "\u0130stanbul " * 9, None)]
+    rows += rows[:40] + [(-4, "ha " * 40_000, None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("score", F.lit("of the table"))
+    for per_language, limit in ((25, 1_000), (25, 22)):
+        predict = _slow_languages(rows, per_language, limit)
+        got = langid.identify(table, langid.train(table, F.lit(True), per_language, limit)).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            lang, score = predict(r.text)
+            assert abs(r.score - score) < 0.01 and (r.lang_pred == lang or r.ambiguous)
+
+
+def test_equally_near_languages(spark):
+    model = langid.CodeModel.fit(["b", "a", "c"], np.zeros((3, langid.BUCKETS), np.uint32))
+    model.weights[:], model.bias[:] = 0, 0  # no bit leans to any language
+    assert model.predict("any text")[0] == "a" and model.predict("any text")[2]
