@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (
     findings_queries,
     graph_queries,
+    landed_queries,
     listings_queries,
     pages_queries,
     reports_queries,
@@ -20,6 +21,7 @@ _GROUPS = (
     stats_queries,
     pages_queries,
     streams_queries,
+    landed_queries,
 )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import shape
+from ..operators.ordered import first_rows
 
 BOM = "﻿"
 
@@ -68,3 +69,14 @@ def append_units(units: DataFrame, path: str) -> None:
 def append_observations(observations: DataFrame, path: str) -> None:
     """Append to the observation log."""
     observations.write.mode("append").partitionBy("run_id").parquet(path)
+
+
+def write_landed(values: DataFrame, path: str) -> None:
+    """Values ``run_id, kind, body`` as lines, in a folder per run and kind."""
+    values.select("body", "run_id", "kind").write.mode("append").partitionBy("run_id", "kind").text(path)
+
+
+def compact_units(units: DataFrame, path: str) -> None:
+    """The last checkpoint of every unit, as one generation; ``path`` must be another one than that of the units."""
+    last = first_rows(units, ["run_id", "unit_key"], [F.col("saved_at").desc(), F.col("seq").desc()], 1).drop("_rank")
+    last.write.mode("overwrite").partitionBy("run_id").parquet(path)

@@ -1,4 +1,9 @@
-"""Files a run leaves behind: manifests, unit checkpoints, pages and findings."""
+"""Files a run leaves behind: manifests, unit checkpoints, pages and findings.
+
+A run is read from a file per value, ``<run>/<kind>/*.json``, or, with ``lines``, from what
+``sinks.files.write_landed`` wrote: a value per line in a folder per run and kind, so that no file is one
+string and a kind is a partition filter. A value is whole JSON and nothing else, or it is quarantined.
+"""
 
 from __future__ import annotations
 
@@ -23,27 +28,30 @@ _PAGE = (
 )
 
 
-def _whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """A file is a row; small files are packed into tasks by size."""
-    return spark.read.text(path, wholetext=True).select(F.col("value").alias("body"), F.col("_metadata.file_path").alias("file"))
-
+def _values(spark: SparkSession, path: str, kind: str, lines: bool) -> tuple[DataFrame, DataFrame]:
+    """Values of a kind as (run_id, file, body), and those that are not one JSON value as (file, body)."""
+    if lines:
+        rows = spark.read.schema("body string, run_id string, kind string").text(path).filter(F.col("kind") == kind)
+        rows = rows.select("run_id", F.col("_metadata.file_path").alias("file"), "body")
+    else:
+        place = f"{kind}/*.json" if kind in ("units", "pages") else f"{kind}.json"
+        rows = spark.read.text(f"{path}/*/{place}", wholetext=True).select(F.col("value").alias("body"), F.col("_metadata.file_path").alias("file"))
+        run = F.regexp_extract("file", rf"([^/]+)/{kind}(?:/[^/]+)?\.json$", 1)
+        rows = rows.select(run.alias("run_id"), "file", "body")
+    good = F.coalesce(whole_json(F.trim("body")).isNotNull(), F.lit(False))
+    return rows.filter(good), rows.filter(~good).select("file", "body")
 
-def _split(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files that hold one JSON value and nothing else, and the others."""
-    good = whole_json(F.trim("body")).isNotNull()
-    return files.filter(good), files.filter(~good).select("file", "body")
 
-
-def read_units(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Checkpoints under ``path/<run>/units``, and the files that are not JSON."""
-    good, bad = _split(_whole_files(spark, f"{path}/*/units/*.json"))
+def read_units(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Checkpoints, and what is not JSON."""
+    good, bad = _values(spark, path, "units", lines)
     fields = F.from_json("body", "map<string,string>")
     meta = F.from_json(F.col("_f")["_meta"], _META)
     units = good.withColumn("_f", fields).withColumn("_m", meta).select(
-        F.regexp_extract("file", r"([^/]+)/units/[^/]+$", 1).alias("run_id"),
+        "run_id",
         F.col("_f")["_key"].alias("unit_key"),
         F.col("_f")["_saved_at"].try_cast("timestamp").alias("saved_at"),
-        F.xxhash64("file").alias("seq"),
+        (F.xxhash64("body") if lines else F.xxhash64("file")).alias("seq"),
         "_m.target",
         "_m.dimension",
         "_m.cost_usd",
@@ -54,31 +62,41 @@ def read_units(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return units, bad
 
 
-def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Fetched pages under ``path/<run>/pages`` keyed by the digest of their URL, and unreadable files."""
-    good, bad = _split(_whole_files(spark, f"{path}/*/pages/*.json"))
+def read_pages(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Fetched pages keyed by the digest of their URL, and what is not JSON."""
+    good, bad = _values(spark, path, "pages", lines)
     pages = good.select(F.from_json("body", _PAGE).alias("p")).select(F.sha1("p.url").alias("page_key"), "p.*")
     return pages, bad
 
 
-def read_findings(spark: SparkSession, path: str) -> DataFrame:
-    """Merged findings of finished runs, one open map each."""
-    files = _whole_files(spark, f"{path}/*/findings.json")
+def read_findings(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Merged findings of finished runs, one open map each: a line is a finding, a file a list of them."""
+    good, _ = _values(spark, path, "findings", lines)
+    if lines:
+        return good.select("run_id", F.from_json("body", "map<string,string>").alias("finding"))
     items = F.from_json("body", "struct<findings:array<string>>")["findings"]
-    rows = files.select(F.regexp_extract("file", r"([^/]+)/findings\.json$", 1).alias("run_id"), F.posexplode(items).alias("_pos", "_item"))
+    rows = good.select("run_id", F.posexplode(items).alias("_pos", "_item"))
     return rows.select("run_id", "_pos", F.from_json("_item", "map<string,string>").alias("finding"))
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Runs with a readable manifest, newest first."""
-    good, _ = _split(_whole_files(spark, f"{path}/*/manifest.json"))
-    runs = good.select(
-        F.regexp_extract("file", r"([^/]+)/manifest\.json$", 1).alias("run_id"), F.from_json("body", _MANIFEST).alias("m")
-    )
-    return runs.select(
+def read_runs(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Runs by their manifests, and the manifests that are not JSON."""
+    good, bad = _values(spark, path, "manifest", lines)
+    runs = good.select("run_id", F.from_json("body", _MANIFEST).alias("m")).select(
         "run_id", "m.topic", "m.status", "m.created_at", "m.finished_at", F.col("m.ledger.cost_usd").alias("cost_usd"),
         F.col("m.spec.planned_units").alias("planned_units"), F.col("m.spec.targets").alias("targets"),
-    ).orderBy(F.col("run_id").desc())
+    )
+    return runs, bad
+
+
+def quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """Damaged lines of every kind, with their number for each run."""
+    parts = [_values(spark, path, kind, True)[1].withColumn("kind", F.lit(kind)) for kind in ("units", "pages", "findings", "manifest")]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    run = F.regexp_extract("file", r"run_id=([^/]+)/", 1)
+    return rows.groupBy(run.alias("run_id"), "kind").agg(F.count("*").alias("damaged"))
 
 
 def planned_units(runs: DataFrame) -> DataFrame:

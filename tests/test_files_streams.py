@@ -43,7 +43,10 @@ def test_landed_run(spark, tmp_path):
     assert (row["run_id"], row["unit_key"], row["target"], row["cost_usd"], bad.count()) == ("20240101-x", "a::x", "a", 0.5, 1)
     assert landed.read_pages(spark, str(tmp_path))[0].head()["doc"]["title"] == "T"
     assert landed.read_findings(spark, str(tmp_path)).head()["finding"] == {"name": "n", "founded": "1999"}
-    runs = landed.read_runs(spark, str(tmp_path))
+    (tmp_path / "20230101-y").mkdir()
+    (tmp_path / "20230101-y" / "manifest.json").write_text('{"topic": "t"} {"topic": "u"}')
+    runs, unreadable = landed.read_runs(spark, str(tmp_path))
+    assert unreadable.count() == 1
     assert landed.latest_run(runs).head()[0] == "20240101-x"
     pending = work.pending_units(landed.planned_units(runs), units)
     assert [r["unit_key"] for r in pending.collect()] == ["b::x"]
