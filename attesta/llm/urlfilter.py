@@ -2,11 +2,11 @@
 
 A url is expanded into the pairs of its host's suffixes (whole labels) and its path's prefixes; the lengths
 taken are those that rules have, so neither long hosts nor long paths cost more. Expressions meet rules in an
-equi-join on the first 32 bits of their SHA-256; the full digest confirms, and the longest rule wins.
+equi-join on the first 32 bits of their SHA-256; of what meets, the full digest confirms, and the longest rule wins.
 
 Results: a null url, or one without ``://``, has an empty host and path and gets the default verdict. Equal
 rules count once; if rules of one expression differ, block goes before allow. Repeated rows give repeated
-results. A url without a path doesn't start with ``/``, so no rule with a path fits it.
+results. Other columns are left aside. A url without a path doesn't start with ``/``, so no rule with a path fits it.
 """
 
 from __future__ import annotations
@@ -65,8 +65,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
         .withColumn("digest_of_url", _digest("suffix", "prefix"))
     )
     short = F.substring("digest_of_url", 1, 8) == F.substring("digest", 1, 8)
-    met = expressions.join(own, short & (F.col("digest_of_url") == F.col("digest")), "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct((F.col("host_chars") + F.col("path_chars")).alias("chars"), "host_chars", "rule", "verdict")))
+    met = expressions.join(own, short, "left")
+    rule = F.struct((F.col("host_chars") + F.col("path_chars")).alias("chars"), "host_chars", "rule", "verdict")
+    best = F.max(F.when(F.col("digest_of_url") == F.col("digest"), rule))
     found = met.groupBy("page_id", "url", "copies", "host", "path").agg(best.alias("best"))
     rows = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return rows.select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

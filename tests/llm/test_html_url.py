@@ -5,6 +5,7 @@ import random
 import __spark_entry__ as entry
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from attesta.llm import htmltext, queries, urlfilter, whitening
 from compare import connect, differences
 
@@ -156,3 +157,16 @@ def test_pipeline_keeps_columns_and_decides(spark):
     assert done == ids and 0 < len(ids) < docs.count()
     bad = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").collect()}
     assert not done & bad
+
+
+def test_a_shared_hash_prefix_is_no_hit(spark, monkeypatch):
+    rules = spark.createDataFrame([("com", "/", "block"), ("a.com", "/", "allow"), ("net", "/x/", "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame(
+        [(i, u, "clash") for i, u in enumerate(("http://a.com/", "http://b.com/x", "http://a.net/y/", "http://a.net/x/", "http://org/", None))], "page_id long, url string, host string"
+    )
+    want = [("a.com/", "allow"), ("com/", "block"), (None, "allow"), ("net/x/", "block"), (None, "allow"), (None, "allow")]
+    plain = urlfilter._digest
+    for digest in (plain, lambda host, path: F.concat(F.lit("0" * 8), plain(host, path))):
+        monkeypatch.setattr(urlfilter, "_digest", digest)
+        got = urlfilter.judge(pages, rules).orderBy("page_id").collect()
+        assert [(r.rule, r.verdict) for r in got] == want
