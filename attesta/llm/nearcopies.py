@@ -1,11 +1,13 @@
-"""Near copies by their sets of five-word shingles: MinHash bands find candidates, the sets themselves decide.
+"""Near copies by their sets of five-word shingles: SimHash finds candidates, bands the rest, the sets themselves decide.
 
-Two texts are near copies if their sets of shingles have a Jaccard similarity of 0.8 or more. Such sets differ in
-about ten of the 64 bits of a SimHash, and blocks that pairs so far apart must share are a few bits wide, so bands
-of minimum hashes give the candidates instead: a band is four minima, a set has 25 bands, and a pair of similarity
+Two texts are near copies if their sets of shingles have a Jaccard similarity of 0.8 or more. SimHash comes first: the
+fingerprint of a set is the majority of its hashes, ``simhash.links`` finds all fingerprints within three bits by its
+BK-trees, and the sets of a class of fingerprints are a bucket of candidates. Pairs of similarity 0.8 may differ in ten
+bits, though, and blocks that pairs so far apart must share are a few bits wide. So the sets that are not in one class
+after that are sought by bands of minimum hashes: a band is four minima, a set has 25 bands, and a pair of similarity
 0.8 shares none of them with a probability of 2 in a million (independent hashes assumed).
 
-A bucket holds the sets that share a band; buckets with the same members are searched once. In a bucket every two
+A bucket holds the sets of a class of fingerprints, or those that share a band; buckets with the same members are searched once. In a bucket every two
 sets that are not yet linked are compared, so its classes are those of all its pairs. A bucket with many shingles is
 dealt into parts; what is not in its largest class after that goes to all of its parts once more.
 
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, stored
+from .simhash import links as fingerprint_links
+from .simhash import majority
 
 SEED = 42
 SHINGLE_WORDS = 5
@@ -91,8 +95,8 @@ def linked(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node (the hash of the set), number of shingles and band keys of every row."""
-    names = ["doc_id", "text_hash", "node", "n", "keys"]
+    """doc_id, text_hash, node (the hash of the set), number of shingles, fingerprint and band keys of every row."""
+    names = ["doc_id", "text_hash", "node", "n", "fp", "keys"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = factors()
@@ -100,12 +104,13 @@ def sketches(docs: DataFrame) -> DataFrame:
             made = []
             for text in batch.column("text"):
                 found = shingles(text.as_py())
-                made.append((xxhash.xxh64_intdigest(found.tobytes(), SEED) - 2**63, len(found), band_keys(found, odd)))
-            new = [pa.array((m[k] for m in made), kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+                blocks = (found[k : k + SHINGLES_PER_BLOCK] for k in range(0, len(found), SHINGLES_PER_BLOCK))
+                made.append((xxhash.xxh64_intdigest(found.tobytes(), SEED) - 2**63, len(found), majority(blocks), band_keys(found, odd)))
+            new = [pa.array((m[k] for m in made), kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *new], names)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(task, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash bigint, node bigint, n bigint, keys array<bigint>")
+    return rows.mapInArrow(task, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash bigint, node bigint, n bigint, fp bigint, keys array<bigint>")
 
 
 def _search(cells: DataFrame) -> DataFrame:
@@ -134,14 +139,32 @@ def _search(cells: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("key", "part", "node").mapInArrow(task, "a bigint, b bigint")
 
 
+def fingerprint_buckets(nodes: DataFrame) -> DataFrame:
+    """node, n and key, the class of the node's fingerprint, of every set that is not empty."""
+    full = nodes.where("n > 0").select("node", "n", "fp")
+    near = components(fingerprint_links(stored(full.select("fp").distinct())), "a", "b")
+    classed = full.join(near.select(F.col("node").alias("fp"), F.col("root").alias("class")), "fp", "left")
+    return classed.select("node", "n", F.xxhash64(F.lit("fingerprint"), F.coalesce("class", "fp")).alias("key"))
+
+
 def links(docs: DataFrame, rows: DataFrame, part_shingles: int = PART_SHINGLES) -> DataFrame:
     """Edges (a, b) between the nodes of ``rows``, the sketches of ``docs``, whose components are the classes of near copies."""
-    keyed = rows.select("node", "n", F.explode("keys").alias("key")).distinct()
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("who")).where("members > 1")
+    nodes = stored(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "fp", "keys")), F.min("text_hash").alias("text_hash")))
+    first = within(docs, nodes, fingerprint_buckets(nodes).withColumn("known", F.col("node")), part_shingles)
+    # What SimHash has linked is one class; bands are searched for what is not.
+    found = components(first, "a", "b").withColumnRenamed("root", "known")
+    classed = nodes.join(found, "node", "left").withColumn("known", F.coalesce("known", "node"))
+    return first.union(within(docs, nodes, classed.select("node", "n", "known", F.explode("keys").alias("key")), part_shingles))
+
+
+def within(docs: DataFrame, nodes: DataFrame, keyed: DataFrame, part_shingles: int) -> DataFrame:
+    """Edges (a, b) that link the near copies of each bucket; ``keyed`` has node, n, key and the class ``known`` so far."""
+    sums = F.count("*").alias("members"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("who")
+    buckets = keyed.groupBy("key").agg(*sums, F.min("known").alias("low"), F.max("known").alias("high")).where("low < high")
     once = buckets.groupBy("members", "total", "who").agg(F.min("key").alias("key"))
     parts = F.ceil(F.col("total") / part_shingles).cast("int").alias("parts")
     members = stored(keyed.join(once.select("key", parts), "key").select("key", "node", "parts"))
-    wanted = rows.groupBy("node").agg(F.min("text_hash").alias("text_hash")).join(members.select("node").distinct(), "node", "left_semi")
+    wanted = nodes.select("node", "text_hash").join(members.select("node").distinct(), "node", "left_semi")
     given = docs.select(F.xxhash64("text").alias("text_hash"), "text")
     texts = stored(given.join(wanted, "text_hash").groupBy("node").agg(F.first("text").alias("text")))
     own = F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")

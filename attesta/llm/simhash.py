@@ -14,7 +14,7 @@ id, and a class without ids has a null component_id. Repeated rows give repeated
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import nearcopies
 from .graph import components, stored
 
 SEED = 42
@@ -44,14 +43,20 @@ def fingerprint(text: str | None) -> int:
     starts = ends - size
     n = min(SHINGLE_WORDS, len(words))
     starts, ends = starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for k in range(0, len(starts), SHINGLES_PER_BLOCK):
-        span = slice(k, k + SHINGLES_PER_BLOCK)
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[span], ends[span])], "<u8")
+    digest = xxhash.xxh64_intdigest
+    spans = (slice(k, k + SHINGLES_PER_BLOCK) for k in range(0, len(starts), SHINGLES_PER_BLOCK))
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[span], ends[span])], "<u8") for span in spans)
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """Signed 64 bits; bit i is set if it is set in over half of the hashes of all blocks."""
+    counts, total = np.zeros(64, np.int64), 0
+    for hashes in blocks:
+        total += len(hashes)
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         for i in range(0, len(bits), 255):  # so many fit in the sums of bytes
             counts += bits[i : i + 255].sum(axis=0, dtype=np.uint8)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * counts > total, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -193,6 +198,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows with that doc_id the smallest text hash stays, and of equal rows any one.
     """
+    from . import nearcopies  # which builds on the fingerprints and links of this module
+
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     chosen = nearcopies.classes(docs).groupBy("root").agg(first)
     # One row of each text and id in a class, so one entry; two classes never share a text.

@@ -51,3 +51,19 @@ def test_a_copy_beyond_three_bits_goes(spark):
     assert ((a ^ b) % 2**64).bit_count() > 3 and alike(*map(shingle_set, texts))
     kept = simhash.keep_one(spark.createDataFrame([(k, t, None, None) for k, t in enumerate(texts)], DOCS))
     assert [x.doc_id for x in kept.collect()] == [0]
+
+
+def test_simhash_comes_first(spark, monkeypatch):
+    """Copies within three bits are linked without any band; those beyond are left to the bands."""
+    r = random.Random(3)
+    words = prose(r, 400).split(" ")
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join([*words[:100], "a1", "b2", "c3", *words[103:200], "d4", "e5", "f6", *words[203:]]), prose(r, 300)]
+    docs = spark.createDataFrame([(k, t, None, None) for k, t in enumerate([*texts, texts[0], None, ""])], DOCS)
+    fp = {x.doc_id: x.fp for x in nearcopies.sketches(docs).collect()}
+    apart = [((fp[0] ^ fp[k]) % 2**64).bit_count() for k in range(7)]
+    assert apart[1] <= 3 < min(apart[2], apart[3]) and apart[4] == 0 and fp[5] == fp[6] == 0
+    both = {x.doc_id: x.root for x in nearcopies.classes(docs).collect()}
+    assert both[0] == both[1] == both[2] == both[4] != both[3] and both[5] == both[6]
+    monkeypatch.setattr(nearcopies, "band_keys", lambda found, odd: [])
+    alone = {x.doc_id: x.root for x in nearcopies.classes(docs).collect()}
+    assert alone[0] == alone[1] == alone[4] and len({alone[k] for k in (0, 2, 3, 5)}) == 4
