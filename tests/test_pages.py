@@ -130,3 +130,13 @@ def test_hot_host_schedule(spark):
     got = ops.frontier_schedule(urls)
     assert got.agg(F.max("start_s"), F.count_distinct("position")).head() == (4999.0, 5000)
     assert got.filter(F.col("start_s") != F.col("seq") / 1000).count() == 0
+
+
+def test_few_pages_are_in_python_at_once(spark):
+    from attesta.operators import page_text
+
+    pages = spark.createDataFrame([(1, "https://a.example/", "<p>one</p>"), (2, None, None)], "page_id int, url string, html string")
+    out = page_text.extract_pages(pages)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert [(r.page_id, r.text) for r in out.select("page_id", "text").orderBy("page_id").collect()] == [(1, "one"), (2, "")]
