@@ -155,3 +155,19 @@ def test_stored_graph_reads_only_its_buckets(spark, tmp_path):
     assert keys("idget G") == ["company:widget"] and keys("nn am rh") == ["company:acme-1"]
     assert keys("") == keys("zz") == keys("nowhere at all") == []
     assert store.relations().count() == ops.build_relations(log).count()
+
+
+def test_a_table_is_stored_when_a_question_needs_it(spark, tmp_path):
+    from attesta.operators.graph_store import TABLES, GraphStore
+
+    log = _log(spark)
+    ends = ops.end_mentions(log).withColumn("attrs", F.lit(None).cast("map<string,string>"))
+    store = GraphStore.of(log, ends, str(tmp_path))
+    there = lambda: {n for n in TABLES if (tmp_path / n).exists()}
+    assert there() == set()
+    assert store.entity("Acme 1", "company").count() == 1 and there() == {"entities"}
+    assert [r["entity_key"] for r in store.search("widget").collect()] == ["company:widget"] and there() == {"entities", "postings/kind=word"}
+    for entity in ("company:acme-3", "company:widget", "company:none"):
+        assert store.provenance(entity, 5).collect() == ops.provenance(log, entity, 5).select(*store.provenance(entity, 5).columns).collect()
+    assert "source" not in store.table("targets").columns  # by target only keys and order, not the rows once more
+    assert GraphStore.build(log, ends, str(tmp_path)).relations().count() and there() == set(TABLES)
