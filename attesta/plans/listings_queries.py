@@ -6,12 +6,15 @@ feed would publish it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pay import prose_pay
 from ..operators import listings as ops
 from ..operators.ordered import first_rows
+from ..session import shared_folder
 from ..sources import feeds
 from . import sql
 from . import tables as t
@@ -34,7 +37,20 @@ def query(name: str, check: str | None = None):
 # postings -----------------------------------------------------------------------------
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings, joined and stored once per application: nine feeds are made from them."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _stored:
+        path = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+        _postings(spark, sf_dir).write.parquet(path)
+        _stored[at] = path
+    return spark.read.parquet(_stored[at])
+
+
+def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     rate = (F.lit(10) + k % 40).cast("string")
     form = k % 8
@@ -406,4 +422,6 @@ SELECT platform, company, external_id, pay_min, pay_unit,
 FROM listings""",
 )
 def ranked_listings(spark, sf_dir):
-    return ops.rank_listings(all_listings(spark, sf_dir)).select("platform", "company", "external_id", "pay_min", "pay_unit", "position")
+    # Of a listing, what orders it and what is shown: the ranking writes its rows to read them twice.
+    listed = all_listings(spark, sf_dir).select("platform", "company", "external_id", "title", "url", "pay_min", "pay_unit")
+    return ops.rank_listings(listed).select("platform", "company", "external_id", "pay_min", "pay_unit", "position")

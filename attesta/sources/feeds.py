@@ -6,6 +6,7 @@ one's own is a function of the same shape, added with ``register_feed``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fixed
 from ..functions.loose_json import whole_json
 from ..functions.pay import no_pay, numeric_pay, prose_pay, stated_pay
-from ..functions.text import strip_markup
+from ..functions.text import let, strip_markup
 from ..session import cut_lineage
 from .reference import PLATFORM_COLUMNS
 
@@ -182,12 +183,28 @@ def deep_lists(pages: DataFrame, key: str) -> DataFrame:
 
 
 def _embedded_jobs(raw: DataFrame, keys: list[str], item: str) -> DataFrame:
-    """Jobs from the list under the first of ``keys`` that a page has."""
-    pages, _ = embedded_pages(raw)
-    lists = None
+    """Jobs from the list under the first of ``keys`` that a page has.
+
+    A key, a colon and the beginning of a list of objects, unescaped, are never text inside a string. So where they occur
+    once in a page that spells nothing by code, that is the list, and it is read in its row. Other pages are opened level
+    by level.
+    """
+    begins = {key: rf'(?<!\\)"{re.escape(key)}"\s*:\s*\[\s*\{{' for key in keys}
+    plain = ~F.contains("payload", F.lit("\\u"))
+    for begin in begins.values():
+        plain = plain & (F.regexp_count("payload", F.lit(begin)) <= 1)
+    plain = F.coalesce(plain, F.lit(True))  # a page that is null has no list
+    json = whole_json(F.trim(F.regexp_extract("payload", _EMBEDDED, 1)))
+    # A plain column would be computed again in the filter that is pushed below it.
+    simple = raw.filter(plain).select("platform", F.explode(F.array(json)).alias("_json")).filter(F.col("_json").isNotNull())
+    # What follows the list is not read.
+    rests = [let(F.split("_json", begin, 2), lambda p: F.when(F.size(p) == 2, F.concat(F.lit("[{"), p[1]))) for begin in begins.values()]
+    simple = simple.select("platform", F.to_json(F.try_parse_json(F.coalesce(*rests))).alias("items"))
+    pages, _ = embedded_pages(raw.filter(~plain))
+    lists = simple
     for key in keys:
         some = deep_lists(pages, key)
-        lists = some if lists is None else lists.unionByName(some)
+        lists = lists.unionByName(some.select("platform", "items"))
         pages = pages.join(some.select("_page"), "_page", "left_anti")
     return _jobs(lists, F.from_json("items", f"array<{item}>"))
 

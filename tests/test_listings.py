@@ -128,3 +128,24 @@ def test_words_far_into_a_description_decide(spark):
     raw = spark.createDataFrame([("invisible", json.dumps({"jobs": jobs}))], "platform string, payload string")
     got = ops.filter_listings(feeds.listings_greenhouse(raw), ["Beekeeping"], ["unpaid"]).collect()
     assert [r["external_id"] for r in got] == ["0"] and len(got[0]["description_excerpt"]) == 300
+
+
+def test_lists_in_pages_are_read_in_their_rows(spark, monkeypatch):
+    """Where a list's key occurs once it needs no levels; text that looks like it, or codes, give what the levels give."""
+    from attesta.sources import feeds
+
+    page = '<script id="__NEXT_DATA__" type="application/json">{}</script>'
+    job = '{{"title":"Role {0}","id":{0}}}'.format
+    plain = [
+        '{"a":{"b":[1,{"jobs" : [ ' + job(1) + ',' + job(2) + '],"z":1.50}]}}',
+        '{"note":"\\"jobs\\":[{","jobs":[' + job(3) + ']}',
+        '{"jobs":[]}', '{"jobs":["x"]}', '{"jobs":[{"title":"cut"}', "",
+    ]
+    level = ['{"a":{"jobs":[' + job(4) + ']},"jobs":[' + job(5) + ']}', '{"\\u006aobs":[' + job(6) + ']}']
+    rows = lambda texts: spark.createDataFrame([("clickworker", page.format(t) if t else None) for t in texts], "platform string, payload string")
+    titles = lambda texts: sorted(r.title for r in feeds.listings_join(rows(texts)).collect())
+    assert titles(plain + level) == ["Role 1", "Role 2", "Role 3", "Role 5", "Role 6"]
+    seen = []
+    whole = feeds.deep_lists
+    monkeypatch.setattr(feeds, "deep_lists", lambda pages, key: seen.append(pages.count()) or whole(pages, key))
+    assert titles(plain) == ["Role 1", "Role 2", "Role 3"] and seen == [0]
