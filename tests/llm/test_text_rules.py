@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 from attesta.llm import chat, decontam, graph, langid, quality, simhash
+from pyspark.sql import functions as F
 
 DOCS = "doc_id bigint, text string, lang string, fp string"
 WORDS = "of the and in that with for this then over under river stone green bright seven walking slowly house garden window".split()
@@ -157,6 +158,28 @@ def test_decontamination_without_benchmark_and_with_null_ids(spark):
     assert decontam.clean(docs, bench.where("item_id < 0")).count() == 2
 
 
+def test_large_benchmark_goes_to_no_task_whole(spark):
+    """Above its limit a benchmark is dealt out, the texts are read as often for any number of items, and copies of an item count once."""
+    r = random.Random(12)
+    items = [prose(r, 20) for _ in range(40)]
+    texts = [None, "", *(f"{prose(r, 30)} {item} {prose(r, 30)}" for item in items[::4]), prose(r, 400)]
+    docs = spark.createDataFrame([(k % 9 or None, t, None, None) for k, t in enumerate(texts + texts[:5])], DOCS)
+    bench = spark.createDataFrame([(k, item) for k, item in enumerate(items * 3)], "item_id bigint, text string")
+    rows = lambda found: sorted(map(tuple, found.collect()), key=str)
+    plan = lambda found: found._jdf.queryExecution().optimizedPlan().toString()
+    few, dealt, near = decontam.overlaps(docs, bench.limit(10), 40), decontam.overlaps(docs, bench, 40), decontam.overlaps(docs, bench, 801)
+    assert rows(dealt) == rows(near) and len(rows(near)) >= 30
+    assert "strategy=broadcast" not in plan(dealt) and "strategy=broadcast" in plan(near)  # 2 400 places, but 800 of different items
+    assert plan(few).count("Join") == plan(dealt).count("Join")
+
+
+def test_filter_holds_every_hash(spark):
+    hashes = spark.range(-2_000, 2_000).select(F.xxhash64("id").alias("h"))
+    others = spark.range(10_000, 30_000).select(F.xxhash64("id").alias("v"))
+    assert hashes.toDF("v").where(decontam._held(hashes, 4_000, "v")).count() == 4_000
+    assert others.where(decontam._held(hashes, 4_000, "v")).count() < 200
+
+
 def slow_repeats(words):
     seen = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
     return len({k + j for k in range(len(words) - 4) if seen[tuple(words[k : k + 5])] > 1 for j in range(5)})
