@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
+from ..session import stored
 from ..sources.feeds import WHOLE_TEXT
 from .ordered import row_position, upper_median
 
@@ -109,4 +110,5 @@ def rate_spread(listings: DataFrame) -> DataFrame:
 def rank_listings(listings: DataFrame) -> DataFrame:
     """Best paid first, with ``position`` over all listings; what agrees in pay goes by company, id and the rest."""
     order = [F.coalesce("pay_min", F.lit(0.0)).desc(), *(F.col(c) for c in ("company", "external_id", "platform", "title", "url", "pay_unit"))]
-    return row_position(listings, [], order, "position")
+    # The ranges are drawn from a sample, for which all listings would be read out of their feeds once more.
+    return row_position(stored(listings), [], order, "position")

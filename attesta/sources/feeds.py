@@ -134,10 +134,10 @@ def listings_ashby(raw: DataFrame) -> DataFrame:
     )
     jobs = _plain(_jobs(raw, _parsed(schema)["jobs"]), "descriptionPlain")
     summary = F.col("job.compensation.compensationTierSummary")
-    found = prose_pay(summary)
+    stated = lambda found: F.when(found.isNotNull(), found.withField("pay_source", F.lit("structured")).withField("pay_raw", summary))
     return _listings(
         jobs,
-        F.when(found.isNotNull(), found.withField("pay_source", F.lit("structured")).withField("pay_raw", summary)),
+        let(prose_pay(summary), stated),
         title=F.col("job.title"),
         url=F.col("job.jobUrl"),
         location=F.col("job.location"),
@@ -194,13 +194,14 @@ def _embedded_jobs(raw: DataFrame, keys: list[str], item: str) -> DataFrame:
     for begin in begins.values():
         plain = plain & (F.regexp_count("payload", F.lit(begin)) <= 1)
     plain = F.coalesce(plain, F.lit(True))  # a page that is null has no list
-    json = whole_json(F.trim(F.regexp_extract("payload", _EMBEDDED, 1)))
     # A plain column would be computed again in the filter that is pushed below it.
-    simple = raw.filter(plain).select("platform", F.explode(F.array(json)).alias("_json")).filter(F.col("_json").isNotNull())
+    read = raw.select("platform", F.explode(F.array(F.struct("payload", plain.alias("plain")))).alias("_read"))
+    json = let(F.trim(F.regexp_extract("_read.payload", _EMBEDDED, 1)), whole_json)
+    simple = read.filter("_read.plain").select("platform", F.explode(F.array(json)).alias("_json")).filter(F.col("_json").isNotNull())
     # What follows the list is not read.
     rests = [let(F.split("_json", begin, 2), lambda p: F.when(F.size(p) == 2, F.concat(F.lit("[{"), p[1]))) for begin in begins.values()]
     simple = simple.select("platform", F.to_json(F.try_parse_json(F.coalesce(*rests))).alias("items"))
-    pages, _ = embedded_pages(raw.filter(~plain))
+    pages, _ = embedded_pages(read.filter("NOT _read.plain").select("platform", "_read.payload"))
     lists = simple
     for key in keys:
         some = deep_lists(pages, key)

@@ -149,3 +149,31 @@ def test_lists_in_pages_are_read_in_their_rows(spark, monkeypatch):
     whole = feeds.deep_lists
     monkeypatch.setattr(feeds, "deep_lists", lambda pages, key: seen.append(pages.count()) or whole(pages, key))
     assert titles(plain) == ["Role 1", "Role 2", "Role 3"] and seen == [0]
+
+
+def test_ranking_makes_each_listing_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    columns = ["company", "external_id", "platform", "title", "url", "pay_unit"]
+
+    def row(i):
+        made.add(1)
+        return ("c", str(i), "p", "t", "u", "hour", float(i % 5))
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize(range(40), 2).map(row), ", ".join(f"{c} string" for c in columns) + ", pay_min double")
+    assert sorted(r["position"] for r in ops.rank_listings(df).collect()) == list(range(1, 41))
+    assert made.value == 40
+
+
+def test_pages_and_pay_are_searched_once(spark):
+    rows = raw(spark, "handshake", {"jobs": [{"id": 1, "compensation": {"compensationTierSummary": "$20 - $30 per hour • Equity"}}, {"id": 2}]})
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    got = feeds.listings_ashby(rows)
+    assert [(r["pay_min"], r["pay_max"], r["pay_unit"], r["pay_raw"], r["pay_source"]) for r in got.orderBy("external_id").collect()] == [
+        (20.0, 30.0, "hour", "$20 - $30 per hour • Equity", "structured"), (None, None, "", "", "")
+    ]
+    assert plan(got.select("pay_min", "pay_unit")).count("regexp_extract(") == 1
+    pages = raw(spark, "clickworker", embedded({"jobs": [{"id": 1, "title": "T"}]}))
+    pages = pages.select("platform", F.concat("payload", F.lit("<p>made</p>")).alias("payload"))
+    got = feeds.listings_join(pages)
+    assert [r["title"] for r in got.collect()] == ["T"]
+    assert plan(got).count("regexp_extract(") == 1 and plan(got).count("<p>made</p>") <= 1
